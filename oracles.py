@@ -8,7 +8,6 @@ from schemaloom.functions.constants import (
     EXACT_TYPE_GROUPS,
     META_SUFFIXES,
     SQL_KEYWORDS,
-    WHITESPACE,
 )
 from schemaloom.functions.constants import ENTITY_ATTRIBUTES, META_ATTRIBUTES
 
@@ -31,6 +30,9 @@ def tokens(text):
     return f"list_filter(regexp_split_to_array(replace(lower({text}), '_', ' '), '{WHITESPACE}'), lambda x: x <> '')"
 
 
+WHITESPACE = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+
+
 def affinity(t):
     has = lambda *n: " OR ".join(f"contains(upper({t}), '{x}')" for x in n)
     return (

@@ -60,9 +60,9 @@ META_ATTRIBUTES = (
 )
 META_SUFFIXES = ("_log", "_entry", "_state", "_snapshot")
 
-# Whitespace as Unicode text splitting understands it.
-WHITESPACE = (
-    r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+# Word separators: whitespace as Unicode text splitting understands it, and the underscore.
+SEPARATORS = (
+    r"[_\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 )
 # ---------------------------------------------------------------------------
 

@@ -11,7 +11,7 @@ from schemaloom.functions.constants import (
     AFFINITY_RULES,
     DEFAULT_INSTRUCTION,
     EXACT_TYPE_GROUPS,
-    WHITESPACE,
+    SEPARATORS,
 )
 
 
@@ -56,8 +56,10 @@ def raw_tokens(text: Column) -> Column:
     """Lower-cased words with ``_`` as a separator; may hold empty strings at the ends.
 
     Lower-casing comes first, so camelCase never splits; punctuation stays.
+    Explode it with ``explode_outer`` and filter: for ``explode`` the optimizer
+    adds a non-empty test below the generator and splits every text again.
     """
-    return F.split(F.translate(F.lower(text), "_", " "), WHITESPACE)
+    return F.split(F.lower(text), SEPARATORS)
 
 
 def tokens(text: Column) -> Column:

@@ -113,7 +113,8 @@ def synthetic_aggregates() -> list[Column]:
 
 def referenced_tables(log: DataFrame) -> DataFrame:
     """idx, db_id, table_name: distinct tables each predicted statement reads."""
-    return log.select("idx", "db_id", F.explode(table_refs(F.col("sql_pred"))).alias("table_name"))
+    refs = F.explode_outer(table_refs(F.col("sql_pred")))
+    return log.select("idx", "db_id", refs.alias("table_name")).filter(F.col("table_name").isNotNull())
 
 
 def synthetic_references(log: DataFrame, synthetic: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from schemaloom.functions.scalars import raw_tokens, tokens
-from schemaloom.operators.ordering import top_k
+from schemaloom.operators.ordering import expand_slots, top_k
 from schemaloom.session import materialize
 
 K1 = 1.5
@@ -27,61 +27,61 @@ def _term_counts(corpus: DataFrame) -> DataFrame:
     lists = corpus.select("db_id", tokens(F.col("text")).alias("words"))
     with_marker = F.concat(F.array_distinct("words"), F.array(F.lit(None).cast("string")))
     return (
-        lists.select("db_id", F.size("words").alias("len"), F.explode(with_marker).alias("term"))
+        lists.select("db_id", F.size("words").alias("len"), F.explode_outer(with_marker).alias("term"))
         .groupBy("db_id", "term")
         .agg(F.count(F.lit(1)).alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("len"))).alias("length"))
     )
 
 
-def _raw_idf(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+def bm25_stats(texts: DataFrame) -> DataFrame:
+    """db_id, term, df, n_tables, avg_len, idf for texts (db_id, text).
+
+    The counts are written once: both the totals and the terms read them, and the
+    texts are not tokenised again.
+    """
+    counts = materialize(_term_counts(texts), "term-counts")
     totals = counts.filter(F.col("term").isNull()).select(
         "db_id",
         F.col("df").alias("n_tables"),
         F.try_divide(F.col("length").cast("double"), F.col("df").cast("double")).alias("avg_len"),
     )
-    idf = F.log(F.col("n_tables") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    return counts.filter(F.col("term").isNotNull()).join(totals, "db_id").withColumn("raw_idf", idf), totals
-
-
-def bm25_stats(corpus: DataFrame) -> DataFrame:
-    """db_id, term, df, n_tables, avg_len, idf for a corpus (db_id, text)."""
-    raw, _ = _raw_idf(_term_counts(corpus))
+    raw_idf = F.log(F.col("n_tables") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    raw = counts.filter(F.col("term").isNotNull()).join(totals, "db_id").withColumn("raw_idf", raw_idf)
     mean = raw.groupBy("db_id").agg(F.avg("raw_idf").alias("mean_idf"))
     idf = F.when(F.col("raw_idf") < 0, F.lit(EPSILON) * F.col("mean_idf")).otherwise(F.col("raw_idf"))
     return raw.join(mean, "db_id").select("db_id", "term", "df", "n_tables", "avg_len", idf.alias("idf"))
 
 
-def bm25_scores(corpus: DataFrame, questions: DataFrame) -> DataFrame:
-    """idx, db_id, table_name, table_ord, score of tables sharing a term with the question.
+def bm25_scores(texts: DataFrame, questions: DataFrame) -> DataFrame:
+    """idx, db_id, table_name, score of tables sharing a term with the question.
 
-    Statistics need every term, but only question terms reach the scoring shuffle.
+    Texts are scanned twice, for the statistics and for the question terms, and
+    never shuffled: only term counts are.
     """
     asked = (
-        questions.select("idx", "db_id", F.explode(raw_tokens(F.col("question"))).alias("term"))
+        questions.select("idx", "db_id", F.explode_outer(raw_tokens(F.col("question"))).alias("term"))
         .filter(F.col("term") != "")
         .groupBy("idx", "db_id", "term")
         .agg(F.count(F.lit(1)).alias("qtf"))
     )
-    weighted = bm25_stats(corpus).join(asked, ["db_id", "term"]).select(
-        "idx", "db_id", "term", "qtf", "idf", "avg_len"
-    )
-    words = corpus.select("db_id", "table_name", "table_ord", tokens(F.col("text")).alias("words"))
+    weighted = bm25_stats(texts).join(asked, ["db_id", "term"]).select("idx", "db_id", "term", "qtf", "idf", "avg_len")
+    words = texts.select("db_id", "table_name", tokens(F.col("text")).alias("words"))
     tf = (
-        words.select("db_id", "table_name", "table_ord", F.size("words").alias("len"), F.explode("words").alias("term"))
+        words.select("db_id", "table_name", F.size("words").alias("len"), F.explode_outer("words").alias("term"))
         .join(asked.select("db_id", "term").distinct(), ["db_id", "term"], "left_semi")
-        .groupBy("db_id", "table_name", "table_ord", "len", "term")
+        .groupBy("db_id", "table_name", "len", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
     saturation = F.col("tf") + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("len") / F.col("avg_len"))
     gain = F.col("qtf") * F.col("idf") * F.col("tf") * F.lit(K1 + 1) / saturation
     return (
         tf.join(weighted, ["db_id", "term"])
-        .groupBy("idx", "db_id", "table_name", "table_ord")
+        .groupBy("idx", "db_id", "table_name")
         .agg(F.round(F.sum(gain), 6).alias("score"))
     )
 
 
-def bm25_top_tables(corpus: DataFrame, questions: DataFrame, k: int = 10) -> DataFrame:
+def bm25_top_tables(texts: DataFrame, tables: DataFrame, questions: DataFrame, k: int = 10) -> DataFrame:
     """idx, db_id, rank, table_name, table_ord, score: the best ``k`` tables of the question's database.
 
     Tables without a shared term score zero and still fill up to ``k`` in catalog
@@ -89,28 +89,24 @@ def bm25_top_tables(corpus: DataFrame, questions: DataFrame, k: int = 10) -> Dat
     first ``k + matched`` catalog positions are sure to hold enough, so the
     question x table product is never formed.
     """
-    scored = materialize(bm25_scores(corpus, questions), "bm25-scores")
-    best = top_k(
-        scored, ["idx", "db_id"], [F.col("score").desc(), F.col("table_ord")], k, F.col("table_ord"), out="_r"
-    ).drop("_r")
-    matched = scored.groupBy("idx", "db_id").agg(
+    keys = ["idx", "db_id"]
+    places = tables.select("db_id", "table_name", "table_ord")
+    scored = materialize(bm25_scores(texts, questions).join(places, ["db_id", "table_name"]), "bm25-scores")
+    order = [F.col("score").desc(), F.col("table_ord")]
+    matched = scored.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("matched"), F.count_if(F.col("score") > 0).alias("positive")
     )
-    asked = questions.select("idx", "db_id").join(matched, ["idx", "db_id"], "left")
+    asked = questions.select(*keys).join(matched, keys, "left")
     short = asked.filter(F.coalesce("positive", F.lit(0)) < k).select(
-        "idx", "db_id", (F.coalesce("matched", F.lit(0)) + k).cast("bigint").alias("reach")
-    )
-    positions = short.select(
-        "idx", "db_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("reach") - 1)).alias("table_ord")
+        *keys, (F.coalesce("matched", F.lit(0)) + k).cast("bigint").alias("reach")
     )
     fill = (
-        positions.join(corpus.select("db_id", "table_ord", "table_name"), ["db_id", "table_ord"])
-        .join(scored.select("idx", "db_id", "table_ord"), ["idx", "db_id", "table_ord"], "left_anti")
-        .select("idx", "db_id", "table_name", "table_ord", F.lit(0.0).alias("score"))
-    )
-    return top_k(
-        best.unionByName(fill), ["idx", "db_id"], [F.col("score").desc(), F.col("table_ord")], k, F.col("table_ord")
+        expand_slots(short, keys, "reach", "table_ord")
+        .join(places, ["db_id", "table_ord"])
+        .join(scored.select(*keys, "table_ord"), [*keys, "table_ord"], "left_anti")
+        .select(*keys, "table_name", "table_ord", F.lit(0.0).alias("score"))
     )
+    return top_k(scored.unionByName(fill), keys, order, k, F.col("table_ord"))
 
 
 def scope(questions: DataFrame, tables: DataFrame) -> DataFrame:

@@ -95,8 +95,8 @@ def prompts(
 ) -> DataFrame:
     """idx, db_id, schema_text, messages, tables_included: the compressed prompt of every question."""
     texts = catalog.table_text(original.tables, original.columns, original.fks)
-    texts = materialize(texts.select("db_id", "table_name", "table_ord", "text"), "table-texts")
-    best = materialize(retrieval.bm25_top_tables(texts, questions, k), "best-tables")
+    texts = materialize(texts.select("db_id", "table_name", "text"), "table-texts")
+    best = materialize(retrieval.bm25_top_tables(texts, original.tables, questions, k), "best-tables")
     keys = ["idx", "db_id"]
     selected = best.select(*keys, "table_name")
     columns = original.columns.join(selected, ["db_id", "table_name"])

@@ -14,7 +14,7 @@ from schemaloom.operators.augment import Catalog, ScaleConfig
 from schemaloom.operators.ordering import number_by_digest
 from schemaloom.plans import pipelines
 from schemaloom.plans.pipelines import PoolConfig
-from schemaloom.session import shared_dir
+from schemaloom.session import materialize, shared_dir
 from schemaloom.sources import files
 from schemaloom.sources import tables as src
 from schemaloom.streaming import results as streaming
@@ -177,7 +177,7 @@ def make_column(spark, d):
 @query
 def tokenize(spark, d):
     docs = src.table(spark, d, "documents")
-    return docs.select("doc_id", F.posexplode(scalars.tokens(F.col("text"))).alias("pos", "token"))
+    return docs.select("doc_id", F.posexplode_outer(scalars.tokens(F.col("text"))).alias("pos", "token")).filter("pos is not null")
 
 
 @query
@@ -236,7 +236,7 @@ def cosine_pairs(spark, d):
 @query
 def l2_normalize(spark, d):
     e = src.table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
-    unit = similarity.normalize(e).select("vec_id", F.posexplode("vec").alias("pos", "x"))
+    unit = similarity.normalize(e).select("vec_id", F.posexplode_outer("vec").alias("pos", "x")).filter("pos is not null")
     return unit.withColumn("x", F.round("x", 6))
 
 
@@ -304,12 +304,13 @@ def dense_topk(spark, d):
 # --- vocabulary -------------------------------------------------------------
 @query
 def vocab_clean(spark, d):
-    return vocab.clean_vocabulary(src.lexicon(spark, d), src.whitelist(spark, d))
+    counts = src.word_counts(spark, d)
+    return vocab.clean_vocabulary(src.lexicon(counts), src.whitelist(counts))
 
 
 @query
 def vocab_sense_filter(spark, d):
-    return vocab.drop_excluded_senses(src.lexicon(spark, d))
+    return vocab.drop_excluded_senses(src.lexicon(src.word_counts(spark, d)))
 
 
 @query
@@ -326,7 +327,7 @@ def words_of_dbs(spark, d) -> DataFrame:
     """(db_id, word) of all words of each source."""
     docs = src.table(spark, d, "documents")
     return (
-        docs.select(F.col("source").alias("db_id"), F.explode(scalars.raw_tokens(F.col("text"))).alias("word"))
+        docs.select(F.col("source").alias("db_id"), F.explode_outer(scalars.raw_tokens(F.col("text"))).alias("word"))
         .filter(F.col("word") != "").distinct()
     )
 
@@ -335,8 +336,8 @@ def words_of_dbs(spark, d) -> DataFrame:
 def candidate_exclude(spark, d):
     """Words of each source that name none of its columns, are no keyword and occur in a page address."""
     vectors = src.table(spark, d, "pages").select(
-        F.explode(F.array_distinct(F.regexp_extract_all(F.lower("html"), F.lit("[a-z]+"), F.lit(0)))).alias("word")
-    ).distinct()
+        F.explode_outer(F.array_distinct(F.regexp_extract_all(F.lower("html"), F.lit("[a-z]+"), F.lit(0)))).alias("word")
+    ).filter("word is not null").distinct()
     names = src.catalog_columns(spark, d).filter(F.col("type") == "TEXT").select("db_id", "name")
     return vocab.exclude_candidates(words_of_dbs(spark, d), names, vectors)
 
@@ -355,32 +356,34 @@ def fresh_words(spark, d):
 
 
 # --- retrieval --------------------------------------------------------------
-def corpus(spark, d) -> DataFrame:
+def texts(spark, d) -> DataFrame:
     """Documents as tables with their text."""
-    tables = src.catalog_tables(spark, d).select("db_id", "table_name", "table_ord")
-    docs = src.table(spark, d, "documents").select(
+    return src.table(spark, d, "documents").select(
         F.col("source").alias("db_id"), src.table_name(F.col("doc_id")).alias("table_name"), "text"
     )
-    return tables.join(docs, ["db_id", "table_name"])
+
+
+def best_tables(spark, d) -> DataFrame:
+    return retrieval.bm25_top_tables(texts(spark, d), src.catalog_tables(spark, d), src.questions(spark, d), TOP)
 
 
 @query
 def bm25_stats(spark, d):
-    docs = src.table(spark, d, "documents").select(F.col("source").alias("db_id"), "text")
-    stats = retrieval.bm25_stats(docs)
+    stats = retrieval.bm25_stats(texts(spark, d))
     return stats.withColumn("idf", F.round("idf", 6)).withColumn("avg_len", F.round("avg_len", 6))
 
 
 @query
 def bm25_topk(spark, d):
-    return retrieval.bm25_top_tables(corpus(spark, d), src.questions(spark, d), TOP)
+    return best_tables(spark, d)
 
 
 @query
 def bm25_topk_schema(spark, d):
     """The same ranking over the rendered schema text of every table."""
-    texts = catalog.table_text(*vars(original(spark, d)).values())
-    return retrieval.bm25_top_tables(texts.select("db_id", "table_name", "table_ord", "text"), src.questions(spark, d), TOP)
+    base = original(spark, d)
+    rendered = catalog.table_text(base.tables, base.columns, base.fks).select("db_id", "table_name", "text")
+    return retrieval.bm25_top_tables(materialize(rendered, "table-texts"), base.tables, src.questions(spark, d), TOP)
 
 
 @query
@@ -390,7 +393,7 @@ def retrieval_scope(spark, d):
 
 @query
 def compress_schema(spark, d):
-    best = retrieval.bm25_top_tables(corpus(spark, d), src.questions(spark, d), TOP)
+    best = materialize(best_tables(spark, d), "best-tables")
     return catalog.compress(src.catalog_fks(spark, d), best, ["idx", "db_id"]).select(
         "idx", "db_id", "table_name", "local_col", "ref_table", "ref_col"
     )

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from schemaloom.functions import draws
 from schemaloom.functions.scalars import affinity, raw_tokens
 from schemaloom.operators.ordering import number_by_id, top_k
+from schemaloom.session import materialize
 
 DECLARED_TYPES = ("INT", "VARCHAR(20)", "REAL", "DATETIME", "DECIMAL(8,2)", "", "TEXT")
 LEXNAMES = ("noun.person", "noun.location", "noun.group", "noun.artifact", "noun.act", "noun.state")
@@ -21,8 +22,21 @@ POOLS_PER_WORD = 8
 NEW_TABLES = 40
 
 
+SPREAD_KEYS = {"documents": "doc_id", "pages": "page_id", "events": "event_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """Scan of one table; a text table with fewer splits than cores is spread over the cores.
+
+    Splits hold at most ``spark.sql.files.maxPartitionBytes``, so this shuffles
+    only inputs below that size per core. Larger inputs have splits enough and
+    are read as they lie.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in SPREAD_KEYS and df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores, SPREAD_KEYS[name])
+    return df
 
 
 def table_name(doc_id):
@@ -49,7 +63,7 @@ def catalog_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = docs.select(
         F.col("source").alias("db_id"),
         table_name(F.col("doc_id")).alias("table_name"),
-        F.posexplode(F.concat(F.array(key), words)).alias("col_ord", "name"),
+        F.posexplode_outer(F.concat(F.array(key), words)).alias("col_ord", "name"),
     )
     ordinal = F.col("col_ord")
     declared = F.element_at(F.array(*[F.lit(t) for t in DECLARED_TYPES]), (ordinal % 7 + 1).cast("int"))
@@ -104,19 +118,19 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """word, n over the whole texts of all documents."""
+    """word, n over the whole texts of all documents, counted once and stored."""
     docs = table(spark, sf_dir, "documents")
-    return (
-        docs.select(F.explode(raw_tokens(F.col("text"))).alias("word"))
+    counts = (
+        docs.select(F.explode_outer(raw_tokens(F.col("text"))).alias("word"))
         .filter(F.col("word") != "")
         .groupBy("word")
         .agg(F.count(F.lit(1)).alias("n"))
     )
+    return materialize(counts, "word-counts")
 
 
-def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """word, lexname, zipf: one or two senses per word."""
-    counts = word_counts(spark, sf_dir)
+def lexicon(counts: DataFrame) -> DataFrame:
+    """word, lexname, zipf from ``word_counts``: one or two senses per word."""
     total = counts.agg(F.sum("n").alias("total"))  # one row
 
     def sense(text):
@@ -127,12 +141,12 @@ def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     second = F.when(F.length(word) % 2 == 0, F.array(sense(F.concat(F.lit("2:"), word))))
     senses = F.concat(F.array(sense(word)), F.coalesce(second, F.array().cast("array<string>")))
     zipf = F.round(F.log10(F.lit(1e9) * F.col("n") / total.scalar()), 6)
-    return counts.select("word", F.explode(senses).alias("lexname"), zipf.alias("zipf"))
+    return counts.select("word", F.explode_outer(senses).alias("lexname"), zipf.alias("zipf"))
 
 
-def whitelist(spark: SparkSession, sf_dir: str) -> DataFrame:
+def whitelist(counts: DataFrame) -> DataFrame:
     """Frequent words that stay allowed."""
-    return word_counts(spark, sf_dir).filter(F.md5(F.concat(F.lit("w:"), F.col("word"))).startswith("0")).select("word")
+    return counts.filter(F.md5(F.concat(F.lit("w:"), F.col("word"))).startswith("0")).select("word")
 
 
 def candidate_pools(spark: SparkSession, sf_dir: str, vocab: DataFrame) -> DataFrame:
