@@ -28,12 +28,10 @@ def affinity(declared: Column) -> Column:
 def exact_type(declared: Column) -> Column:
     """``struct(type, typegroup)`` by exact name, TEXT when the name is unknown."""
     upper = F.upper(declared)
-    known = upper.isin(*EXACT_TYPE_GROUPS)
-    group = F.lit(None).cast("string")
-    for name, value in EXACT_TYPE_GROUPS.items():
-        group = F.when(upper == name, F.lit(value)).otherwise(group)
+    groups = F.create_map(*[F.lit(x) for pair in EXACT_TYPE_GROUPS.items() for x in pair])
+    group = F.try_element_at(groups, upper)
     return F.struct(
-        F.when(known, upper).otherwise(F.lit("TEXT")).alias("type"),
+        F.when(group.isNotNull(), upper).otherwise(F.lit("TEXT")).alias("type"),
         F.coalesce(group, F.lit("TEXT")).alias("typegroup"),
     )
 
@@ -52,6 +50,15 @@ def make_column(name: Column, declared: Column, pk: Column | int = 0, not_null:
     )
 
 
+def fixed_column(name: str, declared: str) -> Column:
+    """``make_column`` of a nullable non-key column whose name and type are known."""
+    group = EXACT_TYPE_GROUPS.get(declared, "TEXT")
+    kind = declared if declared in EXACT_TYPE_GROUPS else "TEXT"
+    return F.expr(
+        f"named_struct('name', '{name}', 'type', '{kind}', 'typegroup', '{group}', 'not_null', false, 'pk', 0)"
+    )
+
+
 def raw_tokens(text: Column) -> Column:
     """Lower-cased words with ``_`` as a separator; may hold empty strings at the ends.
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from schemaloom.functions.vectors import l2_norm
 from schemaloom.operators.ordering import top_k
+from schemaloom.session import materialize
 
 BLOCK = 4096
 _STRIP = 512
@@ -46,7 +47,8 @@ def _spread(left: DataFrame, right: DataFrame, block: int) -> tuple[DataFrame, D
         n = F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int")
         return df.groupBy("scope").agg(n.alias(out))
 
-    both = sizes(left, "n_left").join(sizes(right, "n_right"), "scope")
+    # One row per scope, stored so that its size is known when the joins are planned.
+    both = materialize(sizes(left, "n_left").join(sizes(right, "n_right"), "scope"), "block-counts")
 
     def place(df: DataFrame, own: str, other: str, own_col: str, other_col: str) -> DataFrame:
         return (

@@ -47,17 +47,23 @@ def lookup_vectors(words: DataFrame, vectors: DataFrame) -> DataFrame:
     return words.join(vectors, "word")
 
 
+def all_names(tables: DataFrame, columns: DataFrame) -> DataFrame:
+    """Table and column names per database, with repeats."""
+    return tables.select("db_id", F.col("table_name").alias("name")).unionByName(columns.select("db_id", "name"))
+
+
 def schema_names(tables: DataFrame, columns: DataFrame) -> DataFrame:
     """Distinct table and column names per database."""
-    return (
-        tables.select("db_id", F.col("table_name").alias("name"))
-        .unionByName(columns.select("db_id", "name"))
-        .distinct()
-    )
+    return all_names(tables, columns).distinct()
 
 
 def fresh_words(pools: DataFrame, names: DataFrame) -> DataFrame:
-    """Pool words that equal no table or column of their database, ignoring case."""
-    taken = names.select("db_id", F.lower("name").alias("_key")).distinct()
+    """Pool words that equal no table or column of their database, ignoring case.
+
+    ``names`` may repeat. It is cut to names that some pool holds before it is
+    shuffled; the pools are much smaller, so that cut is usually a broadcast.
+    """
     keyed = pools.withColumn("_key", F.lower("word"))
+    held = keyed.select("db_id", "_key").distinct()
+    taken = names.select("db_id", F.lower("name").alias("_key")).join(held, ["db_id", "_key"], "left_semi").distinct()
     return keyed.join(taken, ["db_id", "_key"], "left_anti").drop("_key")

@@ -347,12 +347,12 @@ def pools(spark, d) -> DataFrame:
 
 
 def names_of(spark, d) -> DataFrame:
-    return vocab.schema_names(src.catalog_tables(spark, d), src.catalog_columns(spark, d))
+    return vocab.all_names(src.catalog_tables(spark, d), src.catalog_columns(spark, d))
 
 
 @query
 def fresh_words(spark, d):
-    return vocab.fresh_words(pools(spark, d), names_of(spark, d))
+    return vocab.fresh_words(materialize(pools(spark, d), "pools"), names_of(spark, d))
 
 
 # --- retrieval --------------------------------------------------------------
@@ -530,7 +530,7 @@ LEVEL1, LEVEL2 = ScaleConfig(level=1), ScaleConfig(level=2)
 @query
 def assign_words(spark, d):
     counts = augment.table_counts(src.catalog_tables(spark, d), targets(spark, d), LEVEL1)
-    fresh = vocab.fresh_words(pools(spark, d), names_of(spark, d))
+    fresh = vocab.fresh_words(materialize(pools(spark, d), "pools"), names_of(spark, d))
     return augment.assign_words(augment.word_slots(counts), fresh).select("db_id", "slot", "kind", "word")
 
 

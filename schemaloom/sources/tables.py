@@ -22,6 +22,7 @@ POOLS_PER_WORD = 8
 NEW_TABLES = 40
 
 
+_SPLITS: dict[tuple[str, str], int] = {}
 SPREAD_KEYS = {"documents": "doc_id", "pages": "page_id", "events": "event_id"}
 
 
@@ -34,11 +35,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    if name in SPREAD_KEYS and df.rdd.getNumPartitions() < cores:
+    if name in SPREAD_KEYS and _splits(df, f"{sf_dir}/{name}") < cores:
         return df.repartition(cores, SPREAD_KEYS[name])
     return df
 
 
+def _splits(df: DataFrame, path: str) -> int:
+    """Scan splits of a path, planned once per application."""
+    key = (df.sparkSession.sparkContext.applicationId, path)
+    if key not in _SPLITS:
+        _SPLITS[key] = df.rdd.getNumPartitions()
+    return _SPLITS[key]
+
+
 def table_name(doc_id):
     return F.concat(F.lit("t"), doc_id.cast("string"))
 
