@@ -41,18 +41,31 @@ def centroids(vectors: DataFrame, group: list[str] | None = None) -> DataFrame:
 
 
 def _spread(left: DataFrame, right: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
-    """Number blocks within each scope and send each side to every block of the other."""
+    """Number blocks within each scope and send each side to every block of the other.
+
+    Sides without a ``scope`` column are compared as a whole; the two block
+    numbers are then plain scalars.
+    """
+    scoped = "scope" in left.columns
+    by = ["scope"] if scoped else []
 
     def sizes(df: DataFrame, out: str) -> DataFrame:
         n = F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int")
-        return df.groupBy("scope").agg(n.alias(out))
+        return df.groupBy(*by).agg(n.alias(out))
+
+    if scoped:
+        # One row per scope, stored so that its size is known when the joins are planned.
+        both = materialize(sizes(left, "n_left").join(sizes(right, "n_right"), "scope"), "block-counts")
 
-    # One row per scope, stored so that its size is known when the joins are planned.
-    both = materialize(sizes(left, "n_left").join(sizes(right, "n_right"), "scope"), "block-counts")
+    def numbered(df: DataFrame) -> DataFrame:
+        if scoped:
+            return df.join(both, "scope")
+        n_left, n_right = sizes(left, "n_left").scalar(), sizes(right, "n_right").scalar()
+        return df.select(F.lit(0).alias("scope"), "*", n_left.alias("n_left"), n_right.alias("n_right"))
 
     def place(df: DataFrame, own: str, other: str, own_col: str, other_col: str) -> DataFrame:
         return (
-            df.join(both, "scope")
+            numbered(df)
             .withColumn(own_col, F.pmod(F.xxhash64("id"), F.col(own)).cast("int"))
             .withColumn(other_col, F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
             .select(*[F.col(c).alias(c) for c in ("scope", "lb", "rb", "id", "vec")])
@@ -67,7 +80,7 @@ def _blocked(left: DataFrame, right: DataFrame, pick, unit: bool, block: int) ->
     The helpers stay local, so tasks need nothing but numpy and pandas.
     """
     placed_left, placed_right = _spread(left, right, block)
-    kind = left.schema["scope"].dataType.simpleString()
+    kind = placed_left.schema["scope"].dataType.simpleString()
     strip = _STRIP
 
     def matrix(vectors: pd.Series) -> np.ndarray:
@@ -103,7 +116,7 @@ def _blocked(left: DataFrame, right: DataFrame, pick, unit: bool, block: int) ->
 
 
 def pairs_in_band(left: DataFrame, right: DataFrame, low: float, high: float, block: int = BLOCK) -> DataFrame:
-    """(scope, left_id, right_id, sim) with cosine in [low, high]; sides are (scope, id, vec)."""
+    """(scope, left_id, right_id, sim) with cosine in [low, high]; sides are ([scope,] id, vec)."""
 
     def pick(sims, left_ids, right_ids):
         return np.nonzero((sims >= low) & (sims <= high))
@@ -145,8 +158,8 @@ def dense_top(left: DataFrame, right: DataFrame, k: int = 10, skip_self: bool =
 
 def word_centroid_similarity(words: DataFrame, centers: DataFrame, low: float, high: float) -> DataFrame:
     """db_id, word, sim of words within the band around each schema centroid."""
-    left = words.select(F.lit(0).alias("scope"), F.col("word").alias("id"), "vec")
-    right = centers.select(F.lit(0).alias("scope"), F.col("db_id").cast("bigint").alias("id"), "vec")
+    left = words.select(F.col("word").alias("id"), "vec")
+    right = centers.select(F.col("db_id").cast("bigint").alias("id"), "vec")
     return pairs_in_band(left, right, low, high).select(
         F.col("right_id").alias("db_id"), F.col("left_id").alias("word"), "sim"
     )
