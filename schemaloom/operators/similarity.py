@@ -80,7 +80,9 @@ def _blocked(left: DataFrame, right: DataFrame, pick, unit: bool, block: int) ->
     The helpers stay local, so tasks need nothing but numpy and pandas.
     """
     placed_left, placed_right = _spread(left, right, block)
-    kind = placed_left.schema["scope"].dataType.simpleString()
+    kind, left_kind, right_kind = (
+        df.schema[c].dataType.simpleString() for df, c in ((placed_left, "scope"), (placed_left, "id"), (placed_right, "id"))
+    )
     strip = _STRIP
 
     def matrix(vectors: pd.Series) -> np.ndarray:
@@ -106,12 +108,12 @@ def _blocked(left: DataFrame, right: DataFrame, pick, unit: bool, block: int) ->
                 parts.append(pd.DataFrame({"left_id": left_ids[i], "right_id": right_ids[j], "sim": sims[i, j]}))
         out = pd.concat(parts) if parts else pd.DataFrame({"left_id": [], "right_id": [], "sim": []})
         out.insert(0, "scope", key[0])
-        return out
+        return out if len(out) else out.astype(object)
 
     return (
         placed_left.groupBy("scope", "lb", "rb")
         .cogroup(placed_right.groupBy("scope", "lb", "rb"))
-        .applyInPandas(multiply, f"scope {kind}, left_id bigint, right_id bigint, sim double")
+        .applyInPandas(multiply, f"scope {kind}, left_id {left_kind}, right_id {right_kind}, sim double")
     )
 
 
@@ -159,7 +161,7 @@ def dense_top(left: DataFrame, right: DataFrame, k: int = 10, skip_self: bool =
 def word_centroid_similarity(words: DataFrame, centers: DataFrame, low: float, high: float) -> DataFrame:
     """db_id, word, sim of words within the band around each schema centroid."""
     left = words.select(F.col("word").alias("id"), "vec")
-    right = centers.select(F.col("db_id").cast("bigint").alias("id"), "vec")
+    right = centers.select(F.col("db_id").alias("id"), "vec")
     return pairs_in_band(left, right, low, high).select(
         F.col("right_id").alias("db_id"), F.col("left_id").alias("word"), "sim"
     )

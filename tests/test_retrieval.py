@@ -77,6 +77,16 @@ def test_blocked_band_and_ambiguity(cloud):
     assert close == {i for i in range(0, 60, 2) if (same[i] & odd & (cos[i] > 0.7)).any()}
 
 
+def test_named_words_and_databases(spark, cloud):
+    df, _, v = cloud
+    words = df.select(F.concat(F.lit("w"), "id").alias("word"), "vec").filter("word <> 'w3'")
+    centers = df.filter("id in (3, 4)").select(F.concat(F.lit("db"), "id").alias("db_id"), "vec")
+    got = {(r.db_id, r.word) for r in similarity.word_centroid_similarity(words, centers, 0.4, 1.0).collect()}
+    cos = np.round(v @ v.T / (1 + 1e-8), 6)
+    assert got == {(f"db{c}", f"w{i}") for c in (3, 4) for i in range(60) if i != 3 and cos[i, c] >= 0.4}
+    assert similarity.word_centroid_similarity(words, centers, 2.0, 3.0).collect() == []
+
+
 def test_centroid_is_the_mean(spark, cloud):
     df, scopes, v = cloud
     got = {r.scope: r.vec for r in similarity.centroids(df, ["scope"]).collect()}
