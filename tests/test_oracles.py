@@ -5,7 +5,8 @@ import os
 import duckdb
 import pytest
 
-import __spark_entry__ as entry
+from oracles import ORACLES
+from schemaloom.plans.registry import QUERIES
 from tools.check_oracles import TABLES, canonical
 
 FOLDER = "/root/testdata/sf0.001"
@@ -21,13 +22,13 @@ def con():
 
 
 def test_every_query_has_a_statement():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
-    df = entry.queries()[name](spark, FOLDER)
-    cur = con.execute(entry.oracle_sql()[name])
+    df = QUERIES[name](spark, FOLDER)
+    cur = con.execute(ORACLES[name])
     columns = [c[0] for c in cur.description]
     assert sorted(columns) == sorted(df.columns)
     want = canonical(columns, cur.fetchall())
