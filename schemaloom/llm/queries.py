@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from schemaloom.llm import bpe, language, token_files
+from schemaloom.llm import bpe, language, secrets, token_files
 from schemaloom.llm.arrow import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,3 +47,42 @@ def op6_byte_bpe(spark, d):
     ids = bpe.encode(table(spark, d, "documents").select("doc_id", "text")).drop("text")
     ids = ids.withColumn("ids_sha256", F.sha2("ids", 256))
     return bpe.decode(ids).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op10_secret_scan(spark, d):
+    """Secrets of every document: counts and spans."""
+    found = secrets.scan(table(spark, d, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["rank"] < len(secrets.BASE))
+
+    def count(rank, kind):
+        return F.size(F.filter("spans", lambda s: s["rank"] == rank)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(rank, rule.kind) for rank, rule in enumerate(secrets.BASE)]
+    return found.select("doc_id", *counts, F.sha2(secrets.written(base), 256).alias("base_sha256"), secrets.written(F.col("spans")).alias("spans"))
+
+
+def _secret_oracle() -> str:
+    parts = []
+    for rank, rule in enumerate(secrets.RULES):
+        p = rule.pattern.replace("'", "''")
+        parts.append(f"""
+            SELECT n, {rank} AS rank, '{rule.kind}' AS kind, i,
+                   list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS start,
+                   length(m[i]) AS size, length(v[i]) AS value, {rule.least} AS least
+            FROM (SELECT n, unnest(range(1, len(m) + 1)) AS i, m, v, g
+                  FROM (SELECT n, regexp_extract_all(text, '{p}', 0) AS m, regexp_extract_all(text, '{p}', {rule.group}) AS v,
+                               string_split_regex(text, '{p}') AS g FROM docs))""")
+    return f"""
+        WITH docs AS (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS text FROM documents),
+        hits AS MATERIALIZED ({" UNION ALL ".join(parts)}),
+        spans AS (SELECT n, rank, start, kind || ':' || start::BIGINT || ':' || (start + size)::BIGINT AS s FROM hits WHERE value >= least),
+        sums AS (SELECT n, count(*) FILTER (WHERE rank = 0) AS n_assign, count(*) FILTER (WHERE rank = 1) AS n_access, count(*) FILTER (WHERE rank = 2) AS n_hex,
+                        string_agg(s, ',' ORDER BY start, rank) FILTER (WHERE rank < 3) AS base, string_agg(s, ',' ORDER BY start, rank) AS spans
+                 FROM spans GROUP BY n)
+        SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+               sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+        FROM docs LEFT JOIN sums USING (n)"""
+
+
+ORACLES["op10_secret_scan"] = _secret_oracle()
