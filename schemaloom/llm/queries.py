@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from schemaloom.llm import bpe, language, secrets, token_files
+from schemaloom.llm import bpe, fingerprints, language, secrets, substrings, token_files
 from schemaloom.llm.arrow import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,3 +86,28 @@ def _secret_oracle() -> str:
 
 
 ORACLES["op10_secret_scan"] = _secret_oracle()
+
+
+@query
+def op3_substring_dedup(spark, d):
+    """Words of every document that lie in windows of 13 which an earlier document has."""
+    found = substrings.remove_repeats(table(spark, d, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLES["op3_substring_dedup"] = r"""
+    WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    spots AS MATERIALIZED (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS p FROM docs WHERE len(w) >= 13),
+    windows AS MATERIALIZED (SELECT doc_id, p, md5(array_to_string(w[p:p + 12], ' ')) AS h FROM spots),
+    firsts AS (SELECT h, min(doc_id) AS first FROM windows GROUP BY h),
+    gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 13)) AS i FROM windows JOIN firsts USING (h) WHERE doc_id > first),
+    lists AS (SELECT doc_id, list(i) AS g FROM gone GROUP BY doc_id)
+    SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(g), 0)::BIGINT AS n_removed,
+           sha256(array_to_string(CASE WHEN g IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(g, i)) END, ' ')) AS kept_sha256
+    FROM docs LEFT JOIN lists USING (doc_id)"""
+
+
+@query
+def op8_fingerprints(spark, d):
+    """Fingerprint of every document and of its edited text, and their likeness."""
+    return fingerprints.compare_edits(table(spark, d, "documents").select("doc_id", "text"))
