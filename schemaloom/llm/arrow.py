@@ -57,6 +57,28 @@ def pieces(batch: pa.RecordBatch, text: str, limit: int = PIECE_BYTES) -> Iterat
         at, done = to, int(ends[to - 1])
 
 
+class Memory:
+    """A table of bounded size that forgets what was not asked for lately.
+
+    ``turn`` starts a new half when the present one is full; entries that are asked for
+    again move over from the old half. Forgetting costs time only.
+    """
+
+    def __init__(self, half: int) -> None:
+        self.half, self.new, self.old = half, {}, {}
+
+    def turn(self) -> None:
+        if len(self.new) >= self.half:
+            self.new, self.old = {}, self.new
+
+    def recall(self, keys: set) -> set:
+        """Make sure that ``new`` has the keys that are known; returns the others."""
+        absent = keys.difference(self.new)
+        found = absent.intersection(self.old)
+        self.new.update((k, self.old[k]) for k in found)
+        return absent - found
+
+
 def add_columns(df: DataFrame, text: str, fields: list[tuple[str, DataType]],
                 make: Callable[[], Callable[[list[str | None]], list]]) -> DataFrame:
     """Append columns computed from a text column; all other columns pass through.

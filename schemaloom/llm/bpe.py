@@ -28,11 +28,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import BinaryType, LongType
 
-from schemaloom.llm.arrow import add_columns
+from schemaloom.llm.arrow import Memory, add_columns
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-#: Pieces a task remembers; beyond it the table starts anew (results do not change).
-REMEMBERED = 400_000
+#: Pieces in each half of a task's memory.
+REMEMBERED = 350_000
 #: Longer pieces are not remembered.
 LONG_PIECE = 64
 
@@ -59,105 +59,118 @@ def load_tokens(path: str) -> list[bytes]:
     return out
 
 
-def replay_merges(words: list[bytes], ranks: dict[bytes, int], tokens: list[bytes]) -> list[list[int]]:
-    """Token ids of each word after all merges.
+@lru_cache(maxsize=4)
+def load_pairs(path: str) -> tuple[dict[int, int], np.ndarray, np.ndarray]:
+    """Rank of every pair of ids that merges (key: left << 32 | right), the id of each byte, and the ranks of pairs of bytes."""
+    ranks = load_ranks(path)
+    pairs = {}
+    for token, rank in ranks.items():
+        for cut in range(1, len(token)):
+            left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
+            if left is not None and right is not None:
+                pairs[left << 32 | right] = rank
+    single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+    of_bytes = np.array([[pairs.get(int(x) << 32 | int(y), -1) for y in single] for x in single], np.int64)
+    return pairs, single, of_bytes
+
+
+def replay_merges(words: list[bytes], path: str) -> list[bytes]:
+    """Ids of each word after all merges, as little-endian unsigned 32-bit integers.
 
     If a merge makes a pair of a lower rank than the one being replayed, the rest of
     that word waits until the lower rank has been replayed.
     """
-    single = [ranks[bytes([b])] for b in range(256)]
-    tok: list[int] = []
-    word_of: list[int] = []
-    for i, w in enumerate(words):
-        tok.extend([single[b] for b in w])
-        word_of.extend([i] * len(w))
-    n = len(tok)
-    after = list(range(1, n + 1))
-    before = list(range(-1, n - 1))
-    alive = bytearray(b"\x01") * n
-    pair_rank: dict[tuple[int, int], int] = {}
-    index: dict[int, list[int]] = {}
-    queue: list[int] = []
-
-    def rank_at(p: int) -> int:
-        """Rank of the pair that starts at p, -1 if it cannot merge."""
-        q = after[p]
-        if q >= n or word_of[q] != word_of[p]:
-            return -1
-        pair = (tok[p], tok[q])
-        r = pair_rank.get(pair)
-        if r is None:
-            r = pair_rank[pair] = ranks.get(tokens[pair[0]] + tokens[pair[1]], -1)
-        return r
-
-    def note(p: int, r: int) -> None:
-        held = index.get(r)
-        if held is None:
-            index[r] = [p]
-            heapq.heappush(queue, r)
-        else:
-            held.append(p)
-
-    for p in range(n):
-        if (r := rank_at(p)) >= 0:
-            note(p, r)
+    if not words:
+        return []
+    pairs, single, of_bytes = load_pairs(path)
+    # One sequence of tokens; a position of its own (token -1) stands between words.
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    raw = np.frombuffer(b"\0".join(words) + b"\0", np.uint8)
+    ends = np.cumsum(sizes) - 1
+    start = single[raw]
+    start[ends] = -1
+    now = np.full(len(raw), -1, np.int64)
+    now[:-1] = of_bytes[raw[:-1], raw[1:]]
+    now[ends] = -1
+    now[ends - 1] = -1
+    mergeable = np.flatnonzero(now >= 0)
+    mergeable = mergeable[np.argsort(now[mergeable], kind="stable")]
+    found, first = np.unique(now[mergeable], return_index=True)
+    #: The inverted index: rank of a pair -> positions where the pair starts (or has started).
+    index = dict(zip(found.tolist(), (x.tolist() for x in np.split(mergeable, first[1:]))))
+    queue = sorted(index)
+    tok, rank_at = start.tolist(), now.tolist()
+    after, before = list(range(1, len(raw) + 1)), list(range(-1, len(raw) - 1))
+    look, push = pairs.get, heapq.heappush
     while queue:
         rank = heapq.heappop(queue)
         waiting: set[int] = set()
         for p in sorted(index.pop(rank)):
-            if not alive[p] or rank_at(p) != rank:
+            if rank_at[p] != rank:
                 continue
-            if word_of[p] in waiting:
-                note(p, rank)
+            if waiting and int(np.searchsorted(ends, p)) in waiting:
+                if rank not in index:
+                    index[rank] = []
+                    push(queue, rank)
+                index[rank].append(p)
                 continue
             gone = after[p]
-            alive[gone] = 0
-            tok[p] = rank
-            after[p] = after[gone]
-            if after[p] < n:
-                before[after[p]] = p
-            for q in (before[p], p):
-                if q >= 0 and (r := rank_at(q)) >= 0:
-                    note(q, r)
+            then = after[gone]
+            tok[p], tok[gone], rank_at[gone] = rank, -2, -1
+            after[p], before[then] = then, p
+            back = before[p]
+            for q, key in ((back, tok[back] << 32 | rank), (p, rank << 32 | tok[then])):
+                r = rank_at[q] = look(key, -1) if key >= 0 else -1
+                if r >= 0:
+                    if r in index:
+                        index[r].append(q)
+                    else:
+                        index[r] = [q]
+                        push(queue, r)
                     if r < rank:
-                        waiting.add(word_of[p])
-    out: list[list[int]] = [[] for _ in words]
-    for p in range(n):
-        if alive[p]:
-            out[word_of[p]].append(tok[p])
-    return out
+                        waiting.add(int(np.searchsorted(ends, p)))
+    left = np.array(tok, np.int64)
+    kept = left >= 0
+    counts = np.add.reduceat(kept, ends - sizes + 1)
+    packed = left[kept].astype("<u4").tobytes()
+    cuts = [0, *np.cumsum(4 * counts).tolist()]
+    return [packed[i:j] for i, j in zip(cuts, cuts[1:])]
 
 
 class Encoder:
     """Texts to ids with a bounded memory of pieces; one per task."""
 
     def __init__(self, path: str, pattern: str, remembered: int = REMEMBERED) -> None:
-        self.ranks, self.tokens = load_ranks(path), load_tokens(path)
-        self.pattern, self.remembered = regex.compile(pattern), remembered
-        self.known: dict[str, bytes] = {}
-
-    def learn(self, parts: Iterable[str]) -> dict[str, bytes]:
-        """Little-endian unsigned 32-bit ids of each part."""
-        matches = {part: [m.encode() for m in self.pattern.findall(part)] for part in parts}
-        distinct = {m for ms in matches.values() for m in ms}
-        ids = {m: [self.ranks[m]] for m in distinct if m in self.ranks}
-        rest = [m for m in distinct if m not in ids]
-        ids.update(zip(rest, replay_merges(rest, self.ranks, self.tokens)))
-        packed = {m: np.array(x, dtype="<u4").tobytes() for m, x in ids.items()}
-        return {part: b"".join([packed[m] for m in ms]) for part, ms in matches.items()}
+        self.path, self.ranks = path, load_ranks(path)
+        self.pattern, self.memory = regex.compile(pattern), Memory(remembered)
+
+    def learn(self, parts: Iterable[str]) -> None:
+        """Remember the little-endian unsigned 32-bit ids of parts and of the matches in them."""
+        matches = {part: self.pattern.findall(part) for part in parts}
+        rest = []
+        absent = self.memory.recall(set().union(*matches.values()))
+        known = self.memory.new
+        for m in absent:
+            raw = m.encode()
+            if (rank := self.ranks.get(raw)) is not None:
+                known[m] = rank.to_bytes(4, "little")
+            else:
+                rest.append((m, raw))
+        for (m, _), ids in zip(rest, replay_merges([raw for _, raw in rest], self.path)):
+            known[m] = ids
+        for part, ms in matches.items():
+            if len(ms) > 1:
+                known[part] = b"".join([known[m] for m in ms])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         cut = [_CUT.findall(t) if t else [] for t in texts]
-        new = set().union(*cut).difference(self.known)
-        if len(self.known) + len(new) > self.remembered:
-            self.known = {}
-            new = set().union(*cut)
-        learned = self.learn(new)
-        self.known.update(learned)
-        out = [b"".join([self.known[part] for part in parts]) for parts in cut]
-        for part in new:
-            if len(part) > LONG_PIECE:
-                del self.known[part]
+        parts = set().union(*cut)
+        self.memory.turn()
+        self.learn(self.memory.recall(parts))
+        known = self.memory.new
+        out = [b"".join([known[part] for part in own]) for own in cut]
+        for part in [p for p in parts if len(p) > LONG_PIECE]:
+            del known[part]
         return out
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from schemaloom.llm.arrow import add_columns, as_text
+from schemaloom.llm.arrow import Memory, add_columns, as_text, pieces
 from schemaloom.session import materialize, shared_dir
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -44,52 +44,87 @@ REMEMBERED = 400_000
 LONG_CHUNK = 64
 BLOCK_SCHEMA = "shard int, block int, first long, n_tokens long, doc_ids binary, null_ids long, lengths binary, control binary, data binary"
 
-#: Letters with ASCII signs behind them: the pattern of the vocabulary always cuts between the two.
-_SIGNS = re.compile(r"([^\W\d_]+)([!-&(-/:-;=?@\[-`{}~]+)")
+#: ASCII signs behind a letter and before white space or the end. The vocabulary's pattern always cuts in front of them.
+_SIGNS = re.compile(r"(?<=[a-z\xdf-\xf6\xf8-\xff])([!-&(-/:-;=?@\[-`{}~]+)(?=[ \n]|$)")
+
+
+def cut(text: str | None) -> list[str]:
+    """Parts of a text that can be encoded on their own: the vocabulary never joins across a space or line feed.
+
+    Latin-1 texts are lower-cased first, as the vocabulary does itself (they hold no
+    characters whose lower case depends on others, and no marks to compose).
+    """
+    if not text:
+        return []
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        pass
+    else:
+        text = _SIGNS.sub(r" \1", text.lower())
+    return text.replace("\n", " ").split(" ")
 
 
 @lru_cache(maxsize=2)
 def load_tokenizer(path: str):
+    """The tokenizer, and which of its ids end a word."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path)
+    tokenizer = Tokenizer.from_file(path)
+    vocabulary = tokenizer.get_vocab()
+    suffix = getattr(tokenizer.model, "end_of_word_suffix", None) or ""
+    last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+    if suffix:
+        last[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+    return tokenizer, last
 
 
 class Encoder:
-    """Whole texts to ids. The vocabulary never joins across a space or line feed, so parts between them are looked up."""
+    """Whole texts to ids, part by part; one per task."""
 
     def __init__(self, path: str, remembered: int = REMEMBERED) -> None:
-        self.tokenizer, self.remembered = load_tokenizer(path), remembered
-        self.known: dict[str, bytes] = {}
+        (self.tokenizer, self.last), self.memory = load_tokenizer(path), Memory(remembered)
+        self.width = "<u2" if len(self.last) <= 1 << 16 else "<u4"
+
+    def one_by_one(self, parts: list[str]) -> dict[str, bytes]:
+        found = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
+        return {p: np.array(e.ids, dtype=self.width).tobytes() for p, e in zip(parts, found)}
 
     def library(self, parts: list[str]) -> dict[str, bytes]:
-        found = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False) if parts else []
-        return {p: np.array(e.ids, dtype="<u4").tobytes() for p, e in zip(parts, found)}
+        """Ids of each part. Words of letters are encoded as one text and told apart by the ids that end a word."""
+        words = [p for p in parts if p.isalpha()]
+        out = self.one_by_one([p for p in parts if not p.isalpha()])
+        for k in range(0, len(words), 2000):
+            own = words[k:k + 2000]
+            ids = np.array(self.tokenizer.encode(" ".join(own), add_special_tokens=False).ids, np.int64)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(own):
+                packed, cuts = ids.astype(self.width).tobytes(), (ends * int(self.width[-1])).tolist()
+                out.update(zip(own, (packed[i:j] for i, j in zip([0, *cuts], cuts))))
+            else:  # a letter was normalised into something that is none
+                out.update(self.one_by_one(own))
+        return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        cut = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        new = set().union(*cut).difference(self.known)
-        if len(self.known) + len(new) > self.remembered:
-            self.known = {}
-            new = set().union(*cut)
-        split = {p: m.groups() for p in new if (m := _SIGNS.fullmatch(p))}
-        plain = (new - split.keys()).union(*split.values()).difference(self.known)
-        self.known.update(self.library(list(plain)))
-        self.known.update({p: self.known[a] + self.known[b] for p, (a, b) in split.items()})
-        out = [b"".join([self.known[p] for p in parts]) for parts in cut]
-        for p in new | plain:
-            if len(p) > LONG_CHUNK:
-                del self.known[p]
+        split = [cut(t) for t in texts]
+        parts = set().union(*split)
+        self.memory.turn()
+        new = self.memory.recall(parts)
+        known = self.memory.new
+        known.update(self.library(list(new)))
+        out = [b"".join([known[p] for p in own]) for own in split]
+        for p in [p for p in new if len(p) > LONG_CHUNK]:
+            del known[p]
         return out
 
 
 def encode(df: DataFrame, text: str = "text", path: str = VOCABULARY, end_id: int = END_ID, ids: str = "ids") -> DataFrame:
-    """Append the ids with the end id (little-endian unsigned 32-bit integers)."""
-    end = np.array([end_id], dtype="<u4").tobytes()
+    """Append the ids with the end id: little-endian unsigned integers of 16 bits, or of 32 for vocabularies that need them."""
 
     def make():
         encoder = Encoder(path)
+        end = np.array([end_id], dtype=encoder.width).tobytes()
         return lambda texts: [[x + end for x in encoder.encode(texts)]]
 
     return add_columns(df, text, [(ids, BinaryType())], make)
@@ -121,49 +156,69 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 
 # --- files ----------------------------------------------------------------------
-def _count_ids(batches):
-    total = np.zeros(0, np.int64)
-    for batch in batches:
-        for packed in batch.column(0):
-            seen = np.bincount(np.frombuffer(packed.as_buffer(), dtype="<u4"))
-            if len(seen) > len(total):
-                total = np.concatenate([total, np.zeros(len(seen) - len(total), np.int64)])
-            total[:len(seen)] += seen
-    used = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["id", "n"])
+def encode_and_count(rows: DataFrame, path: str, end_id: int) -> DataFrame:
+    """(doc_id, ids, counts): ids of every row, and one more row per task with how often it saw each id."""
 
+    def run(batches):
+        encoder = Encoder(path)
+        end = np.array([end_id], dtype=encoder.width).tobytes()
+        total = np.zeros(max(len(encoder.last), end_id + 1), np.int64)
+        for whole in batches:
+            for batch in pieces(whole, "text"):
+                ids = [x + end for x in encoder.encode(batch.column(1).to_pylist())]
+                for k in range(0, len(ids), 64):
+                    seen = np.bincount(np.frombuffer(b"".join(ids[k:k + 64]), dtype=encoder.width))
+                    total[:len(seen)] += seen
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary())], names=["doc_id", "ids", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.tobytes()], pa.binary())], names=["doc_id", "ids", "counts"])
 
-def frequency_ranks(encoded: DataFrame, ids: str = "ids") -> np.ndarray:
-    """Ids by falling frequency over all rows (ties: smaller id first); at most one entry per vocabulary id."""
-    counts = encoded.select(ids).mapInArrow(_count_ids, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-    table = counts.toPandas().sort_values(["n", "id"], ascending=[False, True])
-    return table["id"].to_numpy(np.int64)
+    return rows.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary, counts binary")
+
+
+def frequency_ranks(counts: DataFrame) -> tuple[np.ndarray, int]:
+    """Ids by falling frequency over all tasks (ties: smaller id first), and the number of all ids."""
+
+    def add(batches):
+        total = np.zeros(0, np.int64)
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                own = np.frombuffer(raw, np.int64)
+                total = own + (total if len(total) else 0)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["id", "n"])
+
+    sums = counts.select("counts").where("counts is not null").mapInArrow(add, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    table = sums.toPandas().sort_values(["n", "id"], ascending=[False, True])  # one row per vocabulary id at most
+    return table["id"].to_numpy(np.int64), int(table["n"].sum())
 
 
 def write(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "text", path: str = VOCABULARY, end_id: int = END_ID) -> None:
     """Encode every text and write blocks in ascending id order below ``folder``."""
     spark = docs.sparkSession
     rows = as_text(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), "text")
-    encoded = materialize(encode(rows, "text", path, end_id).select("doc_id", "ids"), "token-ids")
-    by_rank = frequency_ranks(encoded)
+    width = Encoder(path).width
+    stored = materialize(encode_and_count(rows, path, end_id), "token-ids")
+    by_rank, total = frequency_ranks(stored)
+    encoded = stored.where("counts is null").select("doc_id", "ids")
     rank_of = np.zeros(int(by_rank.max(initial=0)) + 1, np.uint32)
     rank_of[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
     spark.createDataFrame([(i, int(x)) for i, x in enumerate(by_rank)], "rank long, id long").coalesce(1).write.parquet(f"{folder}/ranks")
-    total = encoded.agg(F.coalesce(F.sum(F.length("ids")), F.lit(0))).first()[0]
-    shards = int(min(MOST_SHARDS, max(1, total // SHARD_BYTES)))
+    shards = min(MOST_SHARDS, max(1, total * int(width[-1]) // SHARD_BYTES))
     cuts = encoded.agg(F.percentile_approx("doc_id", [k / shards for k in range(1, shards)], 100 * shards)).first()[0] if shards > 1 else []
     cuts = np.unique(np.asarray(cuts or [], np.int64))
     held = spark.sparkContext.broadcast((rank_of, cuts))
 
     def place(batches):
-        """Shard of every row and its ranks as variable-length bytes."""
-        rank_of, cuts = held.value
+        """Shard of every row."""
+        _, cuts = held.value
         for batch in batches:
             ids = batch.column(0)
             shard = np.searchsorted(cuts, ids.fill_null(0).to_numpy(zero_copy_only=False), side="right").astype(np.int32)
             shard[ids.is_null().to_numpy(zero_copy_only=False)] = 0
             yield pa.RecordBatch.from_arrays([pa.array(shard), ids, batch.column(1)], names=["shard", "doc_id", "ids"])
 
+    size = int(width[-1])
+
     def blocks(batches):
         rank_of, _ = held.value
         now, docs, held_ids, tokens = None, [], [], 0
@@ -171,9 +226,9 @@ def write(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "tex
 
         def flush():
             nonlocal block, first
-            ids = np.frombuffer(b"".join(held_ids), dtype="<u4")
+            ids = np.frombuffer(b"".join(held_ids), dtype=width)
             control, data = pack(rank_of[ids])
-            lengths = np.fromiter((len(x) // 4 for x in held_ids), "<u4", len(held_ids))
+            lengths = np.fromiter((len(x) // size for x in held_ids), "<u4", len(held_ids))
             out = pa.RecordBatch.from_pylist([{
                 "shard": now, "block": block, "first": first, "n_tokens": len(ids),
                 "doc_ids": np.array([d or 0 for d in docs], "<i8").tobytes(), "null_ids": sum(d is None for d in docs),
@@ -191,7 +246,7 @@ def write(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "tex
                     now, block, first = shard, 0, 0
                 docs.append(d)
                 held_ids.append(ids)
-                tokens += len(ids) // 4
+                tokens += len(ids) // size
         if docs:
             yield flush()
 
