@@ -53,13 +53,12 @@ def signatures(texts: pa.Array) -> np.ndarray:
         full = least != _EMPTY
         some = np.flatnonzero(full.any(axis=1))
         least, full = least[some], full[some]
-        filled, attempt = full.copy(), 0
-        while not filled.all():
-            donor = _donors(attempt)
-            take = ~filled & full[:, donor]
-            least[take] = least[:, donor][take]
-            filled |= take
-            attempt += 1
+        row, bin_, attempt = *np.nonzero(~full), 0
+        while len(row):
+            donor = _donors(attempt)[bin_]
+            hit = full[row, donor]
+            least[row[hit], bin_[hit]] = least[row[hit], donor[hit]]
+            row, bin_, attempt = row[~hit], bin_[~hit], attempt + 1
         out[at + some, 0] = 1
         out[at + some, 1:] = (mix(least, 3) & np.uint64((1 << BITS) - 1)).astype(np.uint8)
     return out
