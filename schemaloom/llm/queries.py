@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from schemaloom.llm import bpe, fingerprints, language, secrets, substrings, token_files
+from schemaloom.llm import bpe, fingerprints, jaccard, language, secrets, substrings, token_files
 from schemaloom.llm.arrow import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -111,3 +111,23 @@ ORACLES["op3_substring_dedup"] = r"""
 def op8_fingerprints(spark, d):
     """Fingerprint of every document and of its edited text, and their likeness."""
     return fingerprints.compare_edits(table(spark, d, "documents").select("doc_id", "text"))
+
+
+@query
+def op2_ngram_jaccard(spark, d):
+    """Groups of documents that are linked by similar shingle sets."""
+    return jaccard.components(table(spark, d, "documents").select("doc_id", "text"))
+
+
+ORACLES["op2_ngram_jaccard"] = r"""
+    WITH RECURSIVE docs AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    shingles AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[p:p + 4], ' ') AS s
+                              FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS p FROM docs WHERE len(w) > 0)),
+    sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+    shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+    links AS MATERIALIZED (SELECT x, y FROM shared JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * c >= 75 * (p.n + q.n - c)),
+    reach AS (SELECT x, x AS y FROM (SELECT DISTINCT x FROM links) UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y),
+    least AS (SELECT x AS doc_id, min(y) AS low FROM reach GROUP BY x)
+    SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(low, doc_id) AS component_id
+    FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN least USING (doc_id)"""
