@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from schemaloom.llm import bpe, fingerprints, jaccard, language, secrets, substrings, token_files
+from schemaloom.llm import bpe, decontaminate, fingerprints, jaccard, language, secrets, substrings, token_files
 from schemaloom.llm.arrow import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -131,3 +131,9 @@ ORACLES["op2_ngram_jaccard"] = r"""
     least AS (SELECT x AS doc_id, min(y) AS low FROM reach GROUP BY x)
     SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(low, doc_id) AS component_id
     FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN least USING (doc_id)"""
+
+
+@query
+def op4_decontamination(spark, d):
+    """Documents that hold benchmark items, copied or with other values."""
+    return decontaminate.matches(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark"))
