@@ -42,6 +42,9 @@ _WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u30
 #: text can be cut there and the parts matched on their own.
 _CUT = re.compile(f"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+")
 
+#: Parts that the public pattern cuts in a known way: letters, or letters and signs behind them.
+_WORD_AND_SIGNS = re.compile(r"( ?[^\W\d_]+)([!-/:-@\[-`{-~]+)")
+
 
 @lru_cache(maxsize=4)
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -105,7 +108,10 @@ def replay_merges(words: list[bytes], path: str) -> list[bytes]:
     while queue:
         rank = heapq.heappop(queue)
         waiting: set[int] = set()
-        for p in sorted(index.pop(rank)):
+        spots = index.pop(rank)
+        if len(spots) > 1:
+            spots.sort()
+        for p in spots:
             if rank_at[p] != rank:
                 continue
             if waiting and int(np.searchsorted(ends, p)) in waiting:
@@ -116,19 +122,29 @@ def replay_merges(words: list[bytes], path: str) -> list[bytes]:
                 continue
             gone = after[p]
             then = after[gone]
-            tok[p], tok[gone], rank_at[gone] = rank, -2, -1
+            tok[p], rank_at[gone] = rank, -1
+            tok[gone] = -2
             after[p], before[then] = then, p
             back = before[p]
-            for q, key in ((back, tok[back] << 32 | rank), (p, rank << 32 | tok[then])):
-                r = rank_at[q] = look(key, -1) if key >= 0 else -1
-                if r >= 0:
-                    if r in index:
-                        index[r].append(q)
-                    else:
-                        index[r] = [q]
-                        push(queue, r)
-                    if r < rank:
-                        waiting.add(int(np.searchsorted(ends, p)))
+            # the two neighbours: a separator (-1) makes a key that is in no pair
+            r = rank_at[back] = look(tok[back] << 32 | rank, -1)
+            if r >= 0:
+                if r in index:
+                    index[r].append(back)
+                else:
+                    index[r] = [back]
+                    push(queue, r)
+                if r < rank:
+                    waiting.add(int(np.searchsorted(ends, p)))
+            r = rank_at[p] = look(rank << 32 | tok[then], -1)
+            if r >= 0:
+                if r in index:
+                    index[r].append(p)
+                else:
+                    index[r] = [p]
+                    push(queue, r)
+                if r < rank:
+                    waiting.add(int(np.searchsorted(ends, p)))
     left = np.array(tok, np.int64)
     kept = left >= 0
     counts = np.add.reduceat(kept, ends - sizes + 1)
@@ -143,10 +159,19 @@ class Encoder:
     def __init__(self, path: str, pattern: str, remembered: int = REMEMBERED) -> None:
         self.path, self.ranks = path, load_ranks(path)
         self.pattern, self.memory = regex.compile(pattern), Memory(remembered)
+        self.common = pattern == public_tokenizers.PATTERN
+
+    def matches(self, part: str) -> list[str]:
+        if self.common:
+            if part.isalpha() or (part[0] == " " and part[1:].isalpha()):
+                return [part]
+            if (m := _WORD_AND_SIGNS.fullmatch(part)) and m[1].lstrip(" ").isalpha():
+                return [m[1], m[2]]
+        return self.pattern.findall(part)
 
     def learn(self, parts: Iterable[str]) -> None:
         """Remember the little-endian unsigned 32-bit ids of parts and of the matches in them."""
-        matches = {part: self.pattern.findall(part) for part in parts}
+        matches = {part: self.matches(part) for part in parts}
         rest = []
         absent = self.memory.recall(set().union(*matches.values()))
         known = self.memory.new
