@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from schemaloom.llm import bpe, decontaminate, fingerprints, jaccard, language, secrets, substrings, token_files
+from schemaloom.llm import bpe, decontaminate, fingerprints, jaccard, language, pages, secrets, substrings, token_files
 from schemaloom.llm.arrow import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -137,3 +137,11 @@ ORACLES["op2_ngram_jaccard"] = r"""
 def op4_decontamination(spark, d):
     """Documents that hold benchmark items, copied or with other values."""
     return decontaminate.matches(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark"))
+
+
+@query
+def op7_html_extraction(spark, d):
+    """Main text of every page."""
+    raw = table(spark, d, "pages").select("page_id", "url", "html")
+    found = pages.extract(raw, pages.fit(raw))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
