@@ -18,9 +18,6 @@ its list were compared with leaves the list; lists within one group are done. Wh
 is left when few pairs remain is compared pair by pair. No link that joins two
 groups is lost, and large groups of near copies cost a few comparisons each.
 
-Only half of the shingles (a bit of the hash) enter the sketch; the others count as
-repeated, which only weakens the first filter.
-
 Defined cases: null and blank texts have no shingles, size 0 and are alone; texts
 with fewer words than a shingle are one shingle; rows may repeat an id or have a
 null id (a group's id is its smallest id that is not null); row order is irrelevant.
@@ -45,8 +42,10 @@ SHINGLE = 5
 PERCENT = 75
 ORDERS = 3
 SKETCH_ROWS = 1
+#: Cells of the sketch; a merged sketch is one bit a cell (64 MB).
+LOG2_CELLS = 29
 #: Pairs of different groups that are compared without another round, per row of the posting lists.
-PAIRS_PER_POSTING = 4
+PAIRS_PER_POSTING = 16
 ROW_SCHEMA = "doc_id long, n long, class binary, tokens array<long>, first array<long>, others array<array<long>>"
 
 
@@ -88,10 +87,6 @@ def least_overlap(n):
     return -(-PERCENT * n // 100)
 
 
-def _in_sketch(tokens: np.ndarray) -> np.ndarray:
-    return (tokens & np.uint64(1)).astype(bool)
-
-
 def class_of_texts(texts: pa.Array, width: int = SHINGLE) -> list[bytes | None]:
     out: list[bytes | None] = []
     for _, data, offsets in text_slices(texts):
@@ -107,9 +102,7 @@ def _rows(docs: DataFrame, bits, width: int, orders: int, log2_cells: int) -> Da
             for at, data, offsets in text_slices(batch.column(1)):
                 sets = shingle_sets(data, offsets, width)
                 sizes = sets.sizes()
-                rare = np.zeros(len(sets.tokens), dtype=bool)
-                own = np.flatnonzero(_in_sketch(sets.tokens))
-                rare[own] = ~sketch.repeated(bits.value, sets.tokens[own], log2_cells)
+                rare = ~sketch.repeated(bits.value, sets.tokens, log2_cells)
                 seen = np.concatenate([[0], np.cumsum(rare)])
                 quota = sizes - least_overlap(sizes) + 1 - (seen[sets.first[1:]] - seen[sets.first[:-1]])
                 mixed = [mix(sets.tokens, 100 + k) for k in range(orders)]
@@ -194,15 +187,14 @@ def _groups(sets: DataFrame) -> DataFrame:
 
 
 def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = SHINGLE, orders: int = ORDERS,
-         log2_cells: int = sketch.LOG2_CELLS) -> tuple[DataFrame, DataFrame]:
+         log2_cells: int = LOG2_CELLS) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, n, class) of all documents and classes (class, root, component_id) of all non-empty sets."""
     spark = docs.sparkSession
     source = as_text(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), "text")
 
     def keys(batch):
         for _, data, offsets in text_slices(batch.column(0)):
-            tokens = shingle_sets(data, offsets, width).tokens
-            yield tokens[_in_sketch(tokens)]
+            yield shingle_sets(data, offsets, width).tokens
 
     parts = sketch.collect_keys(source.select("text"), keys, SKETCH_ROWS, log2_cells)
     bits = spark.sparkContext.broadcast(sketch.merge(parts, SKETCH_ROWS, log2_cells))
