@@ -40,7 +40,7 @@ BLOCK_TOKENS = 1 << 19
 #: Bytes of encoded ids that one shard is planned for, and the most shards.
 SHARD_BYTES = 8 << 20
 MOST_SHARDS = 10_000
-REMEMBERED = 400_000
+REMEMBERED = 700_000
 LONG_CHUNK = 64
 BLOCK_SCHEMA = "shard int, block int, first long, n_tokens long, doc_ids binary, null_ids long, lengths binary, control binary, data binary"
 
