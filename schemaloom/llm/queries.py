@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from schemaloom.llm import bpe, decontaminate, fingerprints, jaccard, language, pages, secrets, substrings, token_files
+from schemaloom.llm import bpe, decontaminate, fingerprints, jaccard, language, pages, pitman_yor, secrets, substrings, token_files
 from schemaloom.llm.arrow import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -145,3 +145,12 @@ def op7_html_extraction(spark, d):
     raw = table(spark, d, "pages").select("page_id", "url", "html")
     found = pages.extract(raw, pages.fit(raw))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op9_lm_scoring(spark, d):
+    """Log probability of every document by smoothed unigrams and by the Pitman-Yor model."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    model = pitman_yor.fit(docs.where((fold() != 1) & F.col("doc_id").isNotNull()))
+    found = pitman_yor.score(docs, model)
+    return found.select("doc_id", (fold() == 1).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
