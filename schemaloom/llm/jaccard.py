@@ -2,12 +2,14 @@
 
 Exact, with filters under several global orders of the shingles. Two sets that are
 similar enough share a shingle among the first ``size - least overlap + 1`` of each
-(the prefix), under any order that is the same for all sets. The orders used here
-put shingles first that a merged count-min sketch of the corpus estimates to be in
-one document only, and differ in a random permutation behind them. Then
+(the prefix), under any order that is the same for all sets. The orders used here go
+from rare to frequent shingles, by powers of two of the frequency that merged count-min
+sketches estimate, and differ in a random permutation of those alike. Then
 
-- a set whose prefix is full of unrepeated shingles is linked with nothing,
+- a set whose prefix is full of unrepeated shingles is linked with nothing; most sets
+  are set aside so by a first sketch of the corpus, which only tells once from more,
 - only the repeated shingles of a prefix need to be compared,
+- what many documents share, such as a license, hardly ever enters a prefix,
 - a pair is a candidate if its prefixes meet under every order; the others are
   dropped before the sets are compared exactly.
 
@@ -46,7 +48,10 @@ SKETCH_ROWS = 1
 LOG2_CELLS = 29
 #: Pairs of different groups that are compared without another round, per row of the posting lists.
 PAIRS_PER_POSTING = 16
-ROW_SCHEMA = "doc_id long, n long, class binary, tokens array<long>, first array<long>, others array<array<long>>"
+#: Cells and cap of the second sketch, of the sets that are left (a byte a cell).
+LOG2_COUNTS = 25
+MOST_COUNTED = 255
+ROW_SCHEMA = "doc_id long, n long, class binary, quota int, tokens array<long>"
 
 
 @dataclass
@@ -94,8 +99,8 @@ def class_of_texts(texts: pa.Array, width: int = SHINGLE) -> list[bytes | None]:
     return out
 
 
-def _rows(docs: DataFrame, bits, width: int, orders: int, log2_cells: int) -> DataFrame:
-    """Size and class of every document; shingles and prefixes where a link is possible."""
+def _rows(docs: DataFrame, bits, width: int, log2_cells: int) -> DataFrame:
+    """Size and class of every document; where a link is possible, its repeated shingles and how many of them are in a prefix."""
 
     def run(batches):
         for batch in batches:
@@ -105,25 +110,47 @@ def _rows(docs: DataFrame, bits, width: int, orders: int, log2_cells: int) -> Da
                 rare = ~sketch.repeated(bits.value, sets.tokens, log2_cells)
                 seen = np.concatenate([[0], np.cumsum(rare)])
                 quota = sizes - least_overlap(sizes) + 1 - (seen[sets.first[1:]] - seen[sets.first[:-1]])
-                mixed = [mix(sets.tokens, 100 + k) for k in range(orders)]
-                tokens, first, others = [], [], []
-                for i, (a, b) in enumerate(zip(sets.first, sets.first[1:])):
-                    if not sizes[i] or quota[i] <= 0:
-                        tokens.append(None), first.append(None), others.append(None)
-                        continue
-                    use = np.flatnonzero(~rare[a:b]) + a
-                    q = min(int(quota[i]), len(use))
-                    prefixes = [np.sort(sets.tokens[use[np.argpartition(m[use], q - 1)[:q]]]).view(np.int64).tolist() for m in mixed]
-                    tokens.append(sets.tokens[use].view(np.int64).tolist())
-                    first.append(prefixes[0]), others.append(prefixes[1:])
+                use = (sizes > 0) & (quota > 0)
+                tokens = [sets.tokens[a:b][~rare[a:b]].view(np.int64).tolist() if u else None for u, a, b in zip(use, sets.first, sets.first[1:])]
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(at, len(sizes)), pa.array(sizes, pa.int64()), pa.array(classes_of(sets), pa.binary()),
-                    pa.array(tokens, pa.list_(pa.int64())), pa.array(first, pa.list_(pa.int64())), pa.array(others, pa.list_(pa.list_(pa.int64()))),
-                ], names=["doc_id", "n", "class", "tokens", "first", "others"])
+                    pa.array(np.where(use, quota, 0).astype(np.int32)), pa.array(tokens, pa.list_(pa.int64())),
+                ], names=["doc_id", "n", "class", "quota", "tokens"])
 
     return docs.select("doc_id", "text").mapInArrow(run, ROW_SCHEMA)
 
 
+def _with_prefixes(classes: DataFrame, orders: int, log2_counts: int) -> DataFrame:
+    """Classes that can have a link, with the repeated shingles of their prefix under the first and the other orders."""
+
+    def keys(batch):
+        yield batch.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+
+    parts = sketch.collect_keys(classes.select("tokens"), keys, 1, log2_counts, MOST_COUNTED)
+    counts = classes.sparkSession.sparkContext.broadcast(sketch.merge(parts, 1, log2_counts, MOST_COUNTED))
+
+    def run(batches):
+        for batch in batches:
+            first, others = [], []
+            for row in zip(batch.column(2).to_pylist(), batch.column(3)):
+                quota, tokens = row[0], row[1].values.to_numpy(zero_copy_only=False).view(np.uint64)
+                seen = sketch.estimates(counts.value, tokens, log2_counts)
+                often = tokens[seen > 1]
+                quota = min(quota - (len(tokens) - len(often)), len(often))
+                if quota <= 0:
+                    first.append([]), others.append([])
+                    continue
+                level = np.log2(seen[seen > 1]).astype(np.int64)
+                prefixes = [often[np.lexsort((mix(often, 100 + k), level))[:quota]].view(np.int64).tolist() for k in range(orders)]
+                first.append(prefixes[0]), others.append(prefixes[1:])
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0), batch.column(1), batch.column(3), pa.array(first, pa.list_(pa.int64())), pa.array(others, pa.list_(pa.list_(pa.int64()))),
+            ], names=["class", "n", "tokens", "first", "others"])
+
+    schema = "class binary, n long, tokens array<long>, first array<long>, others array<array<long>>"
+    return classes.select("class", "n", "quota", "tokens").mapInArrow(run, schema).where(F.size("first") > 0)
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """(node, root) of the nodes of undirected ``edges`` (a, b); the root is the smallest node reachable.
 
@@ -187,7 +214,7 @@ def _groups(sets: DataFrame) -> DataFrame:
 
 
 def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = SHINGLE, orders: int = ORDERS,
-         log2_cells: int = LOG2_CELLS) -> tuple[DataFrame, DataFrame]:
+         log2_cells: int = LOG2_CELLS, log2_counts: int = LOG2_COUNTS) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, n, class) of all documents and classes (class, root, component_id) of all non-empty sets."""
     spark = docs.sparkSession
     source = as_text(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), "text")
@@ -198,10 +225,10 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int
 
     parts = sketch.collect_keys(source.select("text"), keys, SKETCH_ROWS, log2_cells)
     bits = spark.sparkContext.broadcast(sketch.merge(parts, SKETCH_ROWS, log2_cells))
-    rows = materialize(_rows(source, bits, width, orders, log2_cells), "shingle-sets")
-    sets = rows.where("tokens is not null").groupBy("class").agg(
-        F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("first").alias("first"), F.first("others").alias("others"))
-    groups = _groups(materialize(sets, "classes")).withColumnRenamed("node", "class")
+    rows = materialize(_rows(source, bits, width, log2_cells), "shingle-sets")
+    classes = materialize(rows.where("tokens is not null").groupBy("class").agg(
+        F.first("n").alias("n"), F.first("quota").alias("quota"), F.first("tokens").alias("tokens")), "classes")
+    groups = _groups(materialize(_with_prefixes(classes, orders, log2_counts), "prefixes")).withColumnRenamed("node", "class")
     least = materialize(rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least")), "class-ids")
     rooted = least.join(groups, "class", "left").select("class", "least", F.coalesce("root", "class").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))

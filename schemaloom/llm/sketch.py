@@ -3,9 +3,9 @@
 Each of ``rows`` hash functions maps a key to one of ``2**log2_cells`` cells. A task
 collects the cells of its keys and emits them as sorted, gap-coded lists per block
 of cells; the blocks are the shuffle key, so no task merges more than its blocks.
-Counts stop at two, as only "seen more than once" is asked for. The merged sketch is
-one bit per cell, ``rows * 2**log2_cells / 8`` bytes whatever the input, which bounds
-what is collected and broadcast. An estimate is the smallest count over the rows, so
+Counts stop at a cap. With a cap of two, where only "seen more than once" is asked for,
+the merged sketch is one bit per cell, else one byte: ``rows * 2**log2_cells`` bits or
+bytes whatever the input, which bounds what is collected and broadcast. An estimate is the smallest count over the rows, so
 it is never below the true count; with more keys than cells it only lets more pass.
 """
 
@@ -34,8 +34,8 @@ def cells(keys: np.ndarray, row: int, log2_cells: int) -> np.ndarray:
 class Builder:
     """Cells of one task."""
 
-    def __init__(self, rows: int, log2_cells: int) -> None:
-        self.rows, self.log2_cells, self.held, self.size = rows, log2_cells, [], 0
+    def __init__(self, rows: int, log2_cells: int, cap: int) -> None:
+        self.rows, self.log2_cells, self.cap, self.held, self.size = rows, log2_cells, cap, [], 0
 
     def add(self, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
         self.held.append(keys)
@@ -50,7 +50,7 @@ class Builder:
         out = []
         for row in range(self.rows):
             found, counts = np.unique(cells(keys, row, self.log2_cells), return_counts=True)
-            found = np.repeat(found, np.minimum(counts, 2))
+            found = np.repeat(found, np.minimum(counts, self.cap))
             edges = np.searchsorted(found, np.arange(1 << LOG2_BLOCKS) * width)
             for b, part in enumerate(np.split(found, edges[1:])):
                 if len(part):
@@ -61,11 +61,11 @@ class Builder:
             names=["block", "n", "control", "data"])
 
 
-def collect_keys(source: DataFrame, keys: Callable[[pa.RecordBatch], Iterator[np.ndarray]], rows: int, log2_cells: int = LOG2_CELLS) -> DataFrame:
+def collect_keys(source: DataFrame, keys: Callable[[pa.RecordBatch], Iterator[np.ndarray]], rows: int, log2_cells: int = LOG2_CELLS, cap: int = 2) -> DataFrame:
     """Sketch parts of every task; ``keys`` yields the 64-bit keys of a batch."""
 
     def run(batches):
-        builder = Builder(rows, log2_cells)
+        builder = Builder(rows, log2_cells, cap)
         for batch in batches:
             for found in keys(batch):
                 yield from builder.add(found)
@@ -74,8 +74,8 @@ def collect_keys(source: DataFrame, keys: Callable[[pa.RecordBatch], Iterator[np
     return source.mapInArrow(run, SCHEMA)
 
 
-def merge(parts: DataFrame, rows: int, log2_cells: int = LOG2_CELLS, tasks: int = 64) -> list[np.ndarray]:
-    """Bits of the cells that were hit more than once, one array per row."""
+def merge(parts: DataFrame, rows: int, log2_cells: int = LOG2_CELLS, cap: int = 2, tasks: int = 64) -> list[np.ndarray]:
+    """One array per row: bits of the cells that were hit more than once, or counts up to the cap."""
     width = 1 << (log2_cells - LOG2_BLOCKS)
 
     def run(batches):
@@ -84,18 +84,17 @@ def merge(parts: DataFrame, rows: int, log2_cells: int = LOG2_CELLS, tasks: int
             for row in batch.to_pylist():
                 own = counts.setdefault(row["block"], np.zeros(width, np.uint8))
                 at = np.cumsum(unpack(row["control"], row["data"], row["n"]).astype(np.int64))
-                twice = at[1:][at[1:] == at[:-1]]
-                own[at] = np.minimum(own[at] + 1, 2)
-                own[twice] = 2
+                found, times = np.unique(at, return_counts=True)
+                own[found] = np.minimum(own[found] + times, cap)
         blocks = sorted(counts)
         yield pa.RecordBatch.from_arrays([
-            pa.array(blocks, pa.int32()), pa.array([np.packbits(counts[b] > 1).tobytes() for b in blocks], pa.binary()),
+            pa.array(blocks, pa.int32()), pa.array([(np.packbits(counts[b] > 1) if cap == 2 else counts[b]).tobytes() for b in blocks], pa.binary()),
         ], names=["block", "bits"])
 
     # block ids run over all rows of the sketch and are spread over the tasks in turn
     merged = parts.repartitionById(tasks, parts["block"] % tasks).mapInArrow(run, "block int, bits binary")
-    out = [np.zeros((1 << log2_cells) // 8, np.uint8) for _ in range(rows)]
-    size = width // 8
+    size = width // 8 if cap == 2 else width
+    out = [np.zeros(size << LOG2_BLOCKS, np.uint8) for _ in range(rows)]
     for r in merged.toLocalIterator():
         row, b = r["block"] >> LOG2_BLOCKS, r["block"] & ((1 << LOG2_BLOCKS) - 1)
         out[row][b * size:(b + 1) * size] = np.frombuffer(r["bits"], np.uint8)
@@ -109,3 +108,8 @@ def repeated(bits: list[np.ndarray], keys: np.ndarray, log2_cells: int = LOG2_CE
         at = cells(keys, row, log2_cells)
         out &= (own[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
     return out
+
+
+def estimates(counts: list[np.ndarray], keys: np.ndarray, log2_cells: int) -> np.ndarray:
+    """Estimated count of each key, up to the cap."""
+    return np.min([own[cells(keys, row, log2_cells)] for row, own in enumerate(counts)], axis=0)
