@@ -46,8 +46,8 @@ ORDERS = 3
 SKETCH_ROWS = 1
 #: Cells of the sketch; a merged sketch is one bit a cell (64 MB).
 LOG2_CELLS = 29
-#: Pairs of different groups that are compared without another round, per row of the posting lists.
-PAIRS_PER_POSTING = 16
+#: Pairs of different groups that are compared without another round, per row that the posting lists have at first.
+PAIRS_PER_POSTING = 8
 #: Cells and cap of the second sketch, of the sets that are left (a byte a cell).
 LOG2_COUNTS = 25
 MOST_COUNTED = 255
@@ -184,7 +184,7 @@ def _groups(sets: DataFrame) -> DataFrame:
     postings = materialize(sets.select("class", "n", F.explode("first").alias("token")), "postings")
     repeated = postings.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("token")
     lists = materialize(postings.join(repeated, "token", "left_semi"), "lists")
-    roots = None
+    roots, postings_at_first = None, lists.count()
     fits = "least(n, n2) * 100 >= greatest(n, n2) * %d" % PERCENT
     while True:
         rooted = lists if roots is None else lists.join(roots.withColumnRenamed("node", "class"), "class", "left")
@@ -196,7 +196,7 @@ def _groups(sets: DataFrame) -> DataFrame:
         size = live.agg(F.sum("m").alias("m"), F.sum((F.col("m") * F.col("m") - F.col("same")) / 2).alias("pairs")).first()
         if not size["m"]:
             return roots if roots is not None else lists.select(F.col("class").alias("node"), F.col("class").alias("root")).limit(0)
-        final = size["pairs"] <= PAIRS_PER_POSTING * size["m"]
+        final = size["pairs"] <= PAIRS_PER_POSTING * postings_at_first
         other = open_.select("token", F.col("class").alias("class2"), F.col("n").alias("n2"), F.col("root").alias("root2"))
         if final:
             pairs = open_.join(other, "token").where("class < class2 and root <> root2")
