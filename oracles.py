@@ -156,7 +156,9 @@ def profile_sql():
 
 add("column_profile", " UNION ALL ".join(profile_sql()))
 add("question_dbs", "SELECT DISTINCT db_id FROM questions", QUESTIONS)
-add("resume_pending", "SELECT doc_id AS idx, source AS db_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+add("resume_pending", """
+SELECT model, doc_id AS idx, source AS db_id FROM documents, (VALUES ('m1'), ('m2')) m(model)
+WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = documents.doc_id AND CASE WHEN l.doc_id % 2 = 0 THEN 'm1' ELSE 'm2' END = model)""")
 
 # --- scalars ----------------------------------------------------------------
 add("type_affinity", "SELECT db_id, type, typegroup, count(*) AS n FROM cat_columns GROUP BY db_id, type, typegroup", COLUMNS)
@@ -220,26 +222,26 @@ add("chat_messages", """
 SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS pos, role, text AS content FROM conversations""")
 LOG = """
 log AS (
-  SELECT event_id AS idx, CASE WHEN event_type IN ('click', 'purchase') THEN 'm1' ELSE 'm2' END AS model,
-    (user_id % 2 + 1)::INT AS level, list_extract([0, 50, 100, 250, 500, 800], (user_id % 6 + 1)::INT) AS size,
-    'src' || (user_id % 20) AS db_id, value AS duration_seconds, CASE WHEN event_id % 5 = 0 THEN value / 100 END AS filter_seconds,
+  SELECT event_id // 4 AS idx, CASE WHEN event_id % 2 = 0 THEN 'm1' ELSE 'm2' END AS model,
+    (event_id // 2 % 2 + 1)::INT AS level, list_extract([0, 50, 100, 250, 500, 800], (user_id % 6 + 1)::INT) AS size,
+    CASE WHEN event_id % 5 = 0 THEN 'bm25' ELSE 'none' END AS filter, 'src' || (event_id // 4 % 20) AS db_id, value AS duration_seconds, CASE WHEN event_id % 5 = 0 THEN value / 100 END AS filter_seconds,
     json_extract_string(props, '$.k')::BIGINT * 100 + event_id % 97 AS total_tokens,
     CASE WHEN json_extract_string(props, '$.k')::BIGINT >= 25 THEN 1 ELSE 0 END AS acc,
-    'SELECT count(*) FROM t' || (event_id % 200) || CASE WHEN event_id % 3 = 0 THEN ' JOIN t' || (event_id % 7) || ' ON 1=1' ELSE '' END AS sql_gold,
+    'SELECT count(*) FROM t' || (event_id // 4 % 200) || CASE WHEN event_id // 4 % 3 = 0 THEN ' JOIN t' || (event_id // 4 % 7) || ' ON 1=1' ELSE '' END AS sql_gold,
     CASE WHEN event_id % 50 <> 0 THEN 'select count(*) from ' || CASE WHEN event_id % 11 = 0 THEN 'syn_' ELSE 't' END || (event_id % 200)
       || CASE WHEN event_id % 3 = 0 THEN ' join "main"."t' || (event_id % 7) || '" on 1=1' ELSE '' END END AS sql_pred
   FROM events
 )"""
 REFS_SQL = r"""
 matches AS (
-  SELECT idx, db_id, unnest(regexp_extract_all(lower(sql_pred), '(?:from|join)\s+["`\[]?[a-z_]\w*["`\]]?(?:\s*\.\s*["`\[]?[a-z_]\w*["`\]]?)?')) AS m
+  SELECT model, level, size, filter, idx, db_id, unnest(regexp_extract_all(lower(sql_pred), '(?:from|join)\s+["`\[]?[a-z_]\w*["`\]]?(?:\s*\.\s*["`\[]?[a-z_]\w*["`\]]?)?')) AS m
   FROM log WHERE sql_pred IS NOT NULL
 ),
-refs AS (SELECT DISTINCT idx, db_id, regexp_extract(m, '(\w+)["`\]]?$', 1) AS table_name FROM matches)"""
+refs AS (SELECT DISTINCT model, level, size, filter, idx, db_id, regexp_extract(m, '(\w+)["`\]]?$', 1) AS table_name FROM matches)"""
 SYN = "syn AS (SELECT DISTINCT 'src' || (user_id % 20) AS db_id, 'SYN_' || (event_id % 200) AS table_name FROM events)"
 FLAGGED = """
 flagged AS (
-  SELECT *, idx IN (SELECT r.idx FROM refs r JOIN syn s ON s.db_id = r.db_id AND lower(s.table_name) = r.table_name) AS uses FROM log
+  SELECT *, (model, level, size, filter, idx) IN (SELECT (r.model, r.level, r.size, r.filter, r.idx) FROM refs r JOIN syn s ON s.db_id = r.db_id AND lower(s.table_name) = r.table_name) AS uses FROM log
 )"""
 add("sql_table_refs", "SELECT * FROM refs", LOG, REFS_SQL)
 add("tool_output_parse", """
@@ -423,12 +425,12 @@ add("stream_metrics", f"SELECT model, level, {OVERALL} FROM log GROUP BY model,
 add("metrics_correct", f"SELECT model, level, {CORRECT} FROM log GROUP BY model, level", LOG)
 add("metrics_join_subset", f"SELECT model, level, {JOINS} FROM log GROUP BY model, level", LOG)
 add("metrics_synthetic_subset", f"SELECT model, level, {SYNTH} FROM flagged GROUP BY model, level", LOG, REFS_SQL, SYN, FLAGGED)
-add("synthetic_refs", "SELECT idx FROM flagged WHERE uses", LOG, REFS_SQL, SYN, FLAGGED)
+add("synthetic_refs", "SELECT model, level, size, filter, idx FROM flagged WHERE uses", LOG, REFS_SQL, SYN, FLAGGED)
 add("score_sql", "SELECT model, count(*) AS n, round(avg(CASE WHEN sql_pred IS NULL THEN 0 ELSE acc END), 6) AS score FROM log GROUP BY model", LOG)
 add("variant_report", f"SELECT model, level, size, {OVERALL} FROM log GROUP BY model, level, size", LOG)
 add("evaluation_report", f"SELECT model, level, size, {OVERALL}, {CORRECT}, {JOINS}, {SYNTH} FROM flagged GROUP BY model, level, size",
     LOG, REFS_SQL, SYN, FLAGGED)
-add("results_with_gold", "SELECT idx, sql_pred, total_tokens, db_id, sql_gold FROM log", LOG)
+add("results_with_gold", "SELECT model, level, size, filter, idx, sql_pred, total_tokens, db_id, sql_gold FROM log", LOG)
 add("variant_partitions", "SELECT size, level, db_id, count(*) AS n, sum(total_tokens)::BIGINT AS tokens FROM log GROUP BY size, level, db_id", LOG)
 MATCH = """
 gold AS (SELECT l_suppkey AS qid, l_partkey AS a, l_quantity AS b, l_returnflag AS c, count(*) AS n FROM lineitem GROUP BY 1, 2, 3, 4),

@@ -113,19 +113,25 @@ def chat_messages(schema_text: Column, question: Column, instruction: str = DEFA
     )
 
 
-# Name after FROM or JOIN, quotes optional, with an optional second dotted part.
-_TABLE_REF = (
-    r"(?U)(?<=from|join)\s+[\"`\[]?([a-zA-Z_]\w*)[\"`\]]?"
-    r"(?:\s*\.\s*[\"`\[]?([a-zA-Z_]\w*)[\"`\]]?)?"
-)
-
-
 def table_refs(sql: Column) -> Column:
-    """Distinct table names a statement reads; the last part of a dotted name counts."""
-    lowered = F.lower(F.coalesce(sql, F.lit("")))
-    first = F.regexp_extract_all(lowered, F.lit(_TABLE_REF), F.lit(1))
-    second = F.regexp_extract_all(lowered, F.lit(_TABLE_REF), F.lit(2))
-    picked = F.zip_with(first, second, lambda a, b: F.when(b == "", a).otherwise(b))
+    """Distinct table names a statement reads; the second part of a dotted name counts.
+
+    The statement is cut into words; a word that ends in one of the two keywords is
+    followed by a path, read up to the first character that cannot belong to one.
+    """
+    close_dots = F.regexp_replace(F.lower(F.coalesce(sql, F.lit(""))), r"(?U)\s*\.\s*", ".")
+    words = F.filter(F.split(close_dots, r"(?U)\s+"), lambda w: w != "")
+    after = F.slice(words, F.lit(2), F.greatest(F.size(words), F.lit(1)))
+
+    def name(word: Column, path: Column) -> Column:
+        chain = F.translate(F.regexp_extract(path, r"(?U)^[\w.\"`\[\]]+", 0), '"`[]', "")
+        parts = F.transform(F.split(chain, r"\."), lambda p: F.when(p.rlike(r"(?U)^[a-z_]\w*$"), p).otherwise(F.lit("")))
+        schema, table = F.get(parts, F.lit(0)), F.coalesce(F.get(parts, F.lit(1)), F.lit(""))
+        found = F.when(schema == "", F.lit("")).when(table == "", schema).otherwise(table)
+        return F.when(word.endswith("from") | word.endswith("join"), found).otherwise(F.lit(""))
+
+    named = F.zip_with(words, after, lambda w, p: name(w, F.coalesce(p, F.lit(""))))
+    picked = F.filter(named, lambda n: n != "")
     return F.array_distinct(picked)
 
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from schemaloom.functions.scalars import percent, ratio, table_refs
 
 MAX_FREE_COLUMNS = 5
+#: What tells one response from another: its variant and the question. ``filter`` is 'none' where there is none.
+KEY = ["model", "level", "size", "filter", "idx"]
 
 
 def execution_match(
@@ -111,26 +113,26 @@ def synthetic_aggregates() -> list[Column]:
     ]
 
 
-def referenced_tables(log: DataFrame) -> DataFrame:
-    """idx, db_id, table_name: distinct tables each predicted statement reads."""
+def referenced_tables(log: DataFrame, key: list[str] = KEY) -> DataFrame:
+    """Key, db_id and table_name: distinct tables each predicted statement reads."""
     refs = F.explode_outer(table_refs(F.col("sql_pred")))
-    return log.select("idx", "db_id", refs.alias("table_name")).filter(F.col("table_name").isNotNull())
+    return log.select(*key, "db_id", refs.alias("table_name")).filter(F.col("table_name").isNotNull())
 
 
-def synthetic_references(log: DataFrame, synthetic: DataFrame) -> DataFrame:
-    """idx of the predictions that read a synthetic table of their database."""
+def synthetic_references(log: DataFrame, synthetic: DataFrame, key: list[str] = KEY) -> DataFrame:
+    """Keys of the predictions that read a synthetic table of their database."""
     names = synthetic.select("db_id", F.lower("table_name").alias("table_name"))
-    return referenced_tables(log).join(names, ["db_id", "table_name"], "left_semi").select("idx").distinct()
+    return referenced_tables(log, key).join(names, ["db_id", "table_name"], "left_semi").select(*key).distinct()
 
 
-def with_synthetic_flag(log: DataFrame, synthetic: DataFrame) -> DataFrame:
-    hits = synthetic_references(log, synthetic).withColumn("uses_synthetic", F.lit(True))
-    return log.join(hits, "idx", "left").withColumn("uses_synthetic", F.coalesce("uses_synthetic", F.lit(False)))
+def with_synthetic_flag(log: DataFrame, synthetic: DataFrame, key: list[str] = KEY) -> DataFrame:
+    hits = synthetic_references(log, synthetic, key).withColumn("uses_synthetic", F.lit(True))
+    return log.join(hits, key, "left").withColumn("uses_synthetic", F.coalesce("uses_synthetic", F.lit(False)))
 
 
-def evaluation_report(log: DataFrame, synthetic: DataFrame, group: list[str]) -> DataFrame:
+def evaluation_report(log: DataFrame, synthetic: DataFrame, group: list[str], key: list[str] = KEY) -> DataFrame:
     """All metrics of a variant in one aggregate."""
-    return with_synthetic_flag(log, synthetic).groupBy(*group).agg(
+    return with_synthetic_flag(log, synthetic, key).groupBy(*group).agg(
         *overall_aggregates(), *correct_aggregates(), *join_aggregates(), *synthetic_aggregates()
     )
 
@@ -147,10 +149,10 @@ def variant_report(log: DataFrame, group: list[str]) -> DataFrame:
 
 
 def attach_gold(responses: DataFrame, questions: DataFrame) -> DataFrame:
-    """Responses with the gold statement and database of their question."""
-    return responses.join(questions.select("idx", "db_id", "sql_gold"), "idx")
+    """Responses of all variants with the gold statement of their question, which may be listed more than once."""
+    return responses.join(questions.select("db_id", "idx", "sql_gold").distinct(), ["db_id", "idx"])
 
 
-def pending(questions: DataFrame, done: DataFrame) -> DataFrame:
-    """Questions without a logged response."""
-    return questions.join(done.select("idx").distinct(), "idx", "left_anti")
+def pending(asked: DataFrame, done: DataFrame, key: list[str] = KEY) -> DataFrame:
+    """Questions of a variant without a logged response of that variant."""
+    return asked.join(done.select(*key).distinct(), key, "left_anti")

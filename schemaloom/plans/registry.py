@@ -138,10 +138,12 @@ def question_dbs(spark, d):
 
 @query
 def resume_pending(spark, d):
-    """Responses exist for the labelled documents; the rest is still to be asked."""
-    asked = src.table(spark, d, "documents").select(F.col("doc_id").alias("idx"), F.col("source").alias("db_id"))
-    done = src.table(spark, d, "labels").select(F.col("doc_id").alias("idx"))
-    return evaluate.pending(asked, done)
+    """Two models are asked about every document; each labelled one was answered by one of them."""
+    models = F.explode(F.array(F.lit("m1"), F.lit("m2")))
+    asked = src.table(spark, d, "documents").select(models.alias("model"), F.col("doc_id").alias("idx"), F.col("source").alias("db_id"))
+    answered = F.when(F.col("doc_id") % 2 == 0, "m1").otherwise("m2")
+    done = src.table(spark, d, "labels").select(answered.alias("model"), F.col("doc_id").alias("idx"))
+    return evaluate.pending(asked, done, ["model", "idx"])
 
 
 @query
@@ -470,7 +472,7 @@ def evaluation_report(spark, d):
 @query
 def results_with_gold(spark, d):
     log = src.result_log(spark, d)
-    responses = log.select("idx", F.col("sql_pred"), "total_tokens")
+    responses = log.select(*evaluate.KEY, "db_id", "sql_pred", "total_tokens")
     return evaluate.attach_gold(responses, log.select("idx", "db_id", "sql_gold"))
 
 

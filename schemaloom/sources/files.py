@@ -52,9 +52,9 @@ def append_responses(responses: DataFrame, path: str) -> None:
 
 
 def resume(questions: DataFrame, spark: SparkSession, path: str) -> DataFrame:
-    """Questions the log at ``path`` does not answer yet."""
+    """Questions the log at ``path``, which holds one variant, does not answer yet."""
     done = read_responses(spark, path).select(F.col("index").alias("idx"))
-    return pending(questions, done)
+    return pending(questions, done, ["idx"])
 
 
 def write_variants(df: DataFrame, path: str) -> None:

@@ -22,30 +22,9 @@ POOLS_PER_WORD = 8
 NEW_TABLES = 40
 
 
-_SPLITS: dict[tuple[str, str], int] = {}
-SPREAD_KEYS = {"documents": "doc_id", "pages": "page_id", "events": "event_id"}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Scan of one table; a text table with fewer splits than cores is spread over the cores.
-
-    Splits hold at most ``spark.sql.files.maxPartitionBytes``, so this shuffles
-    only inputs below that size per core. Larger inputs have splits enough and
-    are read as they lie.
-    """
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in SPREAD_KEYS and _splits(df, f"{sf_dir}/{name}") < cores:
-        return df.repartition(cores, SPREAD_KEYS[name])
-    return df
-
-
-def _splits(df: DataFrame, path: str) -> int:
-    """Scan splits of a path, planned once per application."""
-    key = (df.sparkSession.sparkContext.applicationId, path)
-    if key not in _SPLITS:
-        _SPLITS[key] = df.rdd.getNumPartitions()
-    return _SPLITS[key]
+    """Scan of one table."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def table_name(doc_id):
@@ -185,11 +164,12 @@ def result_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 def as_result_log(events: DataFrame) -> DataFrame:
     """Response log rows from event rows; works on a stream as well."""
     event = F.col("event_id")
+    question = F.expr("event_id div 4")  # four variants answer each question
     k = F.get_json_object("props", "$.k").cast("bigint")
     digits = lambda n: (event % n).cast("string")
     gold = F.concat(
-        F.lit("SELECT count(*) FROM t"), digits(200),
-        F.when(event % 3 == 0, F.concat(F.lit(" JOIN t"), digits(7), F.lit(" ON 1=1"))).otherwise(F.lit("")),
+        F.lit("SELECT count(*) FROM t"), (question % 200).cast("string"),
+        F.when(question % 3 == 0, F.concat(F.lit(" JOIN t"), (question % 7).cast("string"), F.lit(" ON 1=1"))).otherwise(F.lit("")),
     )
     pred = F.when(
         event % 50 != 0,
@@ -201,11 +181,12 @@ def as_result_log(events: DataFrame) -> DataFrame:
         ),
     )
     return events.select(
-        event.alias("idx"),
-        F.when(F.col("event_type").isin("click", "purchase"), "m1").otherwise("m2").alias("model"),
-        (F.col("user_id") % 2 + 1).cast("int").alias("level"),
+        question.alias("idx"),
+        F.when(event % 2 == 0, "m1").otherwise("m2").alias("model"),
+        (F.expr("event_id div 2") % 2 + 1).cast("int").alias("level"),
         F.element_at(F.array(*[F.lit(s) for s in SIZES]), (F.col("user_id") % 6 + 1).cast("int")).alias("size"),
-        F.concat(F.lit("src"), (F.col("user_id") % 20).cast("string")).alias("db_id"),
+        F.when(event % 5 == 0, "bm25").otherwise("none").alias("filter"),
+        F.concat(F.lit("src"), (question % 20).cast("string")).alias("db_id"),
         F.col("value").alias("duration_seconds"),
         F.when(event % 5 == 0, F.col("value") / 100).alias("filter_duration_seconds"),
         (k * 100 + event % 97).alias("total_tokens"),

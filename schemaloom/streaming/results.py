@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from schemaloom.functions.scalars import percent, ratio
+from schemaloom.operators.evaluate import KEY
 from schemaloom.session import shared_dir
 
 
@@ -19,11 +20,11 @@ def _partial(batch: DataFrame, group: list[str]) -> DataFrame:
     )
 
 
-def ingest(stream: DataFrame, work_dir: str, group: list[str]) -> None:
+def ingest(stream: DataFrame, work_dir: str, group: list[str], key: list[str] = KEY) -> None:
     """Process everything that has arrived, then stop.
 
-    Records are taken once by ``idx``: the stream keeps the seen ids as keyed
-    state, so a response logged twice or a restarted job changes nothing. Each
+    Records are taken once by variant and question (``key``): the stream keeps the
+    seen keys as keyed state, so a response logged twice or a restarted job changes nothing. Each
     micro-batch writes its partial sums to its own ``batch`` partition and
     overwrites it when replayed after a failure. State, progress and sums live
     under ``work_dir``, so a later call with the same folder resumes.
@@ -34,7 +35,7 @@ def ingest(stream: DataFrame, work_dir: str, group: list[str]) -> None:
         _partial(batch, group).write.mode("overwrite").parquet(f"{sums}/batch={batch_id}")
 
     query = (
-        stream.dropDuplicates(["idx"])
+        stream.dropDuplicates(key)
         .writeStream.foreachBatch(write)
         .option("checkpointLocation", f"{work_dir}/progress")
         .trigger(availableNow=True)

@@ -46,7 +46,7 @@ def log(spark):
 
 def test_report(spark):
     synthetic = spark.createDataFrame([("d", "Syn"), ("e", "t")], "db_id string, table_name string")
-    rows = {r.model: r for r in evaluate.evaluation_report(log(spark), synthetic, ["model"]).collect()}
+    rows = {r.model: r for r in evaluate.evaluation_report(log(spark), synthetic, ["model"], ["model", "idx"]).collect()}
     m, n = rows["m"], rows["n"]
     assert (m.n, m.exa, m.seconds, m.tokens) == (2, 50.0, 2.25, 20.0)
     assert (m.n_correct, m.seconds_correct, m.tokens_correct) == (1, 1.5, 10.0)
@@ -54,13 +54,27 @@ def test_report(spark):
     assert (n.n_correct, n.seconds_correct, n.n_join, n.exa_join, n.n_synthetic, n.exa_synthetic) == (0, None, 0, None, 0, None)
 
 
+def test_variants_share_question_ids(spark):
+    """A response counts for its own variant only, and gold is attached once."""
+    rows = spark.createDataFrame([
+        (0, "m", 1.0, None, 1, 1, "d", "g", "select * from syn"), (0, "n", 1.0, None, 1, 1, "d", "g", "select * from t"),
+    ], LOG)
+    synthetic = spark.createDataFrame([("d", "Syn")], "db_id string, table_name string")
+    key = ["model", "idx"]
+    got = {r.model: r.n_synthetic for r in evaluate.evaluation_report(rows, synthetic, ["model"], key).collect()}
+    assert got == {"m": 1, "n": 0}
+    assert evaluate.attach_gold(rows.drop("sql_gold"), rows).count() == 2
+    asked = spark.createDataFrame([("m", 0), ("n", 0), ("o", 0)], "model string, idx bigint")
+    assert [r.model for r in evaluate.pending(asked, rows, key).collect()] == ["o"]
+
+
 def test_stream_resumes_and_takes_records_once(spark, tmp_path):
     source, work = str(tmp_path / "in"), str(tmp_path / "work")
     rows = log(spark).drop("db_id", "sql_gold", "sql_pred")
     rows.filter("idx < 2").coalesce(1).write.parquet(source)
 
     def run():
-        results.ingest(spark.readStream.schema(rows.schema).parquet(source), work, ["model"])
+        results.ingest(spark.readStream.schema(rows.schema).parquet(source), work, ["model"], ["model", "idx"])
         return {r.model: (r.n, r.exa, r.seconds) for r in results.current_metrics(spark, work, ["model"]).collect()}
 
     assert run() == {"m": (2, 50.0, 2.25)}
