@@ -44,12 +44,12 @@ SHINGLE = 5
 PERCENT = 75
 ORDERS = 3
 SKETCH_ROWS = 1
-#: Cells of the sketch; a merged sketch is one bit a cell (64 MB).
-LOG2_CELLS = 29
+#: Cells of the sketch; a merged sketch is one bit a cell (32 MB). It only has to tell sets of mostly unrepeated shingles.
+LOG2_CELLS = 28
 #: Pairs of different groups that are compared without another round, per row that the posting lists have at first.
 PAIRS_PER_POSTING = 8
 #: Cells and cap of the second sketch, of the sets that are left (a byte a cell).
-LOG2_COUNTS = 25
+LOG2_COUNTS = 24
 MOST_COUNTED = 255
 ROW_SCHEMA = "doc_id long, n long, class binary, quota int, tokens array<long>"
 
@@ -148,7 +148,9 @@ def _with_prefixes(classes: DataFrame, orders: int, log2_counts: int) -> DataFra
             ], names=["class", "n", "tokens", "first", "others"])
 
     schema = "class binary, n long, tokens array<long>, first array<long>, others array<array<long>>"
-    return classes.select("class", "n", "quota", "tokens").mapInArrow(run, schema).where(F.size("first") > 0)
+    found = materialize(classes.select("class", "n", "quota", "tokens").mapInArrow(run, schema).where(F.size("first") > 0), "prefixes")
+    counts.destroy()
+    return found
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -226,9 +228,10 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int
     parts = sketch.collect_keys(source.select("text"), keys, SKETCH_ROWS, log2_cells)
     bits = spark.sparkContext.broadcast(sketch.merge(parts, SKETCH_ROWS, log2_cells))
     rows = materialize(_rows(source, bits, width, log2_cells), "shingle-sets")
+    bits.destroy()
     classes = materialize(rows.where("tokens is not null").groupBy("class").agg(
         F.first("n").alias("n"), F.first("quota").alias("quota"), F.first("tokens").alias("tokens")), "classes")
-    groups = _groups(materialize(_with_prefixes(classes, orders, log2_counts), "prefixes")).withColumnRenamed("node", "class")
+    groups = _groups(_with_prefixes(classes, orders, log2_counts)).withColumnRenamed("node", "class")
     least = materialize(rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least")), "class-ids")
     rooted = least.join(groups, "class", "left").select("class", "least", F.coalesce("root", "class").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
