@@ -190,7 +190,7 @@ def line(fix):
 
 
 def prompt(fix):
-    """Whole text per database, cut into parts of 512 pieces."""
+    """Whole text per database."""
     nl = "chr(10)"
     return f"""
 pieces AS (
@@ -209,10 +209,9 @@ sequenced AS (
          CASE WHEN n = 0 THEN '## Foreign Keys ' || {nl} ELSE '' END || piece FROM ref_rows r
 ),
 prompts AS (
-  SELECT db_id, seq // 512 AS part,
-         CASE WHEN seq // 512 = 0 THEN '## Database Name: ' || db_id || ' ' || {nl} || {nl} || '## Database Schema ' || {nl} || {nl} ELSE '' END
+  SELECT db_id, '## Database Name: ' || db_id || ' ' || {nl} || {nl} || '## Database Schema ' || {nl} || {nl}
          || string_agg(piece, '' ORDER BY seq) AS schema_text
-  FROM sequenced GROUP BY db_id, seq // 512
+  FROM sequenced GROUP BY db_id
 )"""
 
 
@@ -339,7 +338,8 @@ add("original_columns", "SELECT DISTINCT db_id, name FROM cat_columns", COLUMNS)
 add("candidate_exclude", f"""
 SELECT DISTINCT db_id, word FROM (SELECT source AS db_id, unnest({tokens('text')}) AS word FROM documents) w
 WHERE word NOT IN ({sql_list(SQL_KEYWORDS)})
-AND (db_id, word) NOT IN (SELECT (db_id, name) FROM cat_columns WHERE type = 'TEXT')
+AND (db_id, word) NOT IN (SELECT (db_id, name) FROM cat_columns)
+AND (db_id, word) NOT IN (SELECT (source, 't' || doc_id) FROM documents)
 AND word IN (SELECT unnest(regexp_extract_all(lower(html), '[a-z]+')) FROM pages)""", COLUMNS)
 POOLS = f"""
 dbs AS (SELECT source AS db_id, row_number() OVER (ORDER BY min(doc_id)) - 1 AS db_ord FROM documents GROUP BY source),

@@ -3,17 +3,18 @@
 # --- fixed values -----------------------------------------------------------
 # SQL keywords that may not be used as a synthetic name.
 SQL_KEYWORDS = (
-    "abort action add after all alter analyze and as asc attach autoincrement before begin "
-    "between by cascade case cast check collate column commit conflict constraint create cross "
-    "current_date current_time current_timestamp database default deferrable deferred delete "
-    "desc detach distinct drop each else escape except exclusive exists explain fail for foreign "
-    "from full glob group having if ignore immediate in index indexed initially inner insert "
-    "instead intersect into is isnull join key left like limit match natural no not notnull null "
-    "of offset on or order outer plan pragma primary query raise recursive references regexp "
-    "reindex release rename replace restrict right rollback row savepoint select set table temp "
-    "temporary then to transaction trigger union unique update using vacuum values view virtual "
-    "when where with without"
-).split()
+    "abort", "action", "add", "after", "all", "alter", "analyze", "and", "as", "asc", "attach", "autoincrement",
+    "before", "begin", "between", "by", "cascade", "case", "cast", "check", "collate", "column", "commit", "conflict",
+    "constraint", "create", "cross", "current_date", "current_time", "current_timestamp", "database", "default",
+    "deferrable", "deferred", "delete", "desc", "detach", "distinct", "drop", "each", "else", "escape", "except",
+    "exclusive", "exists", "explain", "fail", "for", "foreign", "from", "full", "glob", "group", "having", "if",
+    "ignore", "immediate", "in", "index", "indexed", "initially", "inner", "insert", "instead", "intersect", "into",
+    "is", "isnull", "join", "key", "left", "like", "limit", "match", "natural", "no", "not", "notnull", "null", "of",
+    "offset", "on", "or", "order", "outer", "plan", "pragma", "primary", "query", "raise", "recursive", "references",
+    "regexp", "reindex", "release", "rename", "replace", "restrict", "right", "rollback", "row", "savepoint",
+    "select", "set", "table", "temp", "temporary", "then", "to", "transaction", "trigger", "union", "unique",
+    "update", "using", "vacuum", "values", "view", "virtual", "when", "where", "with", "without",
+)
 
 # Declared types with an exact type group; everything else is TEXT.
 EXACT_TYPE_GROUPS = {

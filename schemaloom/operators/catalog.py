@@ -14,14 +14,8 @@ from schemaloom.functions.scalars import (
 )
 from schemaloom.operators.ordering import number_by_digest
 
-# Tables per nested document and text pieces per prompt part. A database below
-# the limit is one document; a larger one continues in further parts, so no
-# group ever grows with the database.
-TABLES_PER_DOCUMENT = 256
-PIECES_PER_PART = 512
-
 DOCUMENT_SCHEMA = (
-    "dataset string, db_id string, part bigint, schema map<string, struct<"
+    "dataset string, db_id string, schema map<string, struct<"
     "columns: array<struct<name: string, type: string, typegroup: string, notnull: boolean, pk: int>>, "
     "primary_keys: array<string>, "
     "foreign_keys: array<struct<sourceTable: string, sourceColumn: string, targetColumn: string>>>>"
@@ -57,16 +51,19 @@ def table_defs(tables: DataFrame, columns: DataFrame, fks: DataFrame) -> DataFra
 
 
 def assemble(tables: DataFrame, columns: DataFrame, fks: DataFrame) -> DataFrame:
-    """Nested schema documents (``DOCUMENT_SCHEMA``), tables in catalog order."""
+    """One nested schema document (``DOCUMENT_SCHEMA``) per database, tables in catalog order.
+
+    For handing documents on: a database has to fit one row, as in the files. Work on
+    large databases takes the rows of ``table_defs`` and never assembles them.
+    """
     defs = table_defs(tables, columns, fks)
     body = F.struct("columns", "primary_keys", "foreign_keys")
     entry = F.struct(F.col("table_ord").alias("o"), F.col("table_name").alias("k"), body.alias("v"))
-    part = F.floor(F.col("table_ord") / F.lit(TABLES_PER_DOCUMENT))
     return (
-        defs.groupBy("dataset", "db_id", part.alias("part"))
+        defs.groupBy("dataset", "db_id")
         .agg(F.array_sort(F.collect_list(F.struct(F.col("table_ord").alias("o"), entry.alias("e")))).alias("entries"))
         .select(
-            "dataset", "db_id", "part",
+            "dataset", "db_id",
             F.map_from_entries(F.transform("entries", lambda x: F.struct(x["e"]["k"], x["e"]["v"]))).alias("schema"),
         )
     )
@@ -75,12 +72,12 @@ def assemble(tables: DataFrame, columns: DataFrame, fks: DataFrame) -> DataFrame
 def explode_tables(documents: DataFrame) -> DataFrame:
     """dataset, db_id, table_name, table_ord, table_def from nested documents."""
     return documents.select(
-        "dataset", "db_id", "part", F.posexplode(F.map_entries("schema")).alias("pos", "entry")
+        "dataset", "db_id", F.posexplode(F.map_entries("schema")).alias("pos", "entry")
     ).select(
         "dataset",
         "db_id",
         F.col("entry.key").alias("table_name"),
-        (F.col("part") * F.lit(TABLES_PER_DOCUMENT) + F.col("pos")).cast("bigint").alias("table_ord"),
+        F.col("pos").cast("bigint").alias("table_ord"),
         F.col("entry.value").alias("table_def"),
     )
 
@@ -156,7 +153,7 @@ def table_text(tables: DataFrame, columns: DataFrame, fks: DataFrame) -> DataFra
     ).drop("pieces")
 
 
-def schema_prompt(
+def schema_pieces(
     tables: DataFrame,
     columns: DataFrame,
     fks: DataFrame,
@@ -164,10 +161,10 @@ def schema_prompt(
     fix_not_null: bool = True,
     seed: int = draws.SEED,
 ) -> DataFrame:
-    """Schema text per group (a database, or a question's selection), tables in seeded order.
+    """Group, seq and piece: the schema text as ordered rows, one per table and then one per key.
 
-    Up to ``PIECES_PER_PART`` tables and keys give one text. Larger schemas give
-    consecutive parts; joined in ``part`` order they are the whole text.
+    A group is a database or a question's selection; tables come in seeded order. The
+    shape is the same at any size.
     """
     group = group or ["db_id"]
     keys = [*group, "table_name"]
@@ -193,15 +190,23 @@ def schema_prompt(
             F.lit("\n"),
         ).alias("piece"),
     )
-    part = F.floor(F.col("seq") / F.lit(PIECES_PER_PART))
+    return blocks.unionByName(refs)
+
+
+def schema_prompt(
+    tables: DataFrame,
+    columns: DataFrame,
+    fks: DataFrame,
+    group: list[str] | None = None,
+    fix_not_null: bool = True,
+    seed: int = draws.SEED,
+) -> DataFrame:
+    """Group and schema_text: always one text per group, which has to fit one row; see ``schema_pieces``."""
+    group = group or ["db_id"]
     head = F.concat(F.lit("## Database Name: "), F.col("db_id"), F.lit(" \n\n## Database Schema \n\n"))
-    return (
-        blocks.unionByName(refs)
-        .groupBy(*group, part.alias("part"))
-        .agg(F.array_join(_ordered("seq", F.col("piece")), "").alias("body"))
-        .withColumn("schema_text", F.concat(F.when(F.col("part") == 0, head).otherwise(F.lit("")), F.col("body")))
-        .drop("body")
-    )
+    joined = schema_pieces(tables, columns, fks, group, fix_not_null, seed).groupBy(*group).agg(
+        F.array_join(_ordered("seq", F.col("piece")), "").alias("body"))
+    return joined.withColumn("schema_text", F.concat(head, F.col("body"))).drop("body")
 
 
 def compress(fks: DataFrame, selected: DataFrame, group: list[str]) -> DataFrame:

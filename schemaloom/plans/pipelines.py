@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from schemaloom.functions.constants import SQL_KEYWORDS
 from schemaloom.functions.scalars import chat_messages
 from schemaloom.operators import catalog, retrieval, similarity
 from schemaloom.operators.ordering import top_k
@@ -56,7 +57,8 @@ def expanded_vectors(names: DataFrame, vectors: DataFrame, vocabulary: DataFrame
 
 
 def candidates_in_band(vectors: DataFrame, vocabulary: DataFrame, low: float, high: float, ambiguity: float) -> DataFrame:
-    """db_id, word, sim of unambiguous vocabulary words in the band; schema names are left out first."""
+    """db_id, word, sim of unambiguous vocabulary words in the band; keywords and schema names are left out first."""
+    vocabulary = vocabulary.filter(~F.lower(F.col("word").cast("string")).isin(*SQL_KEYWORDS))
     centers = similarity.centroids(vectors)
     banded = similarity.word_centroid_similarity(vocabulary, centers, low, high).join(
         vectors.select("db_id", "word"), ["db_id", "word"], "left_anti"

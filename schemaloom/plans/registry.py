@@ -336,11 +336,12 @@ def words_of_dbs(spark, d) -> DataFrame:
 
 @query
 def candidate_exclude(spark, d):
-    """Words of each source that name none of its columns, are no keyword and occur in a page address."""
+    """Words of each source that name none of its tables and columns, are no keyword and occur in a page."""
     vectors = src.table(spark, d, "pages").select(
         F.explode_outer(F.array_distinct(F.regexp_extract_all(F.lower("html"), F.lit("[a-z]+"), F.lit(0)))).alias("word")
     ).filter("word is not null").distinct()
-    names = src.catalog_columns(spark, d).filter(F.col("type") == "TEXT").select("db_id", "name")
+    tables = src.catalog_tables(spark, d).select("db_id", F.col("table_name").alias("name"))
+    names = src.catalog_columns(spark, d).select("db_id", "name").unionByName(tables)
     return vocab.exclude_candidates(words_of_dbs(spark, d), names, vectors)
 
 

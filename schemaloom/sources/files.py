@@ -19,8 +19,7 @@ RESPONSE_SCHEMA = (
 
 def read_schema_documents(spark: SparkSession, path: str, one_per_file: bool = False) -> DataFrame:
     """Nested schema documents; JSON lines, or one pretty-printed document per file."""
-    docs = spark.read.schema(DOCUMENT_SCHEMA).json(path, multiLine=one_per_file)
-    return docs.withColumn("part", F.coalesce("part", F.lit(0).cast("bigint")))
+    return spark.read.schema(DOCUMENT_SCHEMA).json(path, multiLine=one_per_file)
 
 
 def write_schema_documents(documents: DataFrame, path: str) -> None:

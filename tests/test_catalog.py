@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from schemaloom.operators import catalog, profile
@@ -46,22 +47,21 @@ def test_pretty_printed_document(spark, tmp_path):
     assert catalog.explode_fks(docs).select("local_col", "ref_table", "ref_col").first() == ("y", "b", "x")
 
 
-def test_large_database_continues_in_parts(spark, monkeypatch):
-    monkeypatch.setattr(catalog, "TABLES_PER_DOCUMENT", 3)
-    monkeypatch.setattr(catalog, "PIECES_PER_PART", 4)
-    tables = spark.range(10).select(
+@pytest.mark.parametrize("n", [3, 800])
+def test_shape_does_not_depend_on_size(spark, n):
+    tables = spark.range(n).select(
         F.lit("s").alias("dataset"), F.lit("d").alias("db_id"), F.concat(F.lit("t"), "id").alias("table_name"), F.col("id").alias("table_ord")
     )
     columns = tables.select("db_id", "table_name", F.lit(0).alias("col_ord"), F.lit("c").alias("name"), F.lit("int").alias("type"),
                             F.lit("INTEGER").alias("typegroup"), F.lit(True).alias("not_null"), F.lit(1).alias("pk"))
     fks = tables.filter("table_ord > 0").select("db_id", "table_name", F.lit(0).alias("fk_ord"), F.lit("c").alias("local_col"), F.lit("t0").alias("ref_table"), F.lit("c").alias("ref_col"))
     docs = catalog.assemble(tables, columns, fks)
-    assert docs.count() == 4
-    assert {(r.table_name, r.table_ord) for r in catalog.explode_tables(docs).collect()} == {(f"t{i}", i) for i in range(10)}
-    parts = catalog.schema_prompt(tables, columns, fks).orderBy("part").collect()
-    text = "".join(p.schema_text for p in parts)
-    assert [p.part for p in parts] == [0, 1, 2, 3, 4]
-    assert text.count("# Table: ") == 10 and text.count("## Foreign Keys") == 1 and text.count(" REFERENCES ") == 9
+    assert docs.count() == 1
+    assert {(r.table_name, r.table_ord) for r in catalog.explode_tables(docs).collect()} == {(f"t{i}", i) for i in range(n)}
+    assert catalog.schema_pieces(tables, columns, fks).count() == 2 * n - 1
+    (row,) = catalog.schema_prompt(tables, columns, fks).collect()
+    text = row.schema_text
+    assert text.count("# Table: ") == n and text.count("## Foreign Keys") == 1 and text.count(" REFERENCES ") == n - 1
     assert text.startswith("## Database Name: d \n\n## Database Schema \n\n# Table: ")
 
 
