@@ -126,3 +126,12 @@ def test_candidate_pool_follows_the_loop(spark):
                 break
         want = [i for _, i in sorted(found)[:60]]
         assert [r.word for r in sorted((r for r in got if r.db_id == db), key=lambda r: r["rank"])] == want
+
+
+def test_keywords_are_no_candidates(spark):
+    from schemaloom.plans.pipelines import candidates_in_band
+
+    schema = spark.createDataFrame([("d", "name", [1.0, 0.0])], "db_id string, word string, vec array<double>")
+    words = [("order", [0.5, 0.8]), ("Table", [0.5, 0.8]), ("harbor", [0.5, 0.8]), ("far", [0.0, 1.0])]
+    vocabulary = spark.createDataFrame(words, "word string, vec array<double>")
+    assert [r.word for r in candidates_in_band(schema, vocabulary, 0.3, 0.7, 0.9).collect()] == ["harbor"]
