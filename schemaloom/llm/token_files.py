@@ -97,7 +97,7 @@ class Encoder:
         out = self.one_by_one([p for p in parts if not p.isalpha()])
         for k in range(0, len(words), 2000):
             own = words[k:k + 2000]
-            ids = np.array(self.tokenizer.encode(" ".join(own), add_special_tokens=False).ids, np.int64)
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(own)], add_special_tokens=False)[0].ids, np.int64)
             ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) == len(own):
                 packed, cuts = ids.astype(self.width).tobytes(), (ends * int(self.width[-1])).tolist()
