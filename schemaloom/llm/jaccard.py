@@ -14,10 +14,10 @@ sketches estimate, and differ in a random permutation of those alike. Then
   dropped before the sets are compared exactly.
 
 Sets that are equal are one class. Links are wanted as groups, so the documents of
-a posting list are compared with one of them at a time: those found similar are in
-its group and need no comparison among each other. A document that all others of
-its list were compared with leaves the list; lists within one group are done. What
-is left when few pairs remain is compared pair by pair. No link that joins two
+a posting list are compared with a few of them at a time: those found similar are in
+their groups and need no comparison among each other. Documents that all others of
+their list were compared with leave the list; lists within one group are done. The
+few are four times as many in each round, and when few pairs are left all are compared. No link that joins two
 groups is lost, and large groups of near copies cost a few comparisons each.
 
 Defined cases: null and blank texts have no shingles, size 0 and are alone; texts
@@ -48,6 +48,8 @@ SKETCH_ROWS = 1
 LOG2_CELLS = 28
 #: Pairs of different groups that are compared without another round, per row that the posting lists have at first.
 PAIRS_PER_POSTING = 8
+#: Documents of a list that the others are compared with in the first round.
+PIVOTS = 8
 #: Cells and cap of the second sketch, of the sets that are left (a byte a cell).
 LOG2_COUNTS = 24
 MOST_COUNTED = 255
@@ -186,7 +188,7 @@ def _groups(sets: DataFrame) -> DataFrame:
     postings = materialize(sets.select("class", "n", F.explode("first").alias("token")), "postings")
     repeated = postings.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("token")
     lists = materialize(postings.join(repeated, "token", "left_semi"), "lists")
-    roots, postings_at_first = None, lists.count()
+    roots, pivots, postings_at_first = None, PIVOTS, lists.count()
     fits = "least(n, n2) * 100 >= greatest(n, n2) * %d" % PERCENT
     while True:
         rooted = lists if roots is None else lists.join(roots.withColumnRenamed("node", "class"), "class", "left")
@@ -203,10 +205,11 @@ def _groups(sets: DataFrame) -> DataFrame:
         if final:
             pairs = open_.join(other, "token").where("class < class2 and root <> root2")
         else:
-            pivots = open_.groupBy("token").agg(F.min(F.struct("root", "class", "n")).alias("p"))
-            pairs = open_.join(pivots.select("token", F.col("p.class").alias("class2"), F.col("p.n").alias("n2"), F.col("p.root").alias("root2")), "token").where("root <> root2")
-            chosen = pivots.select("token", F.col("p.class").alias("class"))
-            lists = materialize(open_.select("token", "class", "n").join(chosen, ["token", "class"], "left_anti"), "lists")
+            turn = F.row_number().over(Window.partitionBy("token").orderBy(F.xxhash64("class2"), "class2"))
+            chosen = materialize(other.withColumn("turn", turn).where(F.col("turn") <= pivots).drop("turn"), "pivots")
+            pairs = open_.join(chosen, "token").where("root <> root2")
+            lists = materialize(open_.select("token", "class", "n").join(chosen.select("token", F.col("class2").alias("class")), ["token", "class"], "left_anti"), "lists")
+            pivots *= 4
         pairs = pairs.where(fits).select(F.least("class", "class2").alias("a"), F.greatest("class", "class2").alias("b")).distinct()
         links = materialize(_similar(pairs, sets), "links")
         known = links if roots is None else links.union(roots.where("node <> root").select("node", "root"))
