@@ -1,6 +1,5 @@
 """Language, decontamination, pages, scoring and secrets against brute force."""
 
-import hashlib
 import math
 import random
 import re
@@ -9,7 +8,6 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from schemaloom.llm import decontaminate, language, pages, pitman_yor, queries, secrets
 
