@@ -6,9 +6,10 @@ case, signs are dropped. Windows of template tokens of the documents are hash-jo
 with those of the benchmark. Every window is taken twice where it has names, with
 names as placeholders and as words, so that a copy in another case is found too.
 
-For each document, item and offset between them the replaced values are then held
-against each other: a value of the item must stand for one value of the document
-everywhere and the other way round, else the offset is not a match.
+A window whose values are all the item's is a match. In one with replaced values each
+value of the item must stand for one value of the document; two may become equal. At
+the same offset such a window is not counted if it contradicts the values of windows
+without replaced ones, which are matches then.
 
 A bit array of the benchmark's window hashes (``2**LOG2_BITS`` bits whatever its size)
 lets through the few windows of a document that can join; the join decides.
@@ -180,17 +181,20 @@ def match_texts(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_
     rows = as_text(docs.select(F.col(text).alias("text")), "text").where("text is not null").select(*text_keys("text"), "text")
     found = rows.mapInArrow(lambda batches: _template_windows(batches, sizes, bits.value, False), WINDOW_SCHEMA).distinct()
     hits = found.join(items, ["size", "hash"]).withColumn("shift", F.col("pos") - F.col("item_pos"))
-    place = ["a", "b", "item_id", "shift"]
     pair = F.arrays_zip(F.col("item_slots").alias("mine"), F.col("slots").alias("theirs"))
-    slots = F.filter(pair, lambda p: (p["mine"] != 0) & (p["theirs"] != 0))
-    offsets = hits.groupBy(place).agg(
-        F.collect_set("item_pos").alias("spots"),  # within one item
-        F.array_distinct(F.flatten(F.collect_list(slots))).alias("values"), F.max("n_windows").alias("item_windows"))
-    one_to_one = (F.size(F.array_distinct(F.transform("values", lambda v: v["mine"]))) == F.size("values")) & (
-        F.size(F.array_distinct(F.transform("values", lambda v: v["theirs"]))) == F.size("values"))
+    hits = hits.withColumn("values", F.array_distinct(F.filter(pair, lambda p: (p["mine"] != 0) & (p["theirs"] != 0))))
+    hits = hits.where(F.size(F.array_distinct(F.transform("values", lambda v: v["mine"]))) == F.size("values"))
+    hits = hits.withColumn("differs", F.exists("values", lambda v: v["mine"] != v["theirs"]))
+    offsets = hits.groupBy("a", "b", "item_id", "shift").agg(
+        F.collect_set(F.struct("item_pos", "values", "differs")).alias("windows"), F.max("n_windows").alias("item_windows"))  # within one item
+    offsets = offsets.withColumn("held", F.array_distinct(F.flatten(F.transform(F.filter("windows", lambda w: ~w["differs"]), lambda w: w["values"]))))
+    contradicts = lambda v: F.exists("held", lambda h: (v["mine"] == h["mine"]) != (v["theirs"] == h["theirs"]))
+    offsets = offsets.withColumn("windows", F.filter("windows", lambda w: ~w["differs"] | ~F.exists(w["values"], contradicts)))
+    offsets = offsets.withColumn("values", F.array_distinct(F.flatten(F.transform("windows", lambda w: w["values"]))))
+    spots = F.flatten(F.collect_list(F.transform("windows", lambda w: w["item_pos"])))
     changed = F.filter("values", lambda v: v["mine"] != v["theirs"])
-    return (offsets.where(one_to_one).groupBy("a", "b", "item_id").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("spots")))).cast("long").alias("n_windows"), F.max("item_windows").alias("item_windows"),
+    return (offsets.groupBy("a", "b", "item_id").agg(
+        F.size(F.array_distinct(spots)).cast("long").alias("n_windows"), F.max("item_windows").alias("item_windows"),
         F.max(F.size("values")).cast("long").alias("n_slots"), F.min(F.size(changed)).cast("long").alias("n_changed")))
 
 

@@ -97,6 +97,21 @@ def test_copied_and_changed_questions(leaks):
         assert odd not in got or got[odd]["n_windows"] < got[0]["n_windows"]
 
 
+def test_contradiction_keeps_the_other_windows(spark):
+    same = " the old mill by the river grinds corn for all the people of the quiet valley in the long and cold winter "
+    item = "A miller has 5 sacks and then buys 5 others at the market," + same + "until 3 men ask for 7 loaves of fresh bread"
+    rows = [(1, item.replace("buys 5", "buys 7")), (2, item.replace(" 3 ", " 4 ").replace(" 7 ", " 4 ")), (3, item), (4, item.replace("5", "6"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item), (2, "Tell me how 3 dogs and 5 cats share one house")], "item_id long, text string")
+    got = {r["doc_id"]: r for r in decontaminate.matches(docs, bench).collect()}
+    assert set(got) == {1, 2, 3, 4}
+    assert 0 < got[1]["n_windows"] < got[3]["n_windows"] == got[3]["item_windows"]
+    assert got[2]["n_windows"] == got[4]["n_windows"] == got[3]["n_windows"]
+    equal = spark.createDataFrame([(1, "Tell me how 4 dogs and 4 cats share one house"), (2, "Tell me how 3 dogs and 5 bats share one house")], "doc_id long, text string")
+    assert [(r["doc_id"], r["item_id"]) for r in decontaminate.matches(equal, bench).collect()] == [(1, 2)]
+    assert decontaminate.remove_contaminated(docs, bench).count() == 0
+
+
 def test_removal_keeps_clean_rows(leaks):
     docs, bench = leaks
     kept = decontaminate.remove_contaminated(docs, bench)
