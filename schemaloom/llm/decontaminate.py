@@ -2,9 +2,10 @@
 
 Texts become sequences of tokens in which numbers, units behind numbers and names
 (capitalised words inside a sentence) are typed placeholders; the rest is lower
-case, signs are dropped. Windows of template tokens of the documents are hash-joined
-with those of the benchmark. Every window is taken twice where it has names, with
-names as placeholders and as words, so that a copy in another case is found too.
+case, signs are dropped. Windows of tokens of the documents are hash-joined with those
+of the benchmark: as they are, and as templates with placeholders for numbers and
+units, for names too, and for capitalised words that open a sentence too. A window is
+taken in every form that differs from the one before.
 
 A window whose values are all the item's is a match. In one with replaced values each
 value of the item must stand for one value of the document; two may become equal. At
@@ -14,9 +15,10 @@ without replaced ones, which are matches then.
 A bit array of the benchmark's window hashes (``2**LOG2_BITS`` bits whatever its size)
 lets through the few windows of a document that can join; the join decides.
 
-Windows have ``WIDTH`` tokens, or the whole item where it has fewer; items with fewer
-than ``LEAST`` tokens and windows with fewer than 60 % plain words are not looked for, as
-chance would meet them. Defined cases: null and empty texts match nothing; equal
+Windows have ``WIDTH`` tokens, or the whole item where it has fewer. Every window and
+every item with a token is looked for as it is; as templates, which chance would meet,
+only those with ``LEAST`` tokens and 60 % plain words. Defined cases: null and empty texts
+and items without letters and digits match nothing; equal
 texts have equal matches; benchmark rows with a null id or text are left out;
 repeated benchmark rows count once.
 """
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from schemaloom.llm.arrow import Memory, as_text, pieces
-from schemaloom.llm.hashing import Words, mix, window_hashes
+from schemaloom.llm.hashing import _POWERS, mix
 from schemaloom.session import materialize
 
 WIDTH = 13
@@ -72,8 +74,8 @@ class Tokens:
         kind = (1 if token in ".!?\n" else 2 if token[0].isdigit() else 0) | (4 if low in UNITS else 0) | (8 if len(token) > 1 and token.istitle() else 0)
         return value, kind
 
-    def read(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Value hashes, types with names, types without names, and row starts of the tokens that are not stops."""
+    def read(self, texts: list[str | None]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+        """Value hashes, placeholder types by form (none, without names, with names, with opening ones) and row starts of the tokens that are not stops."""
         split = [_TOKEN.findall(t) if t else [] for t in texts]
         self.memory.turn()
         parts = set().union(*split)
@@ -98,8 +100,11 @@ class Tokens:
         after_number[1:] = number[:-1]
         after_number[starts[:-1][starts[:-1] < len(at)]] = False
         plain = np.where(number, _NUMBER, np.where(after_number & (kind & 4 > 0), _UNIT, 0)).astype(np.uint8)
-        typed = np.where((plain == 0) & (kind & 8 > 0) & ~opens, _NAME, plain).astype(np.uint8)
-        return mix(values[at], 1) if len(at) else np.empty(0, np.uint64), typed, plain, starts
+        name = (plain == 0) & (kind & 8 > 0)
+        typed = np.where(name & ~opens, _NAME, plain).astype(np.uint8)
+        opened = np.where(name, _NAME, plain).astype(np.uint8)
+        hashes = mix(values[at], 1) if len(at) else np.empty(0, np.uint64)
+        return hashes, [np.zeros(len(at), np.uint8), plain, typed, opened], starts
 
 
 def _template_windows(batches, sizes: list[int], bits, whole: bool):
@@ -107,32 +112,44 @@ def _template_windows(batches, sizes: list[int], bits, whole: bool):
     tokens = Tokens()
     for full in batches:
         for batch in pieces(full, "text"):
-            values, typed, plain, first = tokens.read(batch.column(2).to_pylist())
+            values, forms, first = tokens.read(batch.column(2).to_pylist())
             counts = np.diff(first)
             row_of = np.repeat(np.arange(len(counts)), counts)
-            for names, types in ((True, typed), (False, plain)):
-                hashes = np.where(types > 0, _HOLDER[types], values)
+            last = np.repeat(first[1:], counts)
+            up, down = _POWERS.of(len(values) + 1)
+            below = None
+            for types in forms:
+                # a window's hash is a difference of sums, whatever its size
+                sums = np.zeros(len(values) + 1, np.uint64)
+                np.cumsum(np.where(types > 0, _HOLDER[types], values) * up[:len(values)], out=sums[1:])
+                if below is not None:
+                    words = np.concatenate([[0], np.cumsum(types == 0)])
+                    new = np.concatenate([[0], np.cumsum(types != below)])
                 for size in sizes:
-                    if size > len(hashes):
+                    n = len(values) - size + 1
+                    if n <= 0 or (below is not None and size < LEAST):
                         continue
-                    found, inside = window_hashes(Words(hashes, first, None, None, None), size, 7)
+                    inside = np.arange(size, n + size) <= last[:n]
                     if whole and size < WIDTH:
-                        inside &= counts[row_of] == size
-                    words = np.concatenate([[0], np.cumsum(types == 0)])
-                    named = np.concatenate([[0], np.cumsum(types == _NAME)])
+                        inside &= counts[row_of[:n]] == size
+                    if below is not None:
+                        inside &= (new[size:] > new[:n]) & (words[size:] - words[:n] >= PLAIN * size)
                     spot = np.flatnonzero(inside)
-                    spot = spot[words[spot + size] - words[spot] >= PLAIN * size]
-                    if names:
-                        spot = spot[named[spot + size] > named[spot]]
+                    found = mix((sums[spot + size] - sums[spot]) * down[spot], 8)
                     if bits is not None:
-                        cell = (found[spot] >> np.uint64(64 - LOG2_BITS)).astype(np.int64)
-                        spot = spot[(bits[cell >> 3] >> (cell & 7).astype(np.uint8) & 1).astype(bool)]
+                        cell = (found >> np.uint64(64 - LOG2_BITS)).astype(np.int64)
+                        may = (bits[cell >> 3] >> (cell & 7).astype(np.uint8) & 1).astype(bool)
+                        spot, found = spot[may], found[may]
+                    if below is None and size < LEAST:  # the first place in a row stands for all
+                        _, one = np.unique(np.stack([row_of[spot].astype(np.uint64), found]), axis=1, return_index=True)
+                        spot, found = spot[one], found[one]
                     slots = [np.where(types[p:p + size] > 0, values[p:p + size], 0).view(np.int64).tolist() for p in spot]
                     rows = pa.array(row_of[spot])
                     yield pa.RecordBatch.from_arrays([
                         batch.column(0).take(rows), batch.column(1).take(rows), pa.array(np.full(len(spot), size, np.int32)),
-                        pa.array((spot - first[row_of[spot]]).astype(np.int32)), pa.array(found[spot].view(np.int64)), pa.array(slots, pa.list_(pa.int64())),
+                        pa.array((spot - first[row_of[spot]]).astype(np.int32)), pa.array(found.view(np.int64)), pa.array(slots, pa.list_(pa.int64())),
                     ], names=["a", "b", "size", "pos", "hash", "slots"])
+                below = types
 
 
 WINDOW_SCHEMA = "a long, b long, size int, pos int, hash long, slots array<long>"
@@ -142,7 +159,7 @@ def item_windows(benchmark: DataFrame, item_id: str = "item_id", text: str = "te
     """Template windows of the items: item_id, size, item_pos, hash, item_slots, n_windows."""
     items = as_text(benchmark.select(F.col(item_id).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.col(text).alias("text")), "text")
     items = items.where("a is not null and text is not null").distinct()
-    sizes = list(range(LEAST, WIDTH + 1))
+    sizes = list(range(1, WIDTH + 1))
     found = items.mapInArrow(lambda batches: _template_windows(batches, sizes, None, True), WINDOW_SCHEMA).distinct()
     counts = found.groupBy("a").agg(F.countDistinct("pos").alias("n_windows"))
     return found.join(counts, "a").select(F.col("a").alias("item_id"), "size", F.col("pos").alias("item_pos"), "hash", F.col("slots").alias("item_slots"), "n_windows")
@@ -176,7 +193,7 @@ def match_texts(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_
     """
     spark = docs.sparkSession
     items = materialize(item_windows(benchmark, item_id, item_text), "item-windows")
-    sizes = sorted(r["size"] for r in items.select("size").distinct().collect())  # WIDTH - LEAST + 1 at most
+    sizes = sorted(r["size"] for r in items.select("size").distinct().collect())  # WIDTH at most
     bits = spark.sparkContext.broadcast(_filter_bits(items))
     rows = as_text(docs.select(F.col(text).alias("text")), "text").where("text is not null").select(*text_keys("text"), "text")
     found = rows.mapInArrow(lambda batches: _template_windows(batches, sizes, bits.value, False), WINDOW_SCHEMA).distinct()

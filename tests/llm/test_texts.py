@@ -112,6 +112,19 @@ def test_contradiction_keeps_the_other_windows(spark):
     assert decontaminate.remove_contaminated(docs, bench).count() == 0
 
 
+def test_items_of_few_plain_words(spark):
+    numbers = "Continue: 1 4 9 16 25 36 49 64 81 100 121 144 169 196 225"
+    items = ["What is 12 * (3 + 4) / 2?", numbers, "Maria has 5 red apples and eats 2 of them", "Define entropy", "Seven"]
+    fill = " Some other words stand here. "
+    texts = [fill + items[0] + fill, fill + numbers + fill, "Anton has 5 red apples and eats 2 of them", "so Anton has 6 red apples and eats 2 of them",
+             "please DEFINE ENTROPY, define entropy " * 9, "What is 13 * (3 + 4) / 2?", numbers.replace("1 4 9 16 25", "2 3 5 8 13"), fill,
+             "In 5 hours pass the salt to him and her", "It took 3. What is 12 * (3 + 4) / 2", "seventh", numbers.replace("64", "65")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([*enumerate(items), (5, "Hours pass the salt to him and her")], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(docs, bench).collect()}
+    assert got == {(0, 0), (1, 1), (2, 2), (3, 2), (4, 3), (8, 5), (9, 0)}
+
+
 def test_removal_keeps_clean_rows(leaks):
     docs, bench = leaks
     kept = decontaminate.remove_contaminated(docs, bench)
