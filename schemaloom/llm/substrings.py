@@ -12,7 +12,8 @@
 
 Exact copies of a text with a smaller id lose all their words if they have a
 window, which needs no grouping: up to ``MOST_COPIES`` of them are set aside by a
-broadcast list of ids. Further copies take the general way, with the same result.
+broadcast list of 64-bit hashes of (id, text). Further copies take the general way, with
+the same result.
 
 Defined cases: null text has no words; rows with a null id neither lose words nor
 count as earlier; rows that repeat an id and a text get equal results; rows with
@@ -59,24 +60,24 @@ def sketched_keys(batch: pa.RecordBatch, width: int):
 
 
 def copies(docs: DataFrame, limit: int) -> np.ndarray:
-    """Sorted ids of at most ``limit`` documents whose text an earlier document has."""
+    """Sorted hashes of (id, text) of at most ``limit`` documents whose text an earlier document has."""
     key = [F.xxhash64("text").alias("a"), F.md5("text").alias("b")]
-    ids = docs.where("text is not null and doc_id is not null").select("doc_id", *key)
+    ids = docs.where("text is not null and doc_id is not null").select("doc_id", "copy_key", *key)
     first = ids.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("last > first")
-    later = ids.join(first, ["a", "b"]).where("doc_id > first").select("doc_id").limit(limit)
-    return np.sort(later.toPandas()["doc_id"].to_numpy(np.int64))
+    later = ids.join(first, ["a", "b"]).where("doc_id > first").select("copy_key").limit(limit)
+    return np.sort(later.toPandas()["copy_key"].to_numpy(np.int64))
 
 
-def _is_in(ids: np.ndarray, known: np.ndarray) -> np.ndarray:
+def _is_in(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
     if not len(known):
-        return np.zeros(len(ids), dtype=bool)
-    return known[np.minimum(np.searchsorted(known, ids), len(known) - 1)] == ids
+        return np.zeros(len(keys), dtype=bool)
+    return known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys
 
 
 def repeated_positions(docs: DataFrame, width: int = WIDTH, log2_cells: int = sketch.LOG2_CELLS, set_aside: np.ndarray | None = None) -> DataFrame:
     """(doc_id, mark, starts): word positions where a window starts that an earlier document has.
 
-    ``docs`` has doc_id (long), text and mark (32-bit hash of the text).
+    ``docs`` has doc_id (long), text, mark (32-bit hash of the text) and copy_key (hash of both).
     """
     spark = docs.sparkSession
     known = set_aside if set_aside is not None else np.empty(0, np.int64)
@@ -84,10 +85,11 @@ def repeated_positions(docs: DataFrame, width: int = WIDTH, log2_cells: int = sk
 
     def kept(batch):
         ids = batch.column(batch.schema.get_field_index("doc_id"))
-        use = ids.is_valid().to_numpy(zero_copy_only=False) & ~_is_in(ids.fill_null(0).to_numpy(zero_copy_only=False), aside.value)
+        keys = batch.column(batch.schema.get_field_index("copy_key"))
+        use = ids.is_valid().to_numpy(zero_copy_only=False) & ~_is_in(keys.to_numpy(zero_copy_only=False), aside.value)
         return batch.filter(pa.array(use))
 
-    parts = sketch.collect_keys(docs.select("doc_id", "text"), lambda b: sketched_keys(kept(b), width), SKETCH_ROWS, log2_cells)
+    parts = sketch.collect_keys(docs.select("doc_id", "copy_key", "text"), lambda b: sketched_keys(kept(b), width), SKETCH_ROWS, log2_cells)
     bits = spark.sparkContext.broadcast(sketch.merge(parts, SKETCH_ROWS, log2_cells))
 
     def candidates(batches):
@@ -108,7 +110,7 @@ def repeated_positions(docs: DataFrame, width: int = WIDTH, log2_cells: int = sk
                     pa.array(marks[at + row] << 32 | (own - words.first[row])),
                 ], names=["a", "b", "doc_id", "place"])
 
-    found = docs.select("doc_id", "mark", "text").mapInArrow(candidates, "a long, b long, doc_id long, place long")
+    found = docs.select("doc_id", "mark", "text", "copy_key").mapInArrow(candidates, "a long, b long, doc_id long, place long")
     first = found.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("last > first").drop("last")
     later = found.join(first, ["a", "b"]).where("doc_id > first")
     mark = F.shiftright("place", 32).cast("int")
@@ -120,7 +122,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                    log2_cells: int = sketch.LOG2_CELLS, most_copies: int = MOST_COPIES) -> DataFrame:
     """doc_id, n_words, n_removed and kept (the words left, joined by one space) per row."""
     rows = as_text(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), "text")
-    rows = rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("mark", F.hash("text"))
+    rows = rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("mark", F.hash("text")).withColumn("copy_key", F.xxhash64("doc_id", "text"))
     known = copies(rows, most_copies)
     starts = repeated_positions(rows, width, log2_cells, known)
     aside = docs.sparkSession.sparkContext.broadcast(known)
@@ -129,7 +131,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         for whole in batches:
             for batch in pieces(whole, "text"):
                 ids, n_words, n_removed, kept = batch.column(0), [], [], []
-                gone = _is_in(ids.fill_null(0).to_numpy(zero_copy_only=False), aside.value) & ids.is_valid().to_numpy(zero_copy_only=False)
+                gone = _is_in(batch.column(3).to_numpy(zero_copy_only=False), aside.value) & ids.is_valid().to_numpy(zero_copy_only=False)
                 for copy, t, own in zip(gone, batch.column(1).to_pylist(), batch.column(2)):
                     words = t.encode().split()
                     n = len(words)
@@ -151,5 +153,5 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     names=["doc_id", "n_words", "n_removed", "kept"])
 
     # null ids match nothing and keep their words
-    placed = rows.join(starts, ["doc_id", "mark"], "left").select("doc_id", "text", "starts")
+    placed = rows.join(starts, ["doc_id", "mark"], "left").select("doc_id", "text", "starts", "copy_key")
     return placed.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept string")

@@ -168,6 +168,15 @@ def test_one_id_with_two_texts(spark):
     assert got == {(1, 20, 0, passage), (2, 21, 20, "end"), (2, 20, 0, ("other " * 20).strip())}
 
 
+@pytest.mark.parametrize("most_copies", [0, 1, 1000])
+def test_one_id_with_a_copy_and_another_text(spark, most_copies):
+    p, q = (" ".join(f"{c}{i}" for i in range(20)) for c in "pq")
+    rows = [(1, p), (2, p), (2, q), (3, q + " end"), (None, p)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {tuple(r) for r in substrings.remove_repeats(docs, log2_cells=16, most_copies=most_copies).collect()}
+    assert got == {(1, 20, 0, p), (2, 20, 20, ""), (2, 20, 0, q), (3, 21, 20, "end"), (None, 20, 0, p)}
+
+
 def test_fingerprints_estimate_jaccard():
     rng = random.Random(3)
     errors = []
