@@ -11,7 +11,8 @@ All tables are counts over labelled pages: pages of the corpus that mark their t
 with one ``article`` element (a bounded sample), and generated pages in usual layouts
 without such a mark, whose labels are known.
 
-Text in scripts, styles, forms, the head and embedded objects is never read.
+Text in scripts, styles, forms, the head and embedded objects is never read. The head
+ends at its first text or body element, any other of these at the end of its parent.
 Defined cases: null and empty pages have the empty text; markup that breaks off ends
 the page; unclosed and stray tags are tolerated; equal pages have equal texts.
 """
@@ -41,6 +42,9 @@ BLOCKS = frozenset("""html body main article section div header footer nav aside
     table thead tbody tfoot tr td th caption pre blockquote figure figcaption address details summary center hr fieldset""".split())
 #: Elements whose text is no running text.
 SKIPPED = frozenset("script style noscript template head svg math iframe object form textarea select button canvas audio video title".split())
+#: Elements that are raw text up to their end tag, and those that a head may hold.
+RAW = frozenset("script style textarea title noscript iframe template".split())
+IN_HEAD = frozenset("head html base basefont bgsound link meta title script style noscript template".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: Start tags that end an open element of the second kind.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
@@ -78,14 +82,14 @@ def _hint(attributes: str) -> tuple[str, int | None]:
     for name, *values in _ATTRIBUTE.findall(attributes):
         value = next((v for v in values if v), "").lower()
         if name.lower() == "data-y":
-            mark = int(value)
+            mark = int(value) if value in ("0", "1") else None
         else:
             words.update(_HINT.findall(value))
     return ("away" if words & AWAY else "here" if words & HERE else "other" if words else "none"), mark
 
 
-def parse(source: str | None) -> Page:
-    """Tolerant reading of block structure and text."""
+def parse(source: str | None, marked: bool = True) -> Page:
+    """Tolerant reading of block structure and text; of marks only where ``marked`` (generated pages)."""
     page = Page()
     stack: list[int] = []
     pieces: list[str] = []
@@ -100,7 +104,7 @@ def parse(source: str | None) -> Page:
         page.parent.append(stack[-1] if stack else -1)
         page.tag.append(tag)
         page.hint.append(hint)
-        page.mark.append(mark)
+        page.mark.append(mark if marked else None)
         stack.append(len(page.tag) - 1)
 
     def close_run() -> None:
@@ -130,34 +134,56 @@ def parse(source: str | None) -> Page:
             if in_link:
                 linked += len(text.strip())
 
+    def raw_end(name: str, at: int) -> int:
+        stop = re.compile(rf"</{name}\b[^>]*>", re.I).search(source, at)
+        return stop.end() if stop else len(source)
+
     open_node("html", "")
     source = _TAIL.sub("", source or "")
     at, skip = 0, ""
-    for m in _TAG.finditer(source):
-        if m.start() < at:
-            continue
+    inside: list[str] = []  # open elements in the skipped one
+    while m := _TAG.search(source, at):
         name = (m[2] or m[5] or "").lower()
         closing = bool(m[1] or m[4])
+        attributes = m[3] or m[6] or ""
+        if skip == "head" and (source[at:m.start()].strip() or (name and name not in IN_HEAD and (not closing or name == "body"))):
+            skip = ""
         if not skip:
             add(source[at:m.start()])
         at = m.end()
         if not name:
             continue
-        if skip:
-            if closing and name == skip:
+        if skip and closing:
+            if name in inside:
+                while inside.pop() != name:
+                    pass
+                continue
+            if name == skip:
                 skip = ""
+                continue
+            # a form ends an open paragraph, so that it is no parent
+            if name not in BLOCKS or (name == "p" and skip == "form") or all(page.tag[k] != name for k in stack[1:]):
+                continue
+            skip = ""
+        elif skip:
+            if name in RAW and not (attributes.endswith("/") and (skip in ("svg", "math") or {"svg", "math"} & set(inside))):
+                at = raw_end(name, at)
+            elif name == skip and name in ("button", "select"):  # ends the open one
+                inside.clear()
+                skip = name if name == "button" else ""
+            elif (name in BLOCKS and name != "hr") or (name in SKIPPED and name not in RAW and name not in ("form", "head") and not attributes.endswith("/")):
+                inside.append(name)
             continue
         if name in SKIPPED and not closing:
             if name == "form" or name in BLOCKS:
                 close_run()
-            attributes = m[3] or m[6] or ""
             if attributes.endswith("/") and name == "svg":
                 continue
-            if name in ("script", "style", "textarea", "title", "noscript", "iframe", "template"):  # raw text up to the end tag
-                stop = re.compile(rf"</{name}\b[^>]*>", re.I).search(source, at)
-                at = stop.end() if stop else len(source)
+            if name in RAW:
+                at = raw_end(name, at)
             else:
                 skip = name
+                inside.clear()
         elif name in BLOCKS:
             close_run()
             if closing:
@@ -171,12 +197,12 @@ def parse(source: str | None) -> Page:
                 else:
                     end({"p"})
                 if name != "hr":
-                    open_node(name, m[3] or m[6] or "")
+                    open_node(name, attributes)
         elif name == "a":
             in_link = not closing
         elif name == "br":
             pieces.append(" ")
-    if not skip:
+    if not skip or (skip == "head" and source[at:].strip()):
         add(source[at:])
     close_run()
     return page
@@ -327,7 +353,7 @@ def fit(pages: DataFrame, source: str = "html", sample_pages: int = SAMPLE_PAGES
         counts: dict[tuple[str, str, int], float] = {}
         for frame in frames:
             for source in frame["html"]:
-                page = parse(source)
+                page = parse(source, False)
                 if labels := labels_by_article(page):
                     count_page(page, labels, counts)
         yield pd.DataFrame([(*k, n) for k, n in counts.items()], columns=["kind", "value", "state", "n"]).astype({"state": "int64", "n": "float64"})
@@ -375,7 +401,7 @@ def marginals(pages: list[Page], model: Model) -> list[np.ndarray]:
 
 
 def main_texts(sources: list[str | None], model: Model) -> list[str]:
-    pages = [parse(s) for s in sources]
+    pages = [parse(s, False) for s in sources]
     return ["\n".join(text for node, text, _ in p.runs if m[node] >= 0.5) for p, m in zip(pages, marginals(pages, model))]
 
 

@@ -188,6 +188,24 @@ def test_text_of_every_page(spark):
         assert rows[r["page_id"]]["text"] == want and rows[r["page_id"]]["n_chars"] == len(want)
 
 
+@pytest.mark.parametrize("source", [
+    "<html><head><title>No</title><meta charset=utf-8><body><article><p>Real text.</p></article>",
+    "<head><link rel=x><p>Real text.</p>",
+    "<head><script>for(i=0;i<n;i++){ /* don't */ }</script></head><body><article><p>Real text.</p><p class=\"it's\"></article>",
+    "<body><script>if (a<b && c) x = 'don</script><p>Real text.</p><i title='x'></i>",
+    "<div><form><div><p>No<p>No</div><button>No</div><div><p>Real text.</p></div>",
+    "<p><form><input></p>No</form></p><p>Real text.</p>",
+    "<div><button>No<button>No</button></div><p>Real text.</p>",
+    "<ul><li><select><option>No</ul><p>Real text.</p>",
+    "<div><svg><style/><svg></svg><title>No</title></svg></div><p>Real text.</p>",
+    "<head><style>No</style>Real text.",
+    "<div data-y='12.5'><p data-y=''>Real text.</p></div>",
+])
+def test_skipped_elements_end(source):
+    assert [r[1] for r in pages.parse(source).runs] == ["Real text."]
+    assert all(m is None for m in pages.parse("<div data-y=1>x</div>", False).mark)
+
+
 def test_odd_pages(spark):
     story = "<p>" + "A long sentence, with signs, that tells a story. " * 5 + "</p>"
     rows = [None, "", "plain text only", "<div><<p>x", "<article>" + story + "<form><p>" + "Please fill, now. " * 20 + "</p></form></article><script>var a='<p>no</p>'</script>",
