@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from schemaloom.llm import bpe, decontaminate, fingerprints, jaccard, language, pages, pitman_yor, secrets, substrings, token_files
+from schemaloom.llm import bpe, conversations, decontaminate, fingerprints, jaccard, language, pages, pitman_yor, secrets, substrings, token_files
 from schemaloom.llm.arrow import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -154,3 +154,75 @@ def op9_lm_scoring(spark, d):
     model = pitman_yor.fit(docs.where((fold() != 1) & F.col("doc_id").isNotNull()))
     found = pitman_yor.score(docs, model)
     return found.select("doc_id", (fold() == 1).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+@query
+def op12_conversation_repair(spark, d):
+    """Every conversation damaged by its checksums, then repaired by the cheapest edits."""
+    return conversations.repair(conversations.damage(table(spark, d, "conversations").select("conv_id", "turn", "role", "text")))
+
+
+def _repair_oracle() -> str:
+    """Dynamic programming over the rows: best (cost, edits) of each state, instead of a search."""
+    def best(*options):
+        return "list_sort([" + ", ".join(options) + "])[1]"
+
+    def step(state, cost, letter):
+        return f"{{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}'}}"
+
+    never = "{'c': 1000000000, 'a': ''}"
+    user = best("q.s2", *[step(f"q.s{k}", 3, "I") for k in (0, 1, 3)])
+    assistant = best("q.s3", step("q.s2", 3, "I"), step("q.s0", 6, "II"), step("q.s1", 6, "II"))
+    keep = "(CASE WHEN f = 't' THEN 3 ELSE 0 END)"
+
+    def allowed(test, option):
+        return f"CASE WHEN f NOT IN ('b', 'd') AND {test} THEN {option} ELSE {never} END"
+
+    system = best(step("i1", 4, "D"), allowed("r = 's'", step("i0", keep, "K")))
+    spoken = best(step("i2", 4, "D"), *[allowed("r = 'u'", step(f"i{k}", keep, "K")) for k in (0, 1, 3)],
+                  *[allowed("true", step(f"i{k}", f"3 + {keep}", "R")) for k in (0, 1, 3)])
+    answered = best(step("i3", 4, "D"), allowed("r = 'a'", step("i2", keep, "K")), allowed("true", step("i2", f"3 + {keep}", "R")))
+    return f"""
+        WITH RECURSIVE bytes AS (
+            SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, 3988292384 * (c & 1)))) AS t),
+        raw AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                       coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+        summed AS (SELECT raw.*, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(k, ''), lambda x: ascii(x)::BIGINT)),
+                       lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295) % 20 AS kind FROM raw, bytes),
+        broken AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+                          CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+                          unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM summed),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS p FROM broken),
+        judged AS MATERIALIZED (
+            SELECT conv_id, turn, role, text, p, CASE WHEN role = '' THEN chr(0) ELSE left(role, 1) END AS r,
+                   CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY p) > 1 THEN 'd'
+                        WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 't' ELSE '-' END AS f FROM placed),
+        walk(conv_id, p, s0, s1, s2, s3) AS (
+            SELECT conv_id, 0::BIGINT, {{'c': 0::BIGINT, 'a': ''}}, {{'c': 1000000000::BIGINT, 'a': ''}}, {{'c': 1000000000::BIGINT, 'a': ''}}, {{'c': 1000000000::BIGINT, 'a': ''}}
+            FROM (SELECT DISTINCT conv_id FROM conversations)
+            UNION ALL
+            SELECT conv_id, p, {step("i0", 4, "D")}, {system}, {spoken}, {answered}
+            FROM (SELECT q.conv_id, j.p, j.r, j.f, q.s0 AS i0, q.s1 AS i1, {user} AS i2, {assistant} AS i3
+                  FROM walk q JOIN judged j ON j.conv_id IS NOT DISTINCT FROM q.conv_id AND j.p = q.p + 1)),
+        ended AS (SELECT conv_id, least_path.c AS cost, least_path.a AS audit
+                  FROM (SELECT conv_id, {best("q.s0", assistant)} AS least_path FROM walk q
+                        QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY p DESC) = 1)),
+        edits AS (SELECT conv_id, audit, unnest(range(1, length(audit) + 1)) AS e FROM ended),
+        cut AS (SELECT conv_id, e, audit[e] AS edit, length(replace(left(audit, e), 'I', '')) AS p FROM edits),
+        lines AS (SELECT cut.conv_id, e, edit, j.role, coalesce(j.text, '') AS text, count(*) FILTER (WHERE edit <> 'D') OVER (PARTITION BY cut.conv_id ORDER BY e) AS out_no,
+                         bool_or(edit = 'K' AND left(j.role, 1) = 's') OVER (PARTITION BY cut.conv_id) AS has_system
+                  FROM cut LEFT JOIN judged j ON j.conv_id IS NOT DISTINCT FROM cut.conv_id AND j.p = cut.p),
+        repaired AS (SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role ELSE CASE WHEN (out_no - has_system::INT) % 2 = 1 THEN 'user' ELSE 'assistant' END END
+                                                || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END, chr(10) ORDER BY e) AS t
+                     FROM lines WHERE edit <> 'D' GROUP BY conv_id),
+        counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE f = 'b') AS blank,
+                          count(*) FILTER (WHERE f = 'd') AS duplicate, count(*) FILTER (WHERE f = 't') AS truncated FROM judged GROUP BY conv_id),
+        pairs AS (SELECT conv_id, count(*) AS illegal FROM (SELECT conv_id, lag(r) OVER (PARTITION BY conv_id ORDER BY p) || r AS two FROM judged)
+                  WHERE two NOT IN ('su', 'ua', 'au') GROUP BY conv_id)
+        SELECT ended.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+               coalesce(illegal, 0) AS illegal, cost::BIGINT AS cost, audit, sha256(coalesce(t, '')) AS repaired_sha256
+        FROM ended LEFT JOIN counts ON counts.conv_id IS NOT DISTINCT FROM ended.conv_id LEFT JOIN pairs ON pairs.conv_id IS NOT DISTINCT FROM ended.conv_id
+        LEFT JOIN repaired ON repaired.conv_id IS NOT DISTINCT FROM ended.conv_id"""
+
+
+ORACLES["op12_conversation_repair"] = _repair_oracle()
