@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from schemaloom.llm import bpe, conversations, decontaminate, fingerprints, jaccard, language, pages, pitman_yor, secrets, substrings, token_files
+from schemaloom.llm import bpe, conversations, decontaminate, fingerprints, jaccard, language, lexical, pages, pitman_yor, secrets, substrings, token_files, warc
 from schemaloom.llm.arrow import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -226,3 +226,47 @@ def _repair_oracle() -> str:
 
 
 ORACLES["op12_conversation_repair"] = _repair_oracle()
+
+
+@query
+def op13_warc(spark, d):
+    """Every page written to WARC bundles and read back from them."""
+    archive = warc.write(table(spark, d, "pages").select("page_id", "url", "html"))
+    return warc.read(archive, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified")
+
+
+def _warc_oracle() -> str:
+    letters = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (v{g} >> {s} & 31)::INT + 1, 1)" for g in range(8) for s in (15, 10, 5, 0))
+    values = ", ".join(f"('0x' || substr(h, {5 * g + 1}, 5))::BIGINT AS v{g}" for g in range(8))
+    return f"""
+        WITH payloads AS (SELECT page_id, coalesce(html, '') AS p, sha1(coalesce(html, '')) AS h FROM pages),
+        cut AS (SELECT page_id, p, {values}, min(page_id) OVER (PARTITION BY p) AS first FROM payloads)
+        SELECT page_id, strlen(p)::BIGINT AS payload_bytes, {letters} AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> first THEN first END AS refers_to, true AS verified
+        FROM cut"""
+
+
+ORACLES["op13_warc"] = _warc_oracle()
+
+
+@query
+def op11_lexical_search(spark, d):
+    """The ten documents that match each benchmark item best."""
+    index = lexical.build(table(spark, d, "documents").select("doc_id", "text"))
+    return lexical.search(index, table(spark, d, "benchmark").select("item_id", "text"))
+
+
+ORACLES["op11_lexical_search"] = r"""
+    WITH docs AS (SELECT row_number() OVER () AS d, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                                               '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+    items AS (SELECT row_number() OVER () AS i, item_id, list_distinct(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                                               '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark),
+    sums AS (SELECT count(*)::BIGINT AS n, sum(len(t))::BIGINT AS l FROM docs WHERE len(t) > 0),
+    norms AS (SELECT d, doc_id, 10 + (90 * len(t) * n) // l AS m FROM docs, sums WHERE len(t) > 0),
+    wanted AS (SELECT i, unnest(t) AS term FROM items),
+    tfs AS MATERIALIZED (SELECT d, term, count(*)::BIGINT AS tf FROM (SELECT d, unnest(t) AS term FROM docs) WHERE term IN (SELECT term FROM wanted) GROUP BY ALL),
+    weights AS (SELECT term, floor(1000 * ln((2 * n + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tfs, sums GROUP BY term, n),
+    scores AS (SELECT i, d, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+               FROM wanted JOIN tfs USING (term) JOIN weights USING (term) JOIN norms USING (d) GROUP BY i, d),
+    ranked AS (SELECT i, doc_id, score, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scores JOIN norms USING (d) WHERE score > 0)
+    SELECT item_id, rank::INT AS rank, doc_id, score FROM ranked JOIN items USING (i) WHERE rank <= 10"""
