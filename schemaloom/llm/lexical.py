@@ -7,10 +7,11 @@ tf alone: the postings of a term are grouped by tf, and one impact is computed p
 largest tf of a term bounds what it can add in a stratum; the sum over an item's terms
 bounds every document there.
 
-Build: texts are cut into (term, tf) lists once; m follows from two sums over them. Range
-partitions by (m, row) lay equal m side by side, however many documents share it, and tasks
-write blocks of at most ``BLOCK_DOCS`` documents of one stratum. All terms of all documents
-are indexed.
+Build: one pass counts documents by their number of terms, which gives m for every number
+and the size of every stratum. A second pass cuts texts into (term, tf) lists and sends them
+to their stratum, one with more than ``BLOCK_DOCS`` documents in as many parts as it makes
+blocks; tasks write blocks of at most that many documents. All terms of all documents are
+indexed.
 
 Search, for items in groups of bounded size: document frequencies are summed over the
 blocks; bounds of all blocks are computed from term tables alone; each item's blocks with
@@ -30,6 +31,7 @@ come by id, null ids last; other columns are not read; an empty table gives no r
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -76,13 +78,33 @@ def _ints(values: np.ndarray, kind: str) -> bytes:
     return np.ascontiguousarray(values, dtype=kind).tobytes()
 
 
-def _term_lists(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """key, n and the distinct terms with their frequencies, of documents with at least one term."""
-    source = as_text(docs.select(key, text), text)
-    schema = StructType([source.schema[key], *StructType.fromDDL("n long, terms binary, tfs binary").fields])
+def _sizes(docs: DataFrame) -> DataFrame:
+    """n, docs: how many documents have n terms; documents without any are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: Counter = Counter()
+        for batch in batches:
+            for _, data, offsets in text_slices(batch.column(0)):
+                begins = np.diff((_CLEAN[data] != 0x20).astype(np.int8), prepend=0) == 1
+                # A row that begins inside a run of term bytes starts a term of its own.
+                edges = offsets[:-1][(offsets[:-1] > 0) & (offsets[:-1] < len(data))]
+                begins[edges] = _CLEAN[data[edges]] != 0x20
+                sums = np.concatenate([[0], np.cumsum(begins)])
+                total.update(np.diff(sums[offsets]).tolist())
+        del total[0]
+        yield pa.RecordBatch.from_pydict({"n": pa.array(list(total), pa.int64()), "docs": pa.array(list(total.values()), pa.int64())})
+
+    return docs.mapInArrow(run, "n long, docs long").groupBy("n").agg(F.sum("docs").alias("docs"))
+
+
+def _term_lists(docs: DataFrame, text: str, key: str, documents: int, terms: int, parts: dict[int, int]) -> DataFrame:
+    """m, part, key and the distinct terms with their frequencies, of documents with at least one term."""
+    kind = docs.schema[key].dataType.simpleString()
+    schema = StructType.fromDDL(f"m long, part int, key {kind}, terms binary, tfs binary")
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = 0
         for batch in batches:
             keys = batch.column(batch.schema.get_field_index(key))
             for at, data, offsets in text_slices(batch.column(batch.schema.get_field_index(text))):
@@ -94,16 +116,19 @@ def _term_lists(docs: DataFrame, text: str, key: str) -> DataFrame:
                 new[1:] = (h[1:] != h[:-1]) | (r[1:] != r[:-1])
                 firsts = np.flatnonzero(new)
                 tfs = np.diff(np.append(firsts, len(h)))
-                terms, owners = h[firsts], r[firsts]
+                own, owners = h[firsts], r[firsts]
                 cuts = np.searchsorted(owners, np.arange(words.rows() + 1))
-                counts = words.counts()
+                counts = words.counts().astype(np.int64)
                 found = np.flatnonzero(counts)
+                m = (100 - LENGTH_SHARE + LENGTH_SHARE * counts[found] * documents // max(1, terms)).tolist()
+                dealt = [(read + i) % parts.get(stratum, 1) for i, stratum in enumerate(m)]
+                read += len(m)
                 yield pa.RecordBatch.from_arrays([
-                    keys.take(pa.array(found + at)), pa.array(counts[found], pa.int64()),
-                    pa.array([_ints(terms[cuts[i]:cuts[i + 1]], "<u8") for i in found], pa.binary()),
+                    pa.array(m, pa.int64()), pa.array(dealt, pa.int32()), keys.take(pa.array(found + at)),
+                    pa.array([_ints(own[cuts[i]:cuts[i + 1]], "<u8") for i in found], pa.binary()),
                     pa.array([_ints(tfs[cuts[i]:cuts[i + 1]], "<u4") for i in found], pa.binary())], schema=arrow)
 
-    return source.mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def make_block(terms: list[bytes], tfs: list[bytes]) -> dict[str, bytes]:
@@ -131,12 +156,16 @@ def make_block(terms: list[bytes], tfs: list[bytes]) -> dict[str, bytes]:
 
 def build(docs: DataFrame, text: str = "text", key: str = "doc_id", block_docs: int = BLOCK_DOCS) -> Index:
     """Index of all terms of all documents."""
-    lists = materialize(_term_lists(docs, text, key), "lexical-lists")
-    total = lists.agg(F.count("*").alias("documents"), F.coalesce(F.sum("n"), F.lit(0)).alias("terms")).first()
+    source = as_text(docs.select(key, text), text)
+    sizes = materialize(_sizes(source.select(text)), "lexical-sizes")
+    total = sizes.agg(F.coalesce(F.sum("docs"), F.lit(0)).alias("documents"), F.coalesce(F.sum(F.col("n") * F.col("docs")), F.lit(0)).alias("terms")).first()
     m = F.expr(f"{100 - LENGTH_SHARE} + ({LENGTH_SHARE} * n * {total.documents}L) div {max(1, total.terms)}L")
-    key_type = lists.schema[key]
-    placed = lists.select(F.col(key).alias("key"), m.alias("m"), "terms", "tfs", F.monotonically_increasing_id().alias("at"))
-    ranges = placed.repartitionByRange("m", "at").sortWithinPartitions("m", "at")
+    strata = sizes.groupBy(m.alias("m")).agg(F.sum("docs").alias("docs")).filter(F.col("docs") > block_docs)
+    # A stratum listed here fills more than one block, so the list is no longer than the index has blocks.
+    parts = {r.m: -(-r.docs // block_docs) for r in strata.toLocalIterator()}
+    lists = _term_lists(source, text, key, total.documents, total.terms, parts)
+    ranges = lists.repartition("m", "part").sortWithinPartitions("m", "part")
+    key_type = lists.schema["key"]
     schema = StructType.fromDDL("block long, m long, n_docs int")
     schema = StructType([*schema.fields, StructField("keys", StructType.fromDDL(f"k array<{key_type.dataType.simpleString()}>")["k"].dataType),
                          *StructType.fromDDL("terms binary, dfs binary, max_tfs binary, group_starts binary, tfs binary, ends binary, docs binary").fields])
@@ -328,7 +357,11 @@ def _search_group(index: Index, items: Items, k: int) -> DataFrame:
     visits = tables.mapInArrow(first_visits, "item long, bound long, block long, certain long")
     before = Window.partitionBy("item").orderBy(F.desc("bound"), "block").rowsBetween(Window.unboundedPreceding, -1)
     seeds = visits.withColumn("before", F.coalesce(F.sum("certain").over(before), F.lit(0))).where(F.col("before") < k)
-    wanted = seeds.groupBy("block").agg(F.collect_list("item").alias("items"))  # at most the items of the group
+    # At most k blocks of every item of the group, which GROUP_TERMS bounds: the index itself is not shuffled.
+    first: dict[int, list[int]] = {}
+    for r in seeds.select("block", "item").toLocalIterator():
+        first.setdefault(r.block, []).append(r.item)
+    wanted = F.broadcast(index.blocks.sparkSession.createDataFrame([(b,) for b in first], "block long"))
     result = StructType([*StructType.fromDDL("item long").fields, StructField("doc", key), *StructType.fromDDL("score long").fields])
     arrow = to_arrow_schema(result)
 
@@ -341,11 +374,11 @@ def _search_group(index: Index, items: Items, k: int) -> DataFrame:
         for batch in batches:
             for b in range(batch.num_rows):
                 block = Block(batch, b, items)
-                for item in batch.column(batch.schema.get_field_index("items"))[b].as_py():
+                for item in first[batch.column(batch.schema.get_field_index("block"))[b].as_py()]:
                     best.add(item, block)
         yield emit(best)
 
-    scored = top_k(index.blocks.join(wanted, "block").mapInArrow(visit_first, result), ["item"], [F.desc("score")], k, F.col("doc"))
+    scored = top_k(index.blocks.join(wanted, "block", "left_semi").mapInArrow(visit_first, result), ["item"], [F.desc("score")], k, F.col("doc"))
     floors = scored.groupBy("item").agg(F.min("score").alias("score"), F.count("*").alias("n")).where(F.col("n") == k)
     thresholds = np.zeros(items.count, np.int64)
     for r in floors.toLocalIterator():

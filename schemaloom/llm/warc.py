@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from schemaloom.session import materialize, shared_dir
+from schemaloom.session import shared_dir
 
 FRAME_BYTES = 256 << 10
 BUNDLE_BYTES = 64 << 20
@@ -222,7 +222,9 @@ def write(pages: DataFrame, path: str | None = None, least_bytes: int = 0, frame
     pages = pages.select("page_id", F.col("url").cast("string").alias("url"), payload.alias("html"), F.monotonically_increasing_id().alias("__at"))
     html = F.col("html")
     # Written once: row numbers and digests are then the same for whoever reads them.
-    pages = materialize(pages.withColumns({"__sha1": F.sha1(html), "__size": F.length(html).cast("long"), "__hash": F.xxhash64(html)}), "warc-pages")
+    numbered, copy = pages.withColumns({"__sha1": F.sha1(html), "__size": F.length(html).cast("long"), "__hash": F.xxhash64(html)}), shared_dir(spark, "warc-pages")
+    numbered.write.option("compression", "zstd").parquet(copy)
+    pages = spark.read.schema(numbered.schema).parquet(copy)
     revisits = decide(pages, least_bytes).select("__at", F.col("__of").cast("string").alias("__of"), "__of_at")
     full = pages.select("__at", F.col("page_id").cast("string").alias("page"), "url", "html", "__sha1", "__size")
     joined = full.join(revisits, "__at", "left").withColumn("html", F.when(F.col("__of_at").isNull(), html))
