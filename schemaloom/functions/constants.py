@@ -61,6 +61,13 @@ META_ATTRIBUTES = (
 )
 META_SUFFIXES = ("_log", "_entry", "_state", "_snapshot")
 
+# Shares of new tables by kind (metadata tables take the rest), least and most columns of a kind,
+# chances of an event for one table, and the part of an original table's columns that a family takes.
+TABLE_SHARES = {"entity": 0.60, "join": 0.25}
+TABLE_WIDTHS = {"entity": (6, 12), "meta": (5, 8)}
+TABLE_CHANCES = {"family": 0.4, "meta-fk": 0.10}
+FAMILY_PART = 0.6
+
 # Word separators: whitespace as Unicode text splitting understands it, and the underscore.
 SEPARATORS = (
     r"[_\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"

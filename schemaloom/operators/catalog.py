@@ -14,12 +14,14 @@ from schemaloom.functions.scalars import (
 )
 from schemaloom.operators.ordering import number_by_digest
 
-DOCUMENT_SCHEMA = (
-    "dataset string, db_id string, schema map<string, struct<"
+_TABLE_BODY = (
     "columns: array<struct<name: string, type: string, typegroup: string, notnull: boolean, pk: int>>, "
     "primary_keys: array<string>, "
-    "foreign_keys: array<struct<sourceTable: string, sourceColumn: string, targetColumn: string>>>>"
+    "foreign_keys: array<struct<sourceTable: string, sourceColumn: string, targetColumn: string>>"
 )
+DOCUMENT_SCHEMA = f"dataset string, db_id string, schema map<string, struct<{_TABLE_BODY}>>"
+#: A table as a row of its own.
+TABLE_SCHEMA = "dataset string, db_id string, table_name string, table_ord bigint, " + _TABLE_BODY.replace(": array", " array")
 
 
 def _ordered(ordinal: str, value) -> F.Column:
@@ -70,22 +72,18 @@ def assemble(tables: DataFrame, columns: DataFrame, fks: DataFrame) -> DataFrame
 
 
 def explode_tables(documents: DataFrame) -> DataFrame:
-    """dataset, db_id, table_name, table_ord, table_def from nested documents."""
+    """Table rows, as ``table_defs`` returns them, from nested documents."""
     return documents.select(
         "dataset", "db_id", F.posexplode(F.map_entries("schema")).alias("pos", "entry")
     ).select(
-        "dataset",
-        "db_id",
-        F.col("entry.key").alias("table_name"),
-        F.col("pos").cast("bigint").alias("table_ord"),
-        F.col("entry.value").alias("table_def"),
+        "dataset", "db_id", F.col("entry.key").alias("table_name"), F.col("pos").cast("bigint").alias("table_ord"), "entry.value.*"
     )
 
 
-def explode_columns(documents: DataFrame) -> DataFrame:
+def explode_columns(defs: DataFrame) -> DataFrame:
+    """Column rows from table rows."""
     return (
-        explode_tables(documents)
-        .select("db_id", "table_name", F.posexplode("table_def.columns").alias("col_ord", "c"))
+        defs.select("db_id", "table_name", F.posexplode("columns").alias("col_ord", "c"))
         .select(
             "db_id", "table_name", "col_ord",
             "c.name", "c.type", "c.typegroup", F.col("c.notnull").alias("not_null"), "c.pk",
@@ -93,10 +91,10 @@ def explode_columns(documents: DataFrame) -> DataFrame:
     )
 
 
-def explode_fks(documents: DataFrame) -> DataFrame:
+def explode_fks(defs: DataFrame) -> DataFrame:
+    """Reference rows from table rows."""
     return (
-        explode_tables(documents)
-        .select("db_id", "table_name", F.posexplode("table_def.foreign_keys").alias("fk_ord", "f"))
+        defs.select("db_id", "table_name", F.posexplode("foreign_keys").alias("fk_ord", "f"))
         .select(
             "db_id", "table_name", "fk_ord",
             F.col("f.targetColumn").alias("local_col"),
@@ -161,10 +159,10 @@ def schema_pieces(
     fix_not_null: bool = True,
     seed: int = draws.SEED,
 ) -> DataFrame:
-    """Group, seq and piece: the schema text as ordered rows, one per table and then one per key.
+    """Group, seq and piece: the schema text as ordered rows: a heading (seq -1), one row per table, then one per key.
 
     A group is a database or a question's selection; tables come in seeded order. The
-    shape is the same at any size.
+    shape is the same at any size, and joining the pieces in order gives the whole text.
     """
     group = group or ["db_id"]
     keys = [*group, "table_name"]
@@ -190,7 +188,9 @@ def schema_pieces(
             F.lit("\n"),
         ).alias("piece"),
     )
-    return blocks.unionByName(refs)
+    heading = F.concat(F.lit("## Database Name: "), F.col("db_id"), F.lit(" \n\n## Database Schema \n\n"))
+    heads = n_tables.select(*group, F.lit(-1).cast("bigint").alias("seq"), heading.alias("piece"))
+    return heads.unionByName(blocks).unionByName(refs)
 
 
 def schema_prompt(
@@ -201,12 +201,10 @@ def schema_prompt(
     fix_not_null: bool = True,
     seed: int = draws.SEED,
 ) -> DataFrame:
-    """Group and schema_text: always one text per group, which has to fit one row; see ``schema_pieces``."""
+    """Group and schema_text for selections of bounded size, such as the tables chosen for a question; see ``schema_pieces``."""
     group = group or ["db_id"]
-    head = F.concat(F.lit("## Database Name: "), F.col("db_id"), F.lit(" \n\n## Database Schema \n\n"))
-    joined = schema_pieces(tables, columns, fks, group, fix_not_null, seed).groupBy(*group).agg(
-        F.array_join(_ordered("seq", F.col("piece")), "").alias("body"))
-    return joined.withColumn("schema_text", F.concat(head, F.col("body"))).drop("body")
+    return schema_pieces(tables, columns, fks, group, fix_not_null, seed).groupBy(*group).agg(
+        F.array_join(_ordered("seq", F.col("piece")), "").alias("schema_text"))
 
 
 def compress(fks: DataFrame, selected: DataFrame, group: list[str]) -> DataFrame:

@@ -2,54 +2,35 @@
 
 from __future__ import annotations
 
-from itertools import permutations
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from schemaloom.functions.scalars import percent, ratio, table_refs
+from schemaloom.operators import matching
 
-MAX_FREE_COLUMNS = 5
 #: What tells one response from another: its variant and the question. ``filter`` is 'none' where there is none.
 KEY = ["model", "level", "size", "filter", "idx"]
 
 
 def execution_match(
-    gold: DataFrame, pred: DataFrame, columns: list[str], ordered: str | None = None, any_column_order: bool = False
+    gold: DataFrame, pred: DataFrame, columns: list[str], ordered: str | None = None, any_column_order: bool = False,
+    ordered_questions: DataFrame | None = None,
 ) -> DataFrame:
-    """qid, execution_accuracy: 1 when both results are equal as bags of rows.
+    """qid, execution_accuracy: 1 when both results are equal as bags of rows, values compared as text.
 
-    Gold rows count +1 and predicted rows -1, so equal bags cancel to zero in one
-    aggregate; duplicates shrink before the shuffle and a query with most of the
-    rows spreads over its row values. ``ordered`` names a position column that
-    must agree too. Only queries with a row on one side appear; use
+    ``ordered`` names a position column that must agree too, for all questions or for
+    those in ``ordered_questions`` (qid). Only queries with a row on one side appear; use
     ``score_attempts`` to add empty and failed ones.
     """
-    row = columns + ([ordered] if ordered else [])
-    if not any_column_order:
-        return _bags_cancel(gold, pred, row)
-    if len(columns) > MAX_FREE_COLUMNS:
-        raise ValueError(f"free column order is limited to {MAX_FREE_COLUMNS} columns")
-    # Any one order of the predicted columns may match; values meet as text.
-    orders = list(permutations(range(len(columns))))
-    fixed = [F.col(ordered)] if ordered else []
-
-    def cells(order) -> Column:
-        return F.array(*[F.col(columns[i]).cast("string") for i in order])
+    gold_rows, pred_rows = matching.as_rows(gold, columns, ordered), matching.as_rows(pred, columns, ordered)
+    if any_column_order:
+        return matching.match_any_order(gold_rows, pred_rows, ordered_questions, ordered is not None)
+    return matching.cancel(gold_rows, pred_rows, ["qid"], ordered_questions, ordered is not None)
 
-    gold_rows = gold.select("qid", F.explode(F.array(*[F.lit(i) for i in range(len(orders))])).alias("perm"),
-                            cells(range(len(columns))).alias("cells"), *fixed)
-    options = F.array(*[F.struct(F.lit(i).alias("perm"), cells(o).alias("cells")) for i, o in enumerate(orders)])
-    pred_rows = pred.select("qid", F.explode(options).alias("o"), *fixed).select("qid", "o.perm", "o.cells", *fixed)
-    each = _bags_cancel(gold_rows, pred_rows, ["cells"] + ([ordered] if ordered else []), ["qid", "perm"])
-    return each.groupBy("qid").agg(F.max("execution_accuracy").alias("execution_accuracy"))
 
-
-def _bags_cancel(gold: DataFrame, pred: DataFrame, row: list[str], keys: list[str] | None = None) -> DataFrame:
-    keys = keys or ["qid"]
-    signed = gold.select(*keys, *row, F.lit(1).alias("sign")).unionByName(pred.select(*keys, *row, F.lit(-1).alias("sign")))
-    per_row = signed.groupBy(*keys, *row).agg(F.sum("sign").alias("left_over"))
-    return per_row.groupBy(*keys).agg(F.bool_and(F.col("left_over") == 0).cast("int").alias("execution_accuracy"))
+def needs_order(sql: Column) -> Column:
+    """Whether a gold statement asks for an order of its rows."""
+    return F.coalesce(F.lower(sql).rlike(r"\border\s+by\b"), F.lit(False))
 
 
 def score_attempts(attempts: DataFrame, matches: DataFrame) -> DataFrame:
@@ -130,6 +111,23 @@ def with_synthetic_flag(log: DataFrame, synthetic: DataFrame, key: list[str] = K
     return log.join(hits, key, "left").withColumn("uses_synthetic", F.coalesce("uses_synthetic", F.lit(False)))
 
 
+def with_accuracy(log: DataFrame, gold: DataFrame, pred: DataFrame, columns: list[str], position: str | None = None, key: list[str] = KEY) -> DataFrame:
+    """The log with its accuracy worked out from result rows.
+
+    ``gold`` has the rows of a question (db_id, idx), ``pred`` those of a response (``key``, db_id); the columns
+    of a prediction may come in any order, and where the gold statement orders its rows the predicted
+    ones have to follow (``position``). Statements that failed (null) score 0, two empty results 1.
+    """
+    named = F.md5(F.to_json(F.struct(*key)))
+    asked = log.select("db_id", "idx", named.alias("qid"), needs_order(F.col("sql_gold")).alias("_ordered"), F.col("sql_pred").isNull().alias("failed"))
+    tried = asked.filter(~F.col("failed"))
+    expected = tried.select("db_id", "idx", "qid").join(gold, ["db_id", "idx"]).drop("db_id", "idx")
+    given = pred.withColumn("qid", named).drop("db_id", *key)
+    found = execution_match(expected, given, columns, position, True, tried.filter("_ordered").select("qid") if position else None)
+    scores = score_attempts(asked.select("qid", "failed").distinct(), found).select("qid", "execution_accuracy")
+    return log.drop("execution_accuracy").withColumn("qid", named).join(scores, "qid", "left").drop("qid")
+
+
 def evaluation_report(log: DataFrame, synthetic: DataFrame, group: list[str], key: list[str] = KEY) -> DataFrame:
     """All metrics of a variant in one aggregate."""
     return with_synthetic_flag(log, synthetic, key).groupBy(*group).agg(

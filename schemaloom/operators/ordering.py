@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from schemaloom.session import materialize
+
 SLOT_BLOCK = 4096
 
 
@@ -33,6 +35,46 @@ def number_rows(df: DataFrame, group: list[str], bucket: Column, order: list[Col
     )
 
 
+def _ranges(df: DataFrame, group: list[str], order: list[Column]) -> DataFrame:
+    """The rows with _range, a part of the order by group and ``order``, and _place in it; written once.
+
+    Ranges have about equal numbers of rows, so a group with a third of them lies in a third of the ranges.
+    """
+    keys = [*[F.col(g) for g in group], *order]
+    placed = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id())
+    in_range = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return materialize(placed, "ranges").withColumn("_range", F.shiftright("_at", 33)).withColumn("_place", in_range).drop("_at")
+
+
+def number_in_order(df: DataFrame, group: list[str], order: list[Column], out: str) -> DataFrame:
+    """0-based position of each row in its group, in two passes over ranges instead of a window over the group.
+
+    The first pass sorts ranges of rows, the second adds up how many rows of a group lie in the ranges
+    before; only these counts, one per group and range, meet in a window.
+    """
+    placed = _ranges(df, group, order)
+    spans = placed.groupBy(*group, "_range").agg(F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = spans.select(*group, "_range", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    return (
+        placed.join(offsets, [*group, "_range"])
+        .withColumn(out, (F.col("_offset") + F.col("_place") - F.col("_first")).cast("bigint"))
+        .drop("_range", "_place", "_first", "_offset")
+    )
+
+
+def running_totals(df: DataFrame, group: list[str], order: list[Column], value: str, out: str) -> DataFrame:
+    """Sum of ``value`` over the rows of the group that come before each row; a window spans one range of one group."""
+    placed = _ranges(df, group, order)
+    sums = placed.groupBy(*group, "_range").agg(F.sum(value).alias("_sum"))
+    ranges_before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(*group, "_range", F.coalesce(F.sum("_sum").over(ranges_before), F.lit(0)).alias("_offset"))
+    rows_before = Window.partitionBy(*group, "_range").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
+    inside = F.coalesce(F.sum(value).over(rows_before), F.lit(0))
+    return placed.withColumn("_inside", inside).join(offsets, [*group, "_range"]).withColumn(out, F.col("_offset") + F.col("_inside")).drop(
+        "_range", "_place", "_inside", "_offset")
+
+
 def number_by_id(df: DataFrame, group: list[str], key: str, out: str, width: int = 65536) -> DataFrame:
     """Position by a whole-number key that is unique in its group."""
     return number_rows(df, group, F.floor(F.col(key) / F.lit(width)).cast("bigint"), [F.col(key)], out)

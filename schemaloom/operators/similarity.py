@@ -1,24 +1,26 @@
 """Vector operators: centroids, similarity bands, ambiguity and dense top-k.
 
-Every similarity join is cut into blocks of at most about ``BLOCK`` vectors per
-side. Spark shuffles the blocks, a task multiplies one pair of blocks and emits
-only what the operator keeps (a band, a top-k, or a yes/no), so a database with
-a third of all vectors becomes many equal tasks and no pair list exists.
+Joins by similarity go through ``pivots``: only rings of vectors that can hold a result are
+multiplied, and tasks emit only what is kept. Similarities are compared as they are and
+rounded in results; ranks go by the rounded ones, ties by id.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from schemaloom.functions.vectors import l2_norm
+from schemaloom.operators import pivots
 from schemaloom.operators.ordering import top_k
+from schemaloom.operators.pivots import BLOCK, SLACK
 from schemaloom.session import materialize
 
-BLOCK = 4096
-_STRIP = 512
+#: Added to the product of lengths in the formula of cosine similarity.
+EPSILON = 1e-8
 
 
 def normalize(vectors: DataFrame, column: str = "vec") -> DataFrame:
@@ -40,129 +42,128 @@ def centroids(vectors: DataFrame, group: list[str] | None = None) -> DataFrame:
     return means.groupBy(*group).agg(ordered["x"].alias("vec"))
 
 
-def _spread(left: DataFrame, right: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
-    """Number blocks within each scope and send each side to every block of the other.
-
-    Sides without a ``scope`` column are compared as a whole; the two block
-    numbers are then plain scalars.
-    """
-    scoped = "scope" in left.columns
-    by = ["scope"] if scoped else []
-
-    def sizes(df: DataFrame, out: str) -> DataFrame:
-        n = F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int")
-        return df.groupBy(*by).agg(n.alias(out))
+def shown(sim: Column) -> Column:
+    """A similarity as results show and rank it."""
+    return F.round(sim, 6)
 
-    if scoped:
-        # One row per scope, stored so that its size is known when the joins are planned.
-        both = materialize(sizes(left, "n_left").join(sizes(right, "n_right"), "scope"), "block-counts")
 
-    def numbered(df: DataFrame) -> DataFrame:
-        if scoped:
-            return df.join(both, "scope")
-        n_left, n_right = sizes(left, "n_left").scalar(), sizes(right, "n_right").scalar()
-        return df.select(F.lit(0).alias("scope"), "*", n_left.alias("n_left"), n_right.alias("n_right"))
+def _scoped(df: DataFrame) -> DataFrame:
+    """Sides without a scope are compared as a whole."""
+    return df if "scope" in df.columns else df.select(F.lit(0).alias("scope"), "*")
 
-    def place(df: DataFrame, own: str, other: str, own_col: str, other_col: str) -> DataFrame:
-        return (
-            numbered(df)
-            .withColumn(own_col, F.pmod(F.xxhash64("id"), F.col(own)).cast("int"))
-            .withColumn(other_col, F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
-            .select(*[F.col(c).alias(c) for c in ("scope", "lb", "rb", "id", "vec")])
-        )
 
-    return place(left, "n_left", "n_right", "lb", "rb"), place(right, "n_right", "n_left", "rb", "lb")
+def _best_in_row(sims: np.ndarray, ids: np.ndarray, allowed: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the k best allowed entries of each row by rounded value, ties by id."""
+    by_id = np.argsort(ids, kind="stable")
+    ranked = np.where(allowed, np.round(sims, 6), -np.inf)[:, by_id]
+    order = np.argsort(-ranked, axis=1, kind="stable")[:, :k]
+    rows, cols = np.repeat(np.arange(len(sims)), order.shape[1]), order.ravel()
+    keep = np.isfinite(ranked[rows, cols])
+    return rows[keep], by_id[cols[keep]]
 
 
-def _blocked(left: DataFrame, right: DataFrame, pick, unit: bool, block: int) -> DataFrame:
-    """scope, left_id, right_id, sim of the entries ``pick`` keeps in each block pair.
+def pairs_in_band(left: DataFrame, right: DataFrame, low: float, high: float, best: int | None = None, block: int = BLOCK) -> DataFrame:
+    """(scope, left_id, right_id, sim) with low <= cosine <= high; sides are ([scope,] id, vec).
 
-    The helpers stay local, so tasks need nothing but numpy and pandas.
+    With ``best`` only pairs that can be among so many of a right id are returned; they are cut before they are written.
     """
-    placed_left, placed_right = _spread(left, right, block)
-    kind, left_kind, right_kind = (
-        df.schema[c].dataType.simpleString() for df, c in ((placed_left, "scope"), (placed_left, "id"), (placed_right, "id"))
-    )
-    strip = _STRIP
-
-    def matrix(vectors: pd.Series) -> np.ndarray:
-        return np.vstack([np.asarray(v, dtype=np.float64) for v in vectors])
-
-    def strips(lhs: pd.DataFrame, rhs: pd.DataFrame):
-        table = matrix(rhs["vec"])
-        table_norm = np.linalg.norm(table, axis=1)
-        for start in range(0, len(lhs), strip):
-            chunk = lhs.iloc[start:start + strip]
-            rows = matrix(chunk["vec"])
-            sims = rows @ table.T
-            if not unit:
-                sims = sims / (np.linalg.norm(rows, axis=1)[:, None] * table_norm[None, :] + 1e-8)
-            yield chunk["id"].to_numpy(), np.round(sims, 6)
-
-    def multiply(key, lhs: pd.DataFrame, rhs: pd.DataFrame) -> pd.DataFrame:
-        parts = []
-        if len(lhs) and len(rhs):
-            right_ids = rhs["id"].to_numpy()
-            for left_ids, sims in strips(lhs, rhs):
-                i, j = pick(sims, left_ids, right_ids)
-                parts.append(pd.DataFrame({"left_id": left_ids[i], "right_id": right_ids[j], "sim": sims[i, j]}))
-        out = pd.concat(parts) if parts else pd.DataFrame({"left_id": [], "right_id": [], "sim": []})
-        out.insert(0, "scope", key[0])
-        return out if len(out) else out.astype(object)
-
-    return (
-        placed_left.groupBy("scope", "lb", "rb")
-        .cogroup(placed_right.groupBy("scope", "lb", "rb"))
-        .applyInPandas(multiply, f"scope {kind}, left_id {left_kind}, right_id {right_kind}, sim double")
-    )
+    def choose(least, most, n, _):
+        return (np.cos(least) >= low - SLACK) & (np.cos(most) <= high + SLACK)
 
+    def pick(sims, right_ids, left_ids):
+        inside = (sims >= low) & (sims <= high)
+        return _best_in_row(sims, left_ids, inside, best) if best else np.nonzero(inside)
 
-def pairs_in_band(left: DataFrame, right: DataFrame, low: float, high: float, block: int = BLOCK) -> DataFrame:
-    """(scope, left_id, right_id, sim) with cosine in [low, high]; sides are ([scope,] id, vec)."""
+    index = pivots.build(_scoped(left), block)
+    found = pivots.multiply(pivots.visits(_scoped(right), index, choose, block=block), index, pick, EPSILON, block)
+    return found.select("scope", F.col("id").alias("left_id"), F.col("query_id").alias("right_id"), "sim")
 
-    def pick(sims, left_ids, right_ids):
-        return np.nonzero((sims >= low) & (sims <= high))
 
-    return _blocked(left, right, pick, False, block)
+def close_to_any(left: DataFrame, right: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """(scope, left_id) whose cosine to some right vector of the scope exceeds ``threshold``.
 
+    The nearest ring is looked at first; only vectors that are close to none there look at others.
+    """
+    def reached(least):
+        return np.cos(least) > threshold - SLACK
 
-def close_to_any(left: DataFrame, right: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
-    """(scope, left_id) whose cosine to some right vector of the scope exceeds ``threshold``."""
+    def first(least, most, n, _):
+        return pivots.nearest_rings(most, n, 1) & reached(least)
+
+    def others(least, most, n, _):
+        return ~pivots.nearest_rings(most, n, 1) & reached(least)
 
     def pick(sims, left_ids, right_ids):
         best = sims.argmax(axis=1)
         rows = np.nonzero(sims[np.arange(len(sims)), best] > threshold)[0]
         return rows, best[rows]
 
-    return _blocked(left, right, pick, False, block).select("scope", "left_id").distinct()
+    left = _scoped(left)
+    index = pivots.build(_scoped(right), block)
 
+    def hits(queries: DataFrame, choose) -> DataFrame:
+        found = pivots.multiply(pivots.visits(queries, index, choose, block=block), index, pick, EPSILON, block)
+        return materialize(found.select("scope", F.col("query_id").alias("left_id")).distinct(), "close")
 
-def dense_top(left: DataFrame, right: DataFrame, k: int = 10, skip_self: bool = False, block: int = BLOCK) -> DataFrame:
+    near = hits(left, first)
+    rest = left.join(near.select("scope", F.col("left_id").alias("id")), ["scope", "id"], "left_anti")
+    return near.unionByName(hits(rest, others))
+
+
+@dataclass
+class DenseSearch:
+    """Ranked hits, and how many pairs of a query and a ring were looked at (scope, visited, all_pairs)."""
+
+    hits: DataFrame
+    work: DataFrame
+
+
+def dense_search(left: DataFrame, right: DataFrame, k: int = 10, skip_self: bool = False, block: int = BLOCK) -> DenseSearch:
     """(scope, left_id, rank, right_id, sim): best ``k`` by dot product of unit vectors, ties by id.
 
-    Each block pair keeps its own best ``k``; the merge sees ``k`` rows per block.
+    Vectors are scaled to unit length here; one of length 0 has similarity 0 to all. A query first visits
+    the nearest rings that hold enough vectors. Its k-th similarity there is the floor that other
+    rings have to reach.
     """
+    left = _scoped(left)
+    index = pivots.build(_scoped(right), block)
+    enough = k + int(skip_self)
+
+    def first(least, most, n, _):
+        return pivots.nearest_rings(most, n, enough)
+
+    def others(least, most, n, floor):
+        return ~pivots.nearest_rings(most, n, enough) & (np.cos(least) >= floor.astype(float)[:, None] - SLACK)
 
     def pick(sims, left_ids, right_ids):
-        by_id = np.argsort(right_ids, kind="stable")
-        ranked = sims[:, by_id]
-        if skip_self:
-            ranked = np.where(right_ids[by_id][None, :] == left_ids[:, None], -np.inf, ranked)
-        order = np.argsort(-ranked, axis=1, kind="stable")[:, :k]
-        rows = np.repeat(np.arange(len(sims)), order.shape[1])
-        cols = order.ravel()
-        keep = np.isfinite(ranked[rows, cols])
-        return rows[keep], by_id[cols[keep]]
-
-    found = _blocked(left, right, pick, True, block)
-    return top_k(found, ["scope", "left_id"], [F.col("sim").desc(), F.col("right_id")], k, F.col("right_id"))
-
-
-def word_centroid_similarity(words: DataFrame, centers: DataFrame, low: float, high: float) -> DataFrame:
-    """db_id, word, sim of words within the band around each schema centroid."""
+        allowed = right_ids[None, :] != left_ids[:, None] if skip_self else np.ones(sims.shape, dtype=bool)
+        return _best_in_row(sims, right_ids, allowed, k)
+
+    def found(queries: DataFrame, choose, extra=None) -> tuple[DataFrame, DataFrame]:
+        visited = materialize(pivots.visits(queries, index, choose, extra, block), "visits")
+        hits = pivots.multiply(visited.select("scope", "pivot", "block", "id", "vec"), index, pick, None, block)
+        return visited, materialize(hits.select("scope", F.col("query_id").alias("left_id"), F.col("id").alias("right_id"), F.round("sim", 6).alias("sim")), "dense-hits")
+
+    order = [F.col("sim").desc(), F.col("right_id")]
+    seen, near = found(left, first)
+    kept = top_k(near, ["scope", "left_id"], order, k, F.col("right_id"))
+    floors = kept.filter(F.col("rank") == k).select("scope", F.col("left_id").alias("id"), F.col("sim").alias("floor"))
+    again = left.join(floors, ["scope", "id"], "left").withColumn("floor", F.coalesce("floor", F.lit(-2.0)))
+    seen_later, far = found(again, others, "floor")
+    hits = top_k(near.unionByName(far), ["scope", "left_id"], order, k, F.col("right_id"))
+    both = seen.select("scope").unionByName(seen_later.select("scope"))
+    return DenseSearch(hits, pivots.visited_share(both, left, index))
+
+
+def dense_top(left: DataFrame, right: DataFrame, k: int = 10, skip_self: bool = False, block: int = BLOCK) -> DataFrame:
+    return dense_search(left, right, k, skip_self, block).hits
+
+
+def word_centroid_similarity(words: DataFrame, centers: DataFrame, low: float, high: float, best: int | None = None) -> DataFrame:
+    """db_id, word, sim of words within the band around each schema centroid; ``best`` as in ``pairs_in_band``."""
     left = words.select(F.col("word").alias("id"), "vec")
     right = centers.select(F.col("db_id").alias("id"), "vec")
-    return pairs_in_band(left, right, low, high).select(
+    return pairs_in_band(left, right, low, high, best).select(
         F.col("right_id").alias("db_id"), F.col("left_id").alias("word"), "sim"
     )
 

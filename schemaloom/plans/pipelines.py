@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,16 +39,21 @@ class PoolConfig:
         return out
 
 
+def _by_similarity() -> list:
+    return [similarity.shown(F.col("sim")).desc(), F.col("word")]
+
+
 def anchors(names: DataFrame, vectors: DataFrame, vocabulary: DataFrame, cfg: PoolConfig) -> DataFrame:
     """db_id, word, sim, rank: nearest vocabulary words of schemas with few names.
 
-    ``names`` (db_id, word) counts names without a vector as well.
+    ``names`` (db_id, word) counts names without a vector as well. A schema has fewer than
+    ``small_schema`` names to leave out, so as many words more than anchors are enough.
     """
     small = names.groupBy("db_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") < cfg.small_schema).select("db_id")
     centers = similarity.centroids(vectors.join(small, "db_id", "left_semi"))
-    near = similarity.word_centroid_similarity(vocabulary, centers, cfg.anchor_min_sim, 1.0)
+    near = similarity.word_centroid_similarity(vocabulary, centers, cfg.anchor_min_sim, 1.0, cfg.anchor_k + cfg.small_schema)
     unnamed = near.join(names, ["db_id", "word"], "left_anti")
-    return top_k(unnamed, ["db_id"], [F.col("sim").desc(), F.col("word")], cfg.anchor_k, F.col("word"))
+    return top_k(unnamed, ["db_id"], _by_similarity(), cfg.anchor_k, F.col("word"))
 
 
 def expanded_vectors(names: DataFrame, vectors: DataFrame, vocabulary: DataFrame, cfg: PoolConfig) -> DataFrame:
@@ -56,40 +62,54 @@ def expanded_vectors(names: DataFrame, vectors: DataFrame, vocabulary: DataFrame
     return vectors.unionByName(extra.select("db_id", "word", "vec"))
 
 
+def usable_words(vocabulary: DataFrame) -> DataFrame:
+    """The vocabulary without keywords."""
+    return vocabulary.filter(~F.lower(F.col("word").cast("string")).isin(*SQL_KEYWORDS))
+
+
+def unambiguous(banded: DataFrame, vectors: DataFrame, vocabulary: DataFrame, ambiguity: float) -> DataFrame:
+    """db_id, word, sim of words that name nothing in their schema and are too close to none of its names."""
+    unnamed = materialize(banded.join(vectors.select("db_id", "word"), ["db_id", "word"], "left_anti"), "banded")
+    ambiguous = similarity.ambiguous_words(unnamed.join(vocabulary, "word"), vectors, ambiguity)
+    return unnamed.join(ambiguous, ["db_id", "word"], "left_anti")
+
+
 def candidates_in_band(vectors: DataFrame, vocabulary: DataFrame, low: float, high: float, ambiguity: float) -> DataFrame:
     """db_id, word, sim of unambiguous vocabulary words in the band; keywords and schema names are left out first."""
-    vocabulary = vocabulary.filter(~F.lower(F.col("word").cast("string")).isin(*SQL_KEYWORDS))
-    centers = similarity.centroids(vectors)
-    banded = similarity.word_centroid_similarity(vocabulary, centers, low, high).join(
-        vectors.select("db_id", "word"), ["db_id", "word"], "left_anti"
-    )
-    banded = materialize(banded, "banded")
-    ambiguous = similarity.ambiguous_words(banded.join(vocabulary, "word"), vectors, ambiguity)
-    return banded.join(ambiguous, ["db_id", "word"], "left_anti")
+    words = usable_words(vocabulary)
+    banded = similarity.word_centroid_similarity(words, similarity.centroids(vectors), low, high)
+    return unambiguous(banded, vectors, words, ambiguity)
 
 
 def candidate_pool(names: DataFrame, vectors: DataFrame, vocabulary: DataFrame, cfg: PoolConfig) -> DataFrame:
     """db_id, word, sim, step, rank.
 
-    All relaxation steps are read off one pass over the widest band: a
-    database stops at the first step with enough words, or at the last one.
+    A database stops at the first band with enough words, or at the last one. A further step looks
+    only at what its band adds, and only for the databases that go on.
     """
-    bands = cfg.bands()
     schema = materialize(expanded_vectors(names, vectors, vocabulary, cfg), "schema-vectors")
-    low, high = min(b[0] for b in bands), max(b[1] for b in bands)
-    found = materialize(candidates_in_band(schema, vocabulary, low, high, cfg.sim_ambiguity), "candidates")
-    inside = [F.col("sim").between(lo, hi) for lo, hi in bands]
-    counts = found.groupBy("db_id").agg(*[F.count_if(c).alias(f"n{i}") for i, c in enumerate(inside)])
-    step = F.lit(len(bands) - 1)
-    for i in reversed(range(len(bands) - 1)):
-        step = F.when(F.col(f"n{i}") >= cfg.min_candidates, F.lit(i)).otherwise(step)
-    chosen = found.join(counts.select("db_id", step.alias("step")), "db_id")
-    keep = F.lit(False)
-    for i, c in enumerate(inside):
-        keep = keep | ((F.col("step") == i) & c)
-    return top_k(
-        chosen.filter(keep), ["db_id"], [F.col("sim").desc(), F.col("word")], cfg.max_candidates, F.col("word")
-    )
+    words = materialize(usable_words(vocabulary), "usable-words")
+    centers = materialize(similarity.centroids(schema), "centers")
+    going, kept, last = centers, None, len(cfg.bands()) - 1
+    out = []
+    for step, (low, high) in enumerate(cfg.bands()):
+        banded = similarity.word_centroid_similarity(words, going, low, high)
+        if step:  # words of the band before are judged already
+            banded = banded.filter(~F.col("sim").between(*cfg.bands()[step - 1]))
+            kept = kept.filter(F.col("sim").between(low, high))
+        own = schema.join(going.select("db_id"), "db_id", "left_semi") if step else schema
+        fresh = unambiguous(banded, own, words, cfg.sim_ambiguity)
+        found = materialize(fresh if kept is None else kept.unionByName(fresh), "candidates")
+        counts = found.groupBy("db_id").agg(F.count(F.lit(1)).alias("n"))
+        done = counts.filter(F.col("n") >= (cfg.min_candidates if step < last else 0)).select("db_id")
+        out.append(found.join(done, "db_id", "left_semi").withColumn("step", F.lit(step)))
+        if step < last:
+            going = materialize(going.join(done, "db_id", "left_anti"), "centers")
+            if going.isEmpty():
+                break
+            kept = found.join(done, "db_id", "left_anti")
+    pool = reduce(DataFrame.unionByName, out)
+    return top_k(pool, ["db_id"], _by_similarity(), cfg.max_candidates, F.col("word"))
 
 
 def prompts(

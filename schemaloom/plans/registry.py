@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from schemaloom.functions import draws, scalars
 from schemaloom.functions import vectors as vec
 from schemaloom.operators import augment, catalog, evaluate, profile, retrieval, similarity, vocab
-from schemaloom.operators.augment import Catalog, ScaleConfig
-from schemaloom.operators.ordering import number_by_digest
+from schemaloom.operators.augment import Catalog, Recipe
+from schemaloom.operators.ordering import number_by_digest, number_in_order
 from schemaloom.plans import pipelines
 from schemaloom.plans.pipelines import PoolConfig
 from schemaloom.session import materialize, shared_dir
@@ -35,8 +35,8 @@ def original(spark, d) -> Catalog:
     return Catalog(src.catalog_tables(spark, d), src.catalog_columns(spark, d), src.catalog_fks(spark, d))
 
 
-def documents(spark, d) -> DataFrame:
-    return catalog.assemble(*vars(original(spark, d)).values())
+def table_defs(spark, d) -> DataFrame:
+    return catalog.table_defs(*vars(original(spark, d)).values())
 
 
 def lined(column: str):
@@ -46,18 +46,20 @@ def lined(column: str):
 # --- catalog ----------------------------------------------------------------
 @query
 def catalog_explode(spark, d):
-    return catalog.explode_columns(documents(spark, d))
+    """Columns of all tables, from files with one nested table per line."""
+    path = shared_dir(spark, "table-defs")
+    files.write_table_defs(table_defs(spark, d), path)
+    return catalog.explode_columns(files.read_table_defs(spark, path))
 
 
 @query
 def catalog_assemble(spark, d):
-    """Documents flattened again per table: ordinal, widths, keys and references."""
-    t = F.col("table_def")
-    fk = F.transform(t["foreign_keys"], lambda f: F.concat_ws(".", f["targetColumn"], f["sourceTable"], f["sourceColumn"]))
-    return catalog.explode_tables(documents(spark, d)).select(
+    """Nested tables: ordinal, columns, keys and references."""
+    fk = F.transform("foreign_keys", lambda f: F.concat_ws(".", f["targetColumn"], f["sourceTable"], f["sourceColumn"]))
+    return table_defs(spark, d).select(
         "dataset", "db_id", "table_name", "table_ord",
-        F.array_join(F.transform(t["columns"], lambda c: c["name"]), ",").alias("column_names"),
-        F.array_join(t["primary_keys"], ",").alias("primary_keys"),
+        F.array_join(F.transform("columns", lambda c: c["name"]), ",").alias("column_names"),
+        F.array_join("primary_keys", ",").alias("primary_keys"),
         F.array_join(fk, ",").alias("foreign_keys"),
     )
 
@@ -89,21 +91,6 @@ def foreign_keys(spark, d):
     return catalog.foreign_keys(src.catalog_fks(spark, d)).withColumn("foreign_keys", F.array_join(flat, ","))
 
 
-KEY_CANDIDATES = [
-    ("orders", ["o_orderkey"]), ("customer", ["c_custkey"]), ("part", ["p_partkey"]), ("supplier", ["s_suppkey"]),
-    ("nation", ["n_nationkey"]), ("region", ["r_regionkey"]), ("lineitem", ["l_orderkey"]),
-    ("lineitem", ["l_orderkey", "l_linenumber"]), ("events", ["event_id"]), ("documents", ["doc_id"]),
-    ("conversations", ["conv_id", "turn"]),
-]
-REFERENCES = [
-    ("lineitem", "l_orderkey", "orders", "o_orderkey"), ("lineitem", "l_partkey", "part", "p_partkey"),
-    ("lineitem", "l_suppkey", "supplier", "s_suppkey"), ("orders", "o_custkey", "customer", "c_custkey"),
-    ("customer", "c_nationkey", "nation", "n_nationkey"), ("supplier", "s_nationkey", "nation", "n_nationkey"),
-    ("nation", "n_regionkey", "region", "r_regionkey"), ("orders", "o_orderkey", "lineitem", "l_orderkey"),
-    ("labels", "doc_id", "documents", "doc_id"), ("documents", "doc_id", "labels", "doc_id"),
-]
-
-
 def union_all(frames) -> DataFrame:
     out = frames[0]
     for f in frames[1:]:
@@ -111,24 +98,30 @@ def union_all(frames) -> DataFrame:
     return out
 
 
+def all_tables(spark, d) -> dict[str, DataFrame]:
+    return {name: src.table(spark, d, name) for name in src.TABLES}
+
+
 @query
 def key_discovery(spark, d):
-    return union_all([profile.key_check(src.table(spark, d, t), t, key) for t, key in KEY_CANDIDATES])
+    """Minimal keys of one or two columns of all tables."""
+    return union_all([profile.discover_keys(df, name) for name, df in all_tables(spark, d).items()])
 
 
 @query
 def fk_discovery(spark, d):
-    return union_all([
-        profile.inclusion_check(src.table(spark, d, c), c, cc, src.table(spark, d, p), p, pc) for c, cc, p, pc in REFERENCES
-    ])
+    """Columns whose values all occur in another column, over all columns of all tables."""
+    return profile.references(all_tables(spark, d))
 
 
-PROFILED = ["lineitem", "orders", "customer", "part", "supplier"]
+@query
+def column_profile(spark, d):
+    return union_all([profile.profile_columns(df, name) for name, df in all_tables(spark, d).items()])
 
 
 @query
-def column_profile(spark, d):
-    return union_all([profile.profile_columns(src.table(spark, d, t), t) for t in PROFILED])
+def column_sketches(spark, d):
+    return union_all([profile.sketch_columns(df, name) for name, df in all_tables(spark, d).items()])
 
 
 @query
@@ -189,22 +182,22 @@ def table_text(spark, d):
 
 @query
 def schema_prompt(spark, d):
-    return catalog.schema_prompt(*vars(original(spark, d)).values())
+    """The schema text of every database as ordered pieces."""
+    return catalog.schema_pieces(*vars(original(spark, d)).values())
 
 
 @query
 def schema_prompt_as_published(spark, d):
     """The layout with NOT NULL on nullable columns."""
-    return catalog.schema_prompt(*vars(original(spark, d)).values(), fix_not_null=False)
+    return catalog.schema_pieces(*vars(original(spark, d)).values(), fix_not_null=False)
 
 
 @query
 def chat_messages(spark, d):
-    """Ordered turns of each conversation, one message per row after assembly."""
+    """Turns of each conversation as numbered messages."""
     turns = src.table(spark, d, "conversations")
-    listed = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))  # one conversation
-    chats = turns.groupBy("conv_id").agg(listed.alias("m"))
-    return chats.select("conv_id", F.posexplode("m").alias("pos", "m")).select("conv_id", "pos", "m.role", F.col("m.text").alias("content"))
+    order = [F.col("turn"), F.col("role"), F.md5(F.col("text").cast("binary"))]
+    return number_in_order(turns, ["conv_id"], order, "pos").select("conv_id", F.col("pos").cast("int").alias("pos"), "role", F.col("text").alias("content"))
 
 
 @query
@@ -256,42 +249,46 @@ def centroid(spark, d):
     return c.withColumn("x", F.round("x", 6))
 
 
+def shown(df: DataFrame) -> DataFrame:
+    return df.withColumn("sim", similarity.shown(F.col("sim")))
+
+
 @query
 def word_centroid_sim(spark, d):
     centers = similarity.centroids(src.schema_vectors(spark, d))
-    return similarity.word_centroid_similarity(src.vocabulary_vectors(spark, d), centers, POOL.anchor_min_sim, 1.0)
+    return shown(similarity.word_centroid_similarity(src.vocabulary_vectors(spark, d), centers, POOL.anchor_min_sim, 1.0))
 
 
 @query
 def similarity_band(spark, d):
     centers = similarity.centroids(src.schema_vectors(spark, d))
-    return similarity.word_centroid_similarity(src.vocabulary_vectors(spark, d), centers, POOL.sim_min, POOL.sim_max)
+    return shown(similarity.word_centroid_similarity(src.vocabulary_vectors(spark, d), centers, POOL.sim_min, POOL.sim_max))
 
 
 @query
 def ambiguity_anti_join(spark, d):
-    return pipelines.candidates_in_band(
+    return shown(pipelines.candidates_in_band(
         src.schema_vectors(spark, d), src.vocabulary_vectors(spark, d), POOL.sim_min, POOL.sim_max, POOL.sim_ambiguity
-    )
+    ))
 
 
 @query
 def anchor_expand(spark, d):
     names = src.schema_vectors(spark, d)
-    return pipelines.anchors(names.select("db_id", "word"), names, src.vocabulary_vectors(spark, d), POOL)
+    return shown(pipelines.anchors(names.select("db_id", "word"), names, src.vocabulary_vectors(spark, d), POOL))
 
 
 @query
 def candidate_topn(spark, d):
     centers = similarity.centroids(src.schema_vectors(spark, d))
-    near = similarity.word_centroid_similarity(src.vocabulary_vectors(spark, d), centers, POOL.sim_min, POOL.sim_max)
-    return pipelines.top_k(near, ["db_id"], [F.col("sim").desc(), F.col("word")], 20, F.col("word"))
+    near = similarity.word_centroid_similarity(src.vocabulary_vectors(spark, d), centers, POOL.sim_min, POOL.sim_max, best=20)
+    return pipelines.top_k(shown(near), ["db_id"], [F.col("sim").desc(), F.col("word")], 20, F.col("word"))
 
 
 @query
 def candidate_pool(spark, d):
     names = src.schema_vectors(spark, d)
-    return pipelines.candidate_pool(names.select("db_id", "word"), names, src.vocabulary_vectors(spark, d), POOL)
+    return shown(pipelines.candidate_pool(names.select("db_id", "word"), names, src.vocabulary_vectors(spark, d), POOL))
 
 
 @query
@@ -303,6 +300,17 @@ def dense_topk(spark, d):
     )
 
 
+@query
+def dense_topk_tables(spark, d):
+    """Questions over the tables of their database that have a vector."""
+    vectors = src.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    asked = src.questions(spark, d).select(F.col("db_id").alias("scope"), F.col("idx").alias("id")).join(vectors, "id")
+    tables = src.table(spark, d, "documents").select(F.col("source").alias("scope"), F.col("doc_id").alias("id")).join(vectors, "id")
+    return similarity.dense_top(asked, tables, TOP).select(
+        F.col("left_id").alias("idx"), F.col("scope").alias("db_id"), "rank", src.table_name(F.col("right_id")).alias("table_name"), F.col("sim").alias("score")
+    )
+
+
 # --- vocabulary -------------------------------------------------------------
 @query
 def vocab_clean(spark, d):
@@ -338,7 +346,7 @@ def words_of_dbs(spark, d) -> DataFrame:
 def candidate_exclude(spark, d):
     """Words of each source that name none of its tables and columns, are no keyword and occur in a page."""
     vectors = src.table(spark, d, "pages").select(
-        F.explode_outer(F.array_distinct(F.regexp_extract_all(F.lower("html"), F.lit("[a-z]+"), F.lit(0)))).alias("word")
+        F.explode_outer(F.array_distinct(F.regexp_extract_all(F.lower("html"), F.lit(r"\p{L}+"), F.lit(0)))).alias("word")
     ).filter("word is not null").distinct()
     tables = src.catalog_tables(spark, d).select("db_id", F.col("table_name").alias("name"))
     names = src.catalog_columns(spark, d).select("db_id", "name").unionByName(tables)
@@ -452,12 +460,35 @@ def execution_match(spark, d):
     return evaluate.execution_match(gold, pred, ["a", "b", "c"])
 
 
+def turned(df: DataFrame, columns: list[str], shift) -> DataFrame:
+    """The columns as text, every result's turned round by a number of its own."""
+    cells = F.array(*[F.col(c).cast("string") for c in columns])
+    at = lambda i: F.get(cells, F.pmod(F.lit(i) + shift, F.lit(len(columns))).cast("int"))
+    return df.select("qid", *[at(i).alias(c) for i, c in enumerate(columns)])
+
+
 @query
 def execution_match_any_order(spark, d):
-    """Predicted columns come in another order; some permutation has to match."""
+    """Predicted columns come in another order for every question; some order has to match."""
     gold, pred = src.result_bags(spark, d)
-    turned = pred.select("qid", F.col("c").alias("a"), F.col("a").cast("string").alias("b"), F.col("b").cast("string").alias("c"))
-    return evaluate.execution_match(gold, turned, ["a", "b", "c"], any_column_order=True)
+    columns = ["a", "b", "c"]
+    return evaluate.execution_match(gold, turned(pred, columns, F.col("qid")), columns, any_column_order=True)
+
+
+@query
+def execution_match_ordered(spark, d):
+    """Every third statement orders its rows; every fifth result comes in reverse."""
+    gold, pred = src.result_bags(spark, d, position=True)
+    reverse = pred.withColumn("pos", F.when(F.col("qid") % 5 == 0, -F.col("pos")).otherwise(F.col("pos")))
+    ordered = src.table(spark, d, "lineitem").filter(F.col("l_suppkey") % 3 == 0).select(F.col("l_suppkey").alias("qid"))
+    return evaluate.execution_match(gold, reverse, ["a", "b", "c"], "pos", ordered_questions=ordered)
+
+
+@query
+def execution_match_wide(spark, d):
+    """Ten columns in any order, two of them equal to others and one empty."""
+    gold, pred = src.wide_results(spark, d)
+    return evaluate.execution_match(gold, turned(pred, src.WIDE, F.col("qid")), src.WIDE, any_column_order=True)
 
 
 @query
@@ -467,7 +498,11 @@ def variant_report(spark, d):
 
 @query
 def evaluation_report(spark, d):
-    return evaluate.evaluation_report(src.result_log(spark, d), src.log_synthetic_tables(spark, d), VARIANT)
+    """All measures of every variant, the accuracy worked out from the rows that both statements return."""
+    log = src.report_log(spark, d)
+    gold, pred = src.report_rows(spark, d)
+    judged = materialize(evaluate.with_accuracy(log, gold, pred, src.REPORT_COLUMNS, "pos"), "judged-log")
+    return evaluate.evaluation_report(judged, src.log_synthetic_tables(spark, d), VARIANT)
 
 
 @query
@@ -482,6 +517,12 @@ def stream_metrics(spark, d):
     return streaming.stream_metrics(spark, d, src.as_result_log, ["model", "level"])
 
 
+@query
+def stream_redelivered(spark, d):
+    """The same measures although the log arrives in parts, each of them twice and one once more at the end."""
+    return streaming.redelivered_metrics(spark, src.result_log(spark, d), ["model", "level"])
+
+
 # --- seeded augmentation ----------------------------------------------------
 @query
 def seeded_shuffle(spark, d):
@@ -527,12 +568,12 @@ def targets(spark, d) -> DataFrame:
     return tables.groupBy(F.col("source").alias("db_id")).agg((F.count(F.lit(1)) + src.NEW_TABLES).alias("target"))
 
 
-LEVEL1, LEVEL2 = ScaleConfig(level=1), ScaleConfig(level=2)
+LEVEL1, LEVEL2 = Recipe(), Recipe(follow=True)
 
 
 @query
 def assign_words(spark, d):
-    counts = augment.table_counts(src.catalog_tables(spark, d), targets(spark, d), LEVEL1)
+    counts = augment.table_counts(src.catalog_tables(spark, d), targets(spark, d))
     fresh = vocab.fresh_words(materialize(pools(spark, d), "pools"), names_of(spark, d))
     return augment.assign_words(augment.word_slots(counts), fresh).select("db_id", "slot", "kind", "word")
 

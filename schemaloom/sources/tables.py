@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from schemaloom.functions import draws
-from schemaloom.functions.scalars import affinity, raw_tokens
+from schemaloom.functions.scalars import affinity, raw_tokens, tokens
 from schemaloom.operators.ordering import number_by_id, top_k
 from schemaloom.session import materialize
 
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 DECLARED_TYPES = ("INT", "VARCHAR(20)", "REAL", "DATETIME", "DECIMAL(8,2)", "", "TEXT")
 LEXNAMES = ("noun.person", "noun.location", "noun.group", "noun.artifact", "noun.act", "noun.state")
 SIZES = (0, 50, 100, 250, 500, 800)
@@ -46,7 +47,7 @@ def catalog_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 def catalog_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """db_id, table_name, col_ord, name, type, typegroup, not_null, pk; no shuffle."""
     docs = table(spark, sf_dir, "documents")
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0)))
+    words = F.array_distinct(F.coalesce(tokens(F.col("text")), F.array().cast("array<string>")))
     key = F.concat(table_name(F.col("doc_id")), F.lit("_id"))
     names = docs.select(
         F.col("source").alias("db_id"),
@@ -75,10 +76,10 @@ def catalog_fks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     tables = catalog_tables(spark, sf_dir).select("db_id", "table_name", "table_ord")
     docs = table(spark, sf_dir, "documents")
-    first = F.regexp_extract(F.lower("text"), "[a-z]{3,}", 0)
+    first = F.get(tokens(F.col("text")), F.lit(0))
     local = docs.select(
         F.col("source").alias("db_id"), table_name(F.col("doc_id")).alias("table_name"), first.alias("local_col")
-    ).filter(F.col("local_col") != "")
+    ).filter(F.col("local_col").isNotNull())
     parents = tables.select("db_id", F.col("table_name").alias("ref_table"), F.col("table_ord").alias("ref_ord"))
     return (
         tables.filter(F.col("table_ord") >= 1)
@@ -161,7 +162,7 @@ def result_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_result_log(table(spark, sf_dir, "events"))
 
 
-def as_result_log(events: DataFrame) -> DataFrame:
+def as_result_log(events: DataFrame, keep_event: bool = False) -> DataFrame:
     """Response log rows from event rows; works on a stream as well."""
     event = F.col("event_id")
     question = F.expr("event_id div 4")  # four variants answer each question
@@ -194,6 +195,7 @@ def as_result_log(events: DataFrame) -> DataFrame:
         gold.alias("sql_gold"),
         pred.alias("sql_pred"),
         "ts",
+        *([event.alias("event")] if keep_event else []),
     )
 
 
@@ -209,34 +211,69 @@ def log_synthetic_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def result_bags(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Gold and predicted result rows (qid, a, b, c) over all of ``lineitem``."""
-    rows = table(spark, sf_dir, "lineitem").select(
-        F.col("l_suppkey").alias("qid"),
-        F.col("l_partkey").alias("a"),
-        F.col("l_quantity").alias("b"),
-        F.col("l_returnflag").alias("c"),
-        "l_linenumber",
-    )
-    gold = rows.drop("l_linenumber")
-    shifted = F.when((F.col("qid") % 4 == 1) & (F.col("l_linenumber") == 1), F.col("b") + 1).otherwise(F.col("b"))
-    pred = (
-        rows.withColumn("b", shifted)
-        .filter(~((F.col("qid") % 4 == 0) & (F.col("c") == "A")))
-        .drop("l_linenumber")
-    )
+def _changed_results(rows: DataFrame) -> DataFrame:
+    """Predicted rows: one question in four has a changed value, one lacks the rows of a flag."""
+    quantity, flag = F.col("l_quantity"), F.col("l_returnflag")
+    shifted = F.when((F.col("l_suppkey") % 4 == 1) & (F.col("l_linenumber") == 1), quantity + 1).otherwise(quantity)
+    return rows.withColumn("l_quantity", shifted).filter(~((F.col("l_suppkey") % 4 == 0) & (flag == "A")))
+
+
+def result_bags(spark: SparkSession, sf_dir: str, position: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Gold and predicted result rows (qid, a, b, c[, pos]) over all of ``lineitem``."""
+    rows = table(spark, sf_dir, "lineitem")
+    place = [(F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("pos")] if position else []
+    named = [F.col("l_suppkey").alias("qid"), F.col("l_partkey").alias("a"), F.col("l_quantity").alias("b"), F.col("l_returnflag").alias("c"), *place]
+    return rows.select(*named), _changed_results(rows).select(*named)
+
+
+WIDE = ["a", "b", "c", "d", "e", "f", "h", "flag_again", "number_again", "nothing"]
+
+
+def wide_results(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Gold and predicted rows with ten columns, some of them equal."""
+    rows = table(spark, sf_dir, "lineitem")
+    taken = ["l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag", "l_linestatus", "l_linenumber", "l_returnflag", "l_linenumber"]
+    named = [F.col("l_suppkey").alias("qid"), *[F.col(c).alias(n) for c, n in zip(taken, WIDE)], F.lit(None).cast("string").alias("nothing")]
+    return rows.select(*named), _changed_results(rows).select(*named)
+
+
+REPORT_COLUMNS = ["a", "b", "c"]
+
+
+def report_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The response log, where every fourth gold statement orders its rows."""
+    ordered = F.when(F.col("idx") % 4 == 0, F.lit(" ORDER BY 1")).otherwise(F.lit(""))
+    return result_log(spark, sf_dir).drop("execution_accuracy").withColumn("sql_gold", F.concat("sql_gold", ordered))
+
+
+def report_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Rows that the gold statement of a question (db_id, idx) and that of a response return.
+
+    Question n reads the lines of order n + 1. Of the responses one in seven changes a value, one in thirteen
+    reverses the rows, and a third each turns its columns round by none, one or two places.
+    """
+    lines = table(spark, sf_dir, "lineitem").select(
+        (F.col("l_orderkey") - 1).alias("idx"), F.col("l_partkey").cast("string").alias("a"), F.col("l_quantity").alias("b"),
+        F.col("l_returnflag").alias("c"), F.col("l_linenumber").alias("line"))
+    asked = as_result_log(table(spark, sf_dir, "events"), keep_event=True)
+    gold = asked.select("db_id", "idx").distinct().join(lines, "idx").select("db_id", "idx", "a", F.col("b").cast("string").alias("b"), "c", F.col("line").alias("pos"))
+    event = F.col("event")
+    rows = asked.filter(F.col("sql_pred").isNotNull()).select("model", "level", "size", "filter", "idx", "db_id", "event").join(lines, "idx")
+    changed = F.when((event % 7 == 0) & (F.col("line") == 1), F.col("b") + 1).otherwise(F.col("b")).cast("string")
+    reverse = F.when((event % 13 == 0) & (event % 3 != 1), -F.col("line")).otherwise(F.col("line"))
+    cells = F.array(F.col("a"), changed, F.col("c"))
+    at = lambda i: F.get(cells, ((event + i) % 3).cast("int"))
+    pred = rows.select("model", "level", "size", "filter", "idx", "db_id", *[at(i).alias(c) for i, c in enumerate(REPORT_COLUMNS)], reverse.alias("pos"))
     return gold, pred
 
 
 def schema_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """db_id, word, vec of schema names: every fifth vector, its label as database."""
-    return table(spark, sf_dir, "embeddings").filter(F.col("vec_id") % 5 == 0).select(
+    """db_id, word, vec of schema names: every vector names something in the database of its label."""
+    return table(spark, sf_dir, "embeddings").select(
         F.col("label").alias("db_id"), F.col("vec_id").alias("word"), F.col("embedding").alias("vec")
     )
 
 
 def vocabulary_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """word, vec of the vocabulary: all vectors that are not schema names."""
-    return table(spark, sf_dir, "embeddings").filter(F.col("vec_id") % 5 != 0).select(
-        F.col("vec_id").alias("word"), F.col("embedding").alias("vec")
-    )
+    """word, vec of the vocabulary: all vectors. Names of one database are words for the others."""
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("word"), F.col("embedding").alias("vec"))

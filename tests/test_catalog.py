@@ -1,4 +1,6 @@
 import json
+import random
+from itertools import combinations
 
 import pytest
 from pyspark.sql import functions as F
@@ -30,12 +32,22 @@ def test_documents_survive_json(spark, tmp_path):
     files.write_schema_documents(docs, path)
     back = files.read_schema_documents(spark, path)
     key = lambda df: sorted(map(str, df.collect()))
-    assert key(catalog.explode_columns(back)) == key(columns)
-    assert key(catalog.explode_fks(back)) == key(fks)
+    assert key(catalog.explode_columns(catalog.explode_tables(back))) == key(columns)
+    assert key(catalog.explode_fks(catalog.explode_tables(back))) == key(fks)
     names = {(r.db_id, r.table_name, r.table_ord) for r in catalog.explode_tables(back).collect()}
     assert names == {("m", "singer", 0), ("m", "song", 1), ("e", "empty", 0)}
 
 
+def test_table_rows_survive_json(spark, tmp_path):
+    tables, columns, fks = fixture(spark)
+    path = str(tmp_path / "defs")
+    files.write_table_defs(catalog.table_defs(tables, columns, fks), path)
+    back = files.read_table_defs(spark, path)
+    key = lambda df: sorted(map(str, df.collect()))
+    assert key(catalog.explode_columns(back)) == key(columns) and key(catalog.explode_fks(back)) == key(fks)
+    assert {(r.dataset, r.db_id, r.table_name, r.table_ord) for r in back.collect()} == {("s", "m", "singer", 0), ("s", "m", "song", 1), ("s", "e", "empty", 0)}
+
+
 def test_pretty_printed_document(spark, tmp_path):
     doc = {"dataset": "s", "db_id": "m", "schema": {
         "b": {"columns": [{"name": "x", "type": "int", "typegroup": "INTEGER", "notnull": True, "pk": 1}], "primary_keys": ["x"], "foreign_keys": []},
@@ -44,7 +56,7 @@ def test_pretty_printed_document(spark, tmp_path):
     (tmp_path / "m.json").write_text(json.dumps(doc, indent=4))
     docs = files.read_schema_documents(spark, str(tmp_path), one_per_file=True)
     assert [(r.table_name, r.table_ord) for r in catalog.explode_tables(docs).orderBy("table_ord").collect()] == [("b", 0), ("a", 1)]
-    assert catalog.explode_fks(docs).select("local_col", "ref_table", "ref_col").first() == ("y", "b", "x")
+    assert catalog.explode_fks(catalog.explode_tables(docs)).select("local_col", "ref_table", "ref_col").first() == ("y", "b", "x")
 
 
 @pytest.mark.parametrize("n", [3, 800])
@@ -58,7 +70,7 @@ def test_shape_does_not_depend_on_size(spark, n):
     docs = catalog.assemble(tables, columns, fks)
     assert docs.count() == 1
     assert {(r.table_name, r.table_ord) for r in catalog.explode_tables(docs).collect()} == {(f"t{i}", i) for i in range(n)}
-    assert catalog.schema_pieces(tables, columns, fks).count() == 2 * n - 1
+    assert catalog.schema_pieces(tables, columns, fks).count() == 2 * n
     (row,) = catalog.schema_prompt(tables, columns, fks).collect()
     text = row.schema_text
     assert text.count("# Table: ") == n and text.count("## Foreign Keys") == 1 and text.count(" REFERENCES ") == n - 1
@@ -92,7 +104,8 @@ def test_profile_and_keys_with_nulls(spark):
     df = spark.createDataFrame([(1, "a"), (2, None), (2, "b"), (None, "a")], "k int, v string")
     rows = {r.name: r for r in profile.profile_columns(df, "t").collect()}
     assert (rows["k"].n_rows, rows["k"].n_non_null, rows["k"].n_distinct, rows["k"].min_value, rows["k"].max_value) == (4, 3, 2, 1.0, 2.0)
-    assert (rows["v"].n_distinct, rows["v"].not_null) == (2, False)
+    assert (rows["v"].n_distinct, rows["v"].not_null, rows["v"].min_text, rows["v"].max_text) == (2, False, "a", "b")
+    assert (rows["k"].min_text, rows["v"].min_value) == (None, None)
     check = profile.key_check(df, "t", ["k"]).first()
     assert (check.n_rows, check.n_distinct, check.n_non_null, check.is_key) == (4, 2, 3, False)
     parent = spark.createDataFrame([(1,)], "p int")
@@ -100,10 +113,113 @@ def test_profile_and_keys_with_nulls(spark):
     assert (fk.n_values, fk.n_orphans, fk.holds) == (2, 1, False)
 
 
-def test_questions_and_resume(spark, tmp_path):
-    (tmp_path / "q.json").write_text(json.dumps([{"db_id": "m", "question": f"q{i}", "query": "select 1"} for i in range(5)]))
-    asked = files.read_questions(spark, str(tmp_path / "q.json"))
-    assert [r.idx for r in asked.orderBy("idx").collect()] == [0, 1, 2, 3, 4]
-    log = tmp_path / "log.jsonl"
-    log.write_text('{"index": 0, "db_id": "m"}\n{"index": 3, "db_id": "m"}\n{"index": 4, "db_')
-    assert [r.idx for r in files.resume(asked, spark, str(log)).orderBy("idx").collect()] == [1, 2, 4]
+def test_questions_of_several_files(spark, tmp_path):
+    for name, n in (("a", 5), ("b", 3)):
+        (tmp_path / f"{name}.json").write_text(json.dumps([{"db_id": name, "question": f"q{i}", "query": "select 1"} for i in range(n)]))
+    asked = files.read_questions(spark, str(tmp_path)).orderBy("idx").collect()
+    assert [(r.idx, r.db_id, r.question) for r in asked] == [(i, "a", f"q{i}") for i in range(5)] + [(5 + i, "b", f"q{i}") for i in range(3)]
+
+
+# --- response log -------------------------------------------------------------
+RESPONSES = "index bigint, db_id string, model string, response struct<sql: string>"
+
+
+def log_file(spark, tmp_path, n=4):
+    rows = [(i, "m", "é" * i, (f"select '\n{i}'",)) for i in range(n)]
+    path = tmp_path / "log"
+    files.append_responses(spark.createDataFrame(rows, RESPONSES).coalesce(1), str(path))
+    (part,) = [f for f in path.iterdir() if f.name.startswith("part-")]
+    for crc in path.glob(".*.crc"):
+        crc.unlink()  # the file is about to be cut
+    return path, part
+
+
+def test_log_cut_at_any_byte(spark, tmp_path):
+    """Whatever a cut leaves, the whole records before it are read and nothing is taken for damage."""
+    path, part = log_file(spark, tmp_path)
+    data = part.read_bytes()
+    ends = [i + 1 for i, b in enumerate(data) if b == 10]
+    frames = spark.createDataFrame([(cut,) for cut in range(len(data) + 1)], "cut int")
+    whole = tmp_path / "cuts"
+    whole.mkdir()
+    for cut in range(len(data) + 1):
+        (whole / f"cut{cut:05d}").write_bytes(data[:cut])
+    read = files.read_frames(spark, str(whole)).withColumn("cut", F.regexp_extract("file", r"cut(\d+)$", 1).cast("int"))
+    found = {r.cut: (r.n, r.bad) for r in read.groupBy("cut").agg(F.count_if(F.col("state") == "whole").alias("n"), F.count_if(F.col("state") == "damaged").alias("bad")).collect()}
+    for cut in range(1, len(data) + 1):
+        complete = sum(e - 1 <= cut for e in ends)  # the line feed itself may be missing
+        assert found.get(cut, (0, 0)) == (complete, 0), cut
+    assert files.damaged_files(files.read_frames(spark, str(whole))).collect() == []
+    assert frames.count() == len(data) + 1
+
+
+def test_any_other_damage_is_an_error(spark, tmp_path):
+    path, part = log_file(spark, tmp_path)
+    data = part.read_bytes()
+    lines = data.split(b"\n")
+    for bad in (data.replace(b"select", b"selekt", 1), b"\n".join([lines[0], lines[2], lines[3], b""]), b"\n".join([lines[0][:-9], *lines[1:]]), b"x" + data):
+        part.write_bytes(bad)
+        with pytest.raises(ValueError, match="damaged"):
+            files.read_responses(spark, str(path))
+
+
+def test_resume_by_variant(spark, tmp_path):
+    path, part = log_file(spark, tmp_path)
+    part.write_bytes(part.read_bytes()[:-3])  # the record of question 3 is torn
+    asked = spark.range(6).select(F.col("id").alias("idx"), F.lit("m").alias("db_id"))
+    assert [r.idx for r in files.resume(asked, spark, str(path)).orderBy("idx").collect()] == [3, 4, 5]
+    models = asked.withColumn("model", F.lit("é"))
+    assert [r.idx for r in files.resume(models, spark, str(path), ("model", "idx")).orderBy("idx").collect()] == [0, 2, 3, 4, 5]
+    again = [(3, "m", "ééé", ("select 3",)), (4, "m", "x", None)]
+    files.append_responses(spark.createDataFrame(again, RESPONSES), str(path))
+    assert [r.idx for r in files.resume(asked, spark, str(path)).orderBy("idx").collect()] == [5]
+
+
+# --- discovery ----------------------------------------------------------------
+def keys_by_hand(rows, names, most):
+    full = [i for i in range(len(names)) if all(r[i] is not None for r in rows)]
+    found = []
+    for size in range(1, most + 1):
+        for s in combinations(full, size):
+            if rows and not any(set(k) <= set(s) for k in found) and len({tuple(r[i] for i in s) for r in rows}) == len(rows):
+                found.append(s)
+    return {",".join(names[i] for i in s) for s in found}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_minimal_keys(spark, seed):
+    rng = random.Random(seed)
+    n, names = rng.choice([1, 40, 200]), list("abcdef")
+    rows = [(i % 10, i // 10, rng.randint(0, 3), None if i == 3 and seed % 2 else i, rng.randint(0, 30), str(rng.randint(0, 14))) for i in range(n)]
+    df = spark.createDataFrame(rows, "a int, b int, c int, d int, e int, f string")
+    got = profile.discover_keys(df, "t", 3).collect()
+    assert {r.key_columns for r in got} == keys_by_hand(rows, names, 3) and all(r.n_rows == n for r in got)
+
+
+def test_no_keys_without_rows_and_with_repeated_rows(spark):
+    assert profile.discover_keys(spark.createDataFrame([], "a int"), "t").collect() == []
+    assert profile.discover_keys(spark.createDataFrame([(1, 2), (1, 2)], "a int, b int"), "t").collect() == []
+
+
+def test_inclusions_of_all_columns(spark):
+    rng = random.Random(5)
+    data = {
+        "t": [(i, i % 4, rng.choice([1.5, 2.0]), rng.choice("xy"), None) for i in range(20)],
+        "u": [(i, 100 + i, 2.0, rng.choice("xyz"), "long " * 20) for i in range(8)],
+        "empty": [],
+    }
+    schema = "k int, p bigint, d double, s string, w string"
+    tables = {name: spark.createDataFrame(rows, schema) for name, rows in data.items()}
+    values = {(t, c): {r[i] for r in rows} - {None} for t, rows in data.items() for i, c in enumerate("kpdsw")}
+    kind = {"k": 0, "p": 0, "d": 1, "s": 2, "w": 2}
+    want = {(*a, *b, len(values[a])) for a in values for b in values if a != b and values[a] and kind[a[1]] == kind[b[1]] and values[a] <= values[b]}
+    assert {tuple(r) for r in profile.inclusions(tables).collect()} == want
+    marked = {tuple(r)[:4]: r.in_key for r in profile.references(tables).collect()}
+    assert marked[("t", "p", "u", "k")] and marked[("u", "k", "t", "k")] and not marked[("u", "d", "t", "d")]
+
+
+def test_sketches_are_near(spark):
+    df = spark.range(5000).select((F.col("id") % 1000).alias("a"), F.concat(F.lit("x"), F.col("id").cast("string")).alias("s"), F.lit(None).cast("double").alias("n"))
+    rows = {r.name: r for r in profile.sketch_columns(df, "t").collect()}
+    assert abs(rows["a"].est_distinct - 1000) < 40 and abs(rows["s"].est_distinct - 5000) < 200 and rows["n"].est_distinct == 0
+    assert abs(rows["a"].median - 500) < 5 and rows["s"].high == 5 and rows["n"].median is None

@@ -3,7 +3,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from schemaloom.functions import draws
-from schemaloom.operators.ordering import expand_slots, number_by_digest, number_by_id, top_k
+from schemaloom.operators.ordering import expand_slots, number_by_digest, number_by_id, number_in_order, running_totals, top_k
 
 
 def hot(spark, n=900):
@@ -48,3 +48,24 @@ def test_expand_slots_covers_blocks(spark):
     df = spark.createDataFrame([("a", 9000), ("b", 1), ("c", 0)], "g string, n bigint")
     rows = expand_slots(df, ["g"], "n").groupBy("g").agg(F.count("*").alias("n"), F.min("slot").alias("lo"), F.max("slot").alias("hi"), F.countDistinct("slot").alias("d"))
     assert {tuple(r) for r in rows.collect()} == {("a", 9000, 0, 8999, 9000), ("b", 1, 0, 0, 1)}
+
+
+def test_number_in_order_and_running_totals(spark):
+    """Positions and sums of a hot group that lies in several ranges, ties and sparse keys included."""
+    df = hot(spark).withColumn("w", F.col("k") % 7)
+    by_group = {}
+    for r in df.collect():
+        by_group.setdefault(r.g, []).append((r.k, r.w))
+    position, total = {}, {}
+    for g, rows in by_group.items():
+        before = 0
+        for i, (k, w) in enumerate(sorted(rows)):
+            position[g, k], total[g, k] = i, before
+            before += w
+    assert {(r.g, r.k): r.pos for r in number_in_order(df, ["g"], [F.col("k")], "pos").collect()} == position
+    assert {(r.g, r.k): r.t for r in running_totals(df, ["g"], [F.col("k")], "w", "t").collect()} == total
+    whole = sorted(k for rows in by_group.values() for k, _ in rows)
+    assert {r.k: r.pos for r in number_in_order(df, [], [F.col("k")], "pos").collect()} == {k: i for i, k in enumerate(whole)}
+    same = df.select("g", F.lit(1).alias("k"))
+    got = number_in_order(same, ["g"], [F.col("k")], "pos").collect()
+    assert Counter((r.g, r.pos) for r in got) == Counter((g, i) for g, rows in by_group.items() for i in range(len(rows)))

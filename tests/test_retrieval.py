@@ -25,7 +25,8 @@ def bm25(docs, question, k1=1.5, b=0.75, eps=0.25):
     return out
 
 
-def test_bm25_matches_brute_force_with_zero_fill(spark):
+@pytest.mark.parametrize("block", [3, 1024])
+def test_bm25_matches_brute_force_with_zero_fill(spark, block):
     rng = random.Random(1)
     words = [f"w{i}" for i in range(30)] + ["the"] * 20
     docs = {"a": [" ".join(rng.choices(words, k=rng.randint(0, 12))) for _ in range(40)], "b": ["x y", "y", ""], "c": ["the the", "the"]}
@@ -34,7 +35,7 @@ def test_bm25_matches_brute_force_with_zero_fill(spark):
     texts = spark.createDataFrame([(d, n, t) for d, n, _, t in rows], "db_id string, table_name string, text string")
     tables = spark.createDataFrame([(d, n, o) for d, n, o, _ in rows], "db_id string, table_name string, table_ord bigint")
     qs = spark.createDataFrame(questions, "idx bigint, db_id string, question string")
-    got = retrieval.bm25_top_tables(texts, tables, qs, 10).collect()
+    got = retrieval.bm25_top_tables(texts, tables, qs, 10, block=block).collect()
     for idx, db, question in questions:
         scores = [round(s, 6) for s in bm25(docs[db], question)]
         want = sorted(range(len(scores)), key=lambda i: (-scores[i], i))[:10]
@@ -43,6 +44,23 @@ def test_bm25_matches_brute_force_with_zero_fill(spark):
         assert [r.score for r in mine] == pytest.approx([scores[i] for i in want], abs=2e-6)
 
 
+def test_common_terms_bring_up_no_tables(spark):
+    """A term of all tables and a rare one: only tables with the rare one, and the first block, are scored."""
+    rng = random.Random(7)
+    n = 600
+    rows = [("a", f"t{i}", i, " ".join(["all", "some" if i % 2 else "other", *rng.choices("uvwxyz", k=rng.randint(1, 9)), *(["rare"] * 3 if i % 40 == 7 else [])])) for i in range(n)]
+    texts = spark.createDataFrame([(d, t, x) for d, t, _, x in rows], "db_id string, table_name string, text string")
+    tables = spark.createDataFrame([(d, t, o) for d, t, o, _ in rows], "db_id string, table_name string, table_ord bigint")
+    qs = spark.createDataFrame([(q, "a", "all some rare") for q in range(5)], "idx bigint, db_id string, question string")
+    pairs = retrieval.bm25_scores(texts, tables, qs, 5, block=32)
+    assert pairs.select("idx", "table_ord").distinct().count() == pairs.count() < 5 * n / 4
+    got = retrieval.bm25_top_tables(texts, tables, qs, 5, block=32)
+    scores = [round(s, 6) for s in bm25([x for *_, x in rows], "all some rare")]
+    want = sorted(range(n), key=lambda i: (-scores[i], i))[:5]
+    for q in range(5):
+        assert [r.table_ord for r in got.filter(F.col("idx") == q).orderBy("rank").collect()] == want
+
+
 def vectors(n, seed=0, dims=8):
     rng = np.random.default_rng(seed)
     v = rng.normal(size=(n, dims)).astype(np.float32)
@@ -66,9 +84,56 @@ def test_blocks_do_not_change_dense_top(cloud):
             assert [r.right_id for r in sorted((r for r in got if r.left_id == i), key=lambda r: r["rank"])] == order
 
 
+def clustered(spark, n=900, dims=6, centres=9, seed=3):
+    """Clusters with some short vectors and some of length 0."""
+    rng = np.random.default_rng(seed)
+    middle = rng.normal(size=(centres, dims)) * 5
+    v = middle[rng.integers(0, centres, n)] + rng.normal(size=(n, dims)) * .2
+    v *= rng.uniform(.5, 2, size=(n, 1))
+    v[::50] *= 1e-3
+    v[::90] = 0
+    return v, spark.createDataFrame([("s" if i % 3 else "t", i, [float(x) for x in row]) for i, row in enumerate(v)], "scope string, id bigint, vec array<double>")
+
+
+def test_dense_search_skips_rings_and_loses_nothing(spark):
+    v, df = clustered(spark)
+    found = similarity.dense_search(df, df, 5, skip_self=True, block=20)
+    norm = np.linalg.norm(v, axis=1)
+    unit = v / np.where(norm == 0, 1, norm)[:, None]
+    got = {}
+    for r in found.hits.collect():
+        got.setdefault(r.left_id, []).append((r["rank"], r.right_id))
+    sims = np.round(unit @ unit.T, 6)
+    for i in range(len(v)):
+        mine = [j for j in range(len(v)) if (j % 3 == 0) == (i % 3 == 0) and j != i]
+        want = sorted(mine, key=lambda j: (-sims[i, j], j))[:5]
+        have = [j for _, j in sorted(got[i])]
+        assert [sims[i, j] for j in have] == pytest.approx([sims[i, j] for j in want], abs=2e-6)
+    work = {r.scope: r.visited / r.all_pairs for r in found.work.collect()}
+    assert max(work.values()) < .5
+
+
+def test_band_visits_only_rings_in_the_band(spark):
+    from schemaloom.operators import pivots
+
+    v, df = clustered(spark)
+    centre = spark.createDataFrame([("s", -1, [float(x) for x in v[1]]), ("t", -2, [0.0] * 6)], df.schema)
+    got = {(r.left_id, r.right_id) for r in similarity.pairs_in_band(df, centre, .9, 1.0, block=20).collect()}
+    norm = np.linalg.norm(v, axis=1)
+    cos = v @ v[1] / (norm * norm[1] + 1e-8)
+    assert got == {(i, -1) for i in range(len(v)) if i % 3 and .9 <= cos[i] <= 1.0}
+    best = {r.left_id for r in similarity.pairs_in_band(df, centre, .9, .99, best=7, block=20).collect()}
+    want = sorted((i for i in range(len(v)) if i % 3 and .9 <= cos[i] <= .99), key=lambda i: (-round(cos[i], 6), i))[:7]
+    assert set(want) <= best
+    index = pivots.build(df, 20)
+    visited = pivots.visits(centre.filter("id = -1"), index, lambda least, most, n, _: np.cos(least) >= .9)
+    share = {r.scope: r.visited / r.all_pairs for r in pivots.visited_share(visited, centre.filter("id = -1"), index).collect()}
+    assert share["s"] < .5
+
+
 def test_blocked_band_and_ambiguity(cloud):
     df, scopes, v = cloud
-    cos = np.round(v @ v.T / (1 + 1e-8), 6)
+    cos = v @ v.T / (1 + 1e-8)
     same = np.equal.outer(scopes, scopes)
     band = {(r.left_id, r.right_id) for r in similarity.pairs_in_band(df, df, 0.2, 0.5, block=9).collect()}
     assert band == set(zip(*np.nonzero(same & (cos >= 0.2) & (cos <= 0.5))))
@@ -82,7 +147,7 @@ def test_named_words_and_databases(spark, cloud):
     words = df.select(F.concat(F.lit("w"), "id").alias("word"), "vec").filter("word <> 'w3'")
     centers = df.filter("id in (3, 4)").select(F.concat(F.lit("db"), "id").alias("db_id"), "vec")
     got = {(r.db_id, r.word) for r in similarity.word_centroid_similarity(words, centers, 0.4, 1.0).collect()}
-    cos = np.round(v @ v.T / (1 + 1e-8), 6)
+    cos = v @ v.T / (1 + 1e-8)
     assert got == {(f"db{c}", f"w{i}") for c in (3, 4) for i in range(60) if i != 3 and cos[i, c] >= 0.4}
     assert similarity.word_centroid_similarity(words, centers, 2.0, 3.0).collect() == []
 
