@@ -281,7 +281,7 @@ def cos(a, b):
     return f"list_inner_product({a}.v, {b}.v) / ({a}.norm * {b}.norm + 1e-8)"
 
 
-NAMES_V = "names AS (SELECT label AS db_id, vec_id AS word, v, norm FROM e)"
+NAMES_V = "names AS (SELECT (label * 4 + CASE WHEN vec_id % 16 = 0 THEN 2 WHEN vec_id % 16 < 4 THEN 1 ELSE 0 END)::INT AS db_id, vec_id AS word, v, norm FROM e)"
 WORDS_V = "words AS (SELECT vec_id AS word, v, norm FROM e)"
 
 
@@ -367,11 +367,11 @@ add("vocab_clean", "SELECT * FROM vocab", LEXICON)
 add("schema_names", "SELECT * FROM all_names", TABLES, COLUMNS, NAMES)
 add("original_columns", "SELECT DISTINCT db_id, name FROM cat_columns", COLUMNS)
 add("candidate_exclude", f"""
-SELECT DISTINCT db_id, word FROM (SELECT source AS db_id, unnest({tokens('text')}) AS word FROM documents) w
+SELECT DISTINCT db_id, word FROM (SELECT 'src' || (page_id % 20) AS db_id, unnest(regexp_extract_all(lower(html), '\\p{{L}}+')) AS word FROM pages) w
 WHERE word NOT IN ({sql_list(SQL_KEYWORDS)})
 AND (db_id, word) NOT IN (SELECT (db_id, name) FROM cat_columns)
 AND (db_id, word) NOT IN (SELECT (source, 't' || doc_id) FROM documents)
-AND word IN (SELECT unnest(regexp_extract_all(lower(html), '\\p{{L}}+')) FROM pages)""", COLUMNS)
+AND word IN (SELECT unnest({tokens('text')}) FROM documents)""", COLUMNS)
 POOLS = f"""
 dbs AS (SELECT source AS db_id, row_number() OVER (ORDER BY min(doc_id)) - 1 AS db_ord FROM documents GROUP BY source),
 thrown AS (

@@ -1,150 +1,146 @@
 """Exact vector search that leaves out what the triangle inequality excludes.
 
 The vectors of a scope are dealt to a few pivots, each vector to the nearest by angle, and
-cut into blocks by their angle to it. A block is a ring: all its vectors lie between two
-angles around its pivot. From a query's angle to the pivot follow the least and the largest
-angle to any vector of the ring, and only rings that can hold what the operator looks for
-are multiplied with the query. Rings are of bounded size, and the queries of a ring are cut
-into chunks, so a scope with a third of all vectors becomes many equal tasks.
-
-Angles between vectors of very small length say little about their formula of similarity
-(which adds a small number to the product of lengths); such vectors form rings of their own
-that every query visits.
+to rings of equal width around it. From a query's angle to a pivot follow the least and the
+largest angle to any vector of a ring, and only rings that can hold what the operator looks
+for are multiplied with the query. A ring is cut into parts and its queries into chunks of
+bounded size, so a scope with a third of all vectors becomes many equal tasks. A scope has
+at most ``PIVOTS`` x ``RINGS`` rings; their bounds are one row.
+
+Angles of vectors of very small length say little about their similarity, whose formula
+adds a small number to the product of lengths; such vectors form a ring of their own that
+every query visits.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from schemaloom.functions.vectors import l2_norm
-from schemaloom.operators.ordering import number_in_order, top_k
+from schemaloom.functions.vectors import dot, l2_norm
+from schemaloom.operators.ordering import top_k
 from schemaloom.session import materialize
 
 BLOCK = 2048
 #: Most pivots of a scope, and the vectors for each of which one is chosen.
 PIVOTS = 64
-PER_PIVOT = 64
+PER_PIVOT = 1024
+#: Most rings around a pivot, and the vectors that a ring should hold.
+RINGS = 64
+PER_RING = 128
 #: Shorter vectors are not placed by angle.
 WEAK = 0.1
 #: Bounds are this much wider than computed, for rounding of angles and of the similarity formula.
 SLACK = 2e-6
-KEYS = ["scope", "pivot", "block"]
+KEYS = ["scope", "pivot", "ring"]
 
 
 @dataclass
 class Index:
-    """rings (scope, pivot, block, id, vec), and per scope the pivots and the bounds of all rings."""
+    """vectors (scope, pivot, ring, id, vec), and per scope the pivots and the bounds of all rings."""
 
-    rings: DataFrame
+    vectors: DataFrame
     guide: DataFrame
 
     def kind(self, column: str) -> str:
-        return self.rings.schema[column].dataType.simpleString()
+        return self.vectors.schema[column].dataType.simpleString()
 
 
-def _chunks(df: DataFrame, keys: list[str], size: int) -> tuple[DataFrame, DataFrame]:
-    """Rows with a chunk number of about ``size`` rows per chunk and key, and one row per key and chunk."""
-    counts = materialize(df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(size)).cast("int").alias("_n")), "chunk-counts")
-    dealt = df.join(counts, keys).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("_n")).cast("int")).drop("_n")
-    return dealt, counts.select(*keys, F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("chunk"))
+def _plain(df: DataFrame, *more: str) -> DataFrame:
+    named = df.select("scope", "id", F.col("vec").cast("array<double>").alias("vec"), *more)
+    return named.withColumn("_norm", l2_norm(F.col("vec")))
 
 
-def _matrix(vectors: pd.Series) -> np.ndarray:
-    return np.vstack([np.asarray(v, dtype=np.float64) for v in vectors])
-
-
-def _angles(rows: np.ndarray, others: np.ndarray) -> np.ndarray:
-    """Angles between rows of two matrices; rows of length 0 have any."""
-    def unit(m):
-        n = np.linalg.norm(m, axis=1, keepdims=True)
-        return m / np.where(n == 0, 1, n)
-
-    return np.arccos(np.clip(unit(rows) @ unit(others).T, -1, 1))
+def _angles() -> Column:
+    """Angles of ``vec`` to the unit vectors in ``pivots``."""
+    cosine = lambda p: F.least(F.lit(1.0), F.greatest(F.lit(-1.0), dot(F.col("vec"), p) / F.col("_norm")))
+    return F.transform("pivots", lambda p: F.acos(cosine(p)))
 
 
-def build(vectors: DataFrame, block: int = BLOCK, pivots: int = PIVOTS, per_pivot: int = PER_PIVOT) -> Index:
+def build(vectors: DataFrame, pivots: int = PIVOTS, per_pivot: int = PER_PIVOT) -> Index:
     """Index of vectors (scope, id, vec)."""
-    vectors = vectors.select("scope", "id", F.col("vec").cast("array<double>").alias("vec"))
-    strong = vectors.filter(l2_norm(F.col("vec")) >= WEAK)
-    wanted = strong.groupBy("scope").agg(F.least(F.lit(pivots), F.ceil(F.count(F.lit(1)) / F.lit(per_pivot))).alias("_wanted"))
-    hashed = strong.select("scope", "id", "vec", F.xxhash64("id").alias("_h"))
+    plain = _plain(vectors)
+    strong = plain.filter(F.col("_norm") >= WEAK)
+    size = F.count(F.lit(1))
+    n_pivots = F.least(F.lit(pivots), F.ceil(size / F.lit(per_pivot)))
+    n_rings = F.least(F.lit(RINGS), 2 * F.ceil(size / (n_pivots * F.lit(PER_RING))))
+    wanted = strong.groupBy("scope").agg(n_pivots.alias("_wanted"), n_rings.cast("int").alias("_circles"))
+    hashed = strong.select("scope", "id", F.transform("vec", lambda x: x / F.col("_norm")).alias("vec"), F.xxhash64("id").alias("_h"))
     chosen = top_k(hashed, ["scope"], [F.col("_h"), F.col("id")], pivots, F.col("id")).join(wanted, "scope").filter(F.col("rank") <= F.col("_wanted"))
     listed = F.transform(F.array_sort(F.collect_list(F.struct("rank", "vec"))), lambda e: e["vec"])  # at most ``pivots``
-    guide = materialize(chosen.groupBy("scope").agg(listed.alias("pivots")), "pivots")
-    scope_kind, id_kind = (vectors.schema[c].dataType.simpleString() for c in ("scope", "id"))
-    dealt, slots = _chunks(vectors, ["scope"], block)
-    places = slots.join(guide, "scope", "left")
-
-    def assign(rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame({c: rows[c].to_numpy(dtype=object) for c in ("scope", "id", "vec")})
-        out["pivot"], out["angle"] = -1, 0.0
-        if len(rows) and len(own) and own["pivots"].iloc[0] is not None:
-            m = _matrix(rows["vec"])
-            angles = _angles(m, _matrix(own["pivots"].iloc[0]))
-            near = angles.argmin(axis=1)
-            plain = np.linalg.norm(m, axis=1) >= WEAK
-            out["pivot"] = np.where(plain, near, -1)
-            out["angle"] = np.where(plain, angles[np.arange(len(m)), near], 0.0)
-        return out
-
-    assigned = dealt.groupBy("scope", "chunk").cogroup(places.groupBy("scope", "chunk")).applyInPandas(
-        assign, f"scope {scope_kind}, id {id_kind}, vec array<double>, pivot int, angle double")
-    placed = number_in_order(assigned, ["scope", "pivot"], [F.col("angle"), F.col("id")], "_pos")
-    rings = materialize(placed.withColumn("block", F.floor(F.col("_pos") / F.lit(block)).cast("int")).drop("_pos"), "pivot-rings")
-    bounds = rings.groupBy(*KEYS).agg(F.min("angle").alias("lo"), F.max("angle").alias("hi"), F.count(F.lit(1)).alias("n"))
-    # A scope has one entry per ring, thousands of times fewer than vectors.
-    entries = bounds.groupBy("scope").agg(F.array_sort(F.collect_list(F.struct("pivot", "block", "lo", "hi", "n"))).alias("rings"))
-    return Index(rings, materialize(entries.join(guide, "scope", "left"), "pivot-guide"))
-
-
-def visits(queries: DataFrame, index: Index, choose: Callable, extra: str | None = None, block: int = BLOCK) -> DataFrame:
-    """(scope, pivot, block, id, vec[, extra]) of the rings that ``choose`` picks for queries (scope, id, vec[, extra]).
-
-    ``choose(least, most, n, extra)`` gets the least and largest angle between each query (rows) and each ring
-    (columns), the sizes of the rings and the extra column, and returns a mask.
+    guide = materialize(chosen.groupBy("scope").agg(listed.alias("pivots"), F.max("_circles").alias("_circles")), "pivots")
+    placed = plain.join(guide, "scope", "left").withColumn("_angles", F.when(F.col("_norm") >= WEAK, _angles()))
+    near = F.array_min("_angles")
+    pivot = F.coalesce(F.array_position("_angles", near).cast("int") - 1, F.lit(-1))
+    angle = F.coalesce(near, F.lit(0.0))
+    circles = F.coalesce("_circles", F.lit(1))
+    ring = F.least(F.floor(angle * circles / F.lit(math.pi)), circles - 1).cast("int")
+    dealt = materialize(placed.select("scope", "id", "vec", pivot.alias("pivot"), ring.alias("ring"), angle.alias("angle")), "pivot-rings")
+    bounds = dealt.groupBy(*KEYS).agg(F.min("angle").alias("lo"), F.max("angle").alias("hi"), F.count(F.lit(1)).alias("n"))
+    entries = bounds.groupBy("scope").agg(F.collect_list(F.struct("pivot", "ring", "lo", "hi", "n")).alias("rings"))
+    return Index(dealt, materialize(entries.join(guide.drop("_circles"), "scope", "left"), "pivot-guide"))
+
+
+def visits(queries: DataFrame, index: Index, choose: Callable[[Column], Column], *more: str) -> DataFrame:
+    """(scope, pivot, ring, n, id, vec, more) of the rings that ``choose`` keeps for queries (scope, id, vec, more).
+
+    ``choose`` gets an array of the rings (most, least, pivot, ring, n), ordered by the largest angle to any of their
+    vectors, and returns a part of it; it may use the columns ``more``.
     """
-    queries = queries.select("scope", "id", F.col("vec").cast("array<double>").alias("vec"), *([extra] if extra else []))
-    dealt, slots = _chunks(queries, ["scope"], block)
-    guide = slots.join(index.guide, "scope")
-
-    def look(rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        names = ["scope", "pivot", "block", "id", "vec"] + ([extra] if extra else [])
-        if not len(rows) or not len(own):
-            return pd.DataFrame({n: pd.Series(dtype=object) for n in names})
-        ring = own["rings"].iloc[0]
-        pivot, number, n = (np.array([r[c] for r in ring], dtype=np.int64) for c in ("pivot", "block", "n"))
-        lo, hi = (np.array([r[c] for r in ring], dtype=np.float64) for c in ("lo", "hi"))
-        m = _matrix(rows["vec"])
-        least, most = np.zeros((len(m), len(ring))), np.full((len(m), len(ring)), np.pi)
-        known = pivot >= 0
-        if known.any():
-            angle = _angles(m, _matrix(own["pivots"].iloc[0]))[:, pivot[known]]
-            least[:, known] = np.maximum(0, np.maximum(angle - hi[known], lo[known] - angle))
-            most[:, known] = np.minimum(np.pi, angle + hi[known])
-            weak = np.linalg.norm(m, axis=1) < WEAK
-            least[weak], most[weak] = 0, np.pi
-        i, j = np.nonzero(choose(least, most, n, rows[extra].to_numpy() if extra else None))
-        out = {"scope": rows["scope"].to_numpy()[i], "pivot": pivot[j], "block": number[j], "id": rows["id"].to_numpy()[i], "vec": rows["vec"].to_numpy()[i]}
-        return pd.DataFrame(out | ({extra: rows[extra].to_numpy()[i]} if extra else {}))
-
-    kinds = {c: queries.schema[c].dataType.simpleString() for c in queries.columns}
-    schema = f"scope {kinds['scope']}, pivot int, block int, id {kinds['id']}, vec array<double>" + (f", {extra} {kinds[extra]}" if extra else "")
-    return dealt.groupBy("scope", "chunk").cogroup(guide.groupBy("scope", "chunk")).applyInPandas(look, schema)
+    looked = _plain(queries, *more).join(index.guide, "scope").withColumn("_angles", F.when(F.col("_norm") >= WEAK, _angles()))
+
+    def bounds(r: Column) -> Column:
+        angle = F.get("_angles", r["pivot"])
+        known = (r["pivot"] >= 0) & angle.isNotNull()
+        return F.struct(
+            F.when(known, F.least(F.lit(math.pi), angle + r["hi"])).otherwise(F.lit(math.pi)).alias("most"),
+            F.when(known, F.greatest(F.lit(0.0), angle - r["hi"], r["lo"] - angle)).otherwise(F.lit(0.0)).alias("least"),
+            r["pivot"].alias("pivot"), r["ring"].alias("ring"), r["n"].alias("n"))
+
+    ordered = looked.withColumn("_rings", F.array_sort(F.transform("rings", bounds)))
+    kept = ordered.select("scope", "id", "vec", *more, F.explode_outer(choose(F.col("_rings"))).alias("_r")).filter(F.col("_r").isNotNull())
+    return kept.select("scope", "_r.pivot", "_r.ring", "_r.n", "id", "vec", *more)
+
+
+def holding(rings: Column, k: int) -> Column:
+    """How many of the ordered rings hold k vectors together."""
+    start = F.struct(F.lit(0).cast("bigint").alias("held"), F.lit(0).alias("taken"))
+    step = lambda a, r: F.when(a["held"] < k, F.struct((a["held"] + r["n"]).alias("held"), (a["taken"] + 1).alias("taken"))).otherwise(a)
+    return F.aggregate(rings, start, step, lambda a: a["taken"])
+
+
+def nearest(rings: Column, k: int) -> Column:
+    """The rings that are sure to be near and hold k vectors together."""
+    return F.slice(rings, F.lit(1), holding(rings, k))
+
+
+def beyond(rings: Column, k: int) -> Column:
+    """All rings but ``nearest``."""
+    return F.slice(rings, holding(rings, k) + 1, F.greatest(F.size(rings), F.lit(1)))
+
+
+def _matrix(vectors: pd.Series) -> np.ndarray:
+    return np.vstack([np.asarray(v, dtype=np.float64) for v in vectors])
 
 
 def multiply(visited: DataFrame, index: Index, pick: Callable, epsilon: float | None, block: int = BLOCK) -> DataFrame:
-    """scope, query_id, id, sim of what ``pick(sims, query_ids, ids)`` keeps of each chunk of queries and ring.
+    """scope, query_id, id, sim of what ``pick(sims, query_ids, ids)`` keeps of each chunk of queries and part of a ring.
 
-    ``epsilon`` is added to the product of the lengths; None stands for unit vectors, where a vector of length 0 has similarity 0.
+    ``visited`` is read more than once. ``epsilon`` is added to the product of the lengths; None stands for unit vectors,
+    where a vector of length 0 has similarity 0.
     """
-    dealt, slots = _chunks(materialize(visited, "pivot-visits"), KEYS, block)
-    rings = index.rings.select(*KEYS, "id", "vec").join(slots, KEYS)
+    cut = lambda c: F.ceil(c / F.lit(block)).cast("int")
+    slots = visited.groupBy(*KEYS).agg(cut(F.count(F.lit(1))).alias("_chunks"), cut(F.max("n")).alias("_parts"))
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    own = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int")
+    asked = visited.select(*KEYS, "id", "vec").join(slots, KEYS).select(*KEYS, "id", "vec", own("_chunks").alias("chunk"), every("_parts").alias("part"))
+    stored = index.vectors.select(*KEYS, "id", "vec").join(slots, KEYS).select(*KEYS, "id", "vec", own("_parts").alias("part"), every("_chunks").alias("chunk"))
     query_kind = visited.schema["id"].dataType.simpleString()
 
     def run(key, rows: pd.DataFrame, ring: pd.DataFrame) -> pd.DataFrame:
@@ -155,10 +151,10 @@ def multiply(visited: DataFrame, index: Index, pick: Callable, epsilon: float |
         sims = a @ b.T / (np.where(norms == 0, 1, norms) if epsilon is None else norms + epsilon)
         query_ids, ids = rows["id"].to_numpy(), ring["id"].to_numpy()
         i, j = pick(sims, query_ids, ids)
-        return pd.DataFrame({"scope": [key[0]] * len(i), "query_id": query_ids[i], "id": ids[j], "sim": sims[i, j]})
+        return pd.DataFrame({"scope": np.full(len(i), key[0], dtype=object), "query_id": query_ids[i], "id": ids[j], "sim": sims[i, j]})
 
-    by = [*KEYS, "chunk"]
-    return dealt.groupBy(*by).cogroup(rings.groupBy(*by)).applyInPandas(
+    by = [*KEYS, "part", "chunk"]
+    return asked.groupBy(*by).cogroup(stored.groupBy(*by)).applyInPandas(
         run, f"scope {index.kind('scope')}, query_id {query_kind}, id {index.kind('id')}, sim double")
 
 
@@ -169,12 +165,3 @@ def visited_share(visited: DataFrame, queries: DataFrame, index: Index) -> DataF
     seen = visited.groupBy("scope").agg(F.count(F.lit(1)).alias("visited"))
     return all_pairs.join(seen, "scope", "left").select(
         "scope", F.coalesce("visited", F.lit(0)).alias("visited"), (F.col("_q") * F.col("_rings")).alias("all_pairs"))
-
-
-def nearest_rings(most: np.ndarray, n: np.ndarray, k: int) -> np.ndarray:
-    """For each query the rings that are sure to be near and hold k vectors together."""
-    order = np.argsort(most, axis=1, kind="stable")
-    before = np.cumsum(n[order], axis=1) - n[order]
-    mask = np.zeros(most.shape, dtype=bool)
-    np.put_along_axis(mask, order, before < k, axis=1)
-    return mask

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from schemaloom.functions.vectors import l2_norm
 from schemaloom.operators import pivots
 from schemaloom.operators.ordering import top_k
-from schemaloom.operators.pivots import BLOCK, SLACK
+from schemaloom.operators.pivots import BLOCK, SLACK, Index
 from schemaloom.session import materialize
 
 #: Added to the product of lengths in the formula of cosine similarity.
@@ -62,36 +62,34 @@ def _best_in_row(sims: np.ndarray, ids: np.ndarray, allowed: np.ndarray, k: int)
     return rows[keep], by_id[cols[keep]]
 
 
-def pairs_in_band(left: DataFrame, right: DataFrame, low: float, high: float, best: int | None = None, block: int = BLOCK) -> DataFrame:
-    """(scope, left_id, right_id, sim) with low <= cosine <= high; sides are ([scope,] id, vec).
+def pairs_in_band(
+    left: DataFrame | Index, right: DataFrame, low: float, high: float, best: int | None = None, block: int = BLOCK,
+    per_pivot: int = pivots.PER_PIVOT,
+) -> DataFrame:
+    """(scope, left_id, right_id, sim) with low <= cosine <= high; sides are ([scope,] id, vec), or an index on the left.
 
     With ``best`` only pairs that can be among so many of a right id are returned; they are cut before they are written.
     """
-    def choose(least, most, n, _):
-        return (np.cos(least) >= low - SLACK) & (np.cos(most) <= high + SLACK)
+    def inside(rings):
+        return F.filter(rings, lambda r: (F.cos(r["least"]) >= low - SLACK) & (F.cos(r["most"]) <= high + SLACK))
 
     def pick(sims, right_ids, left_ids):
-        inside = (sims >= low) & (sims <= high)
-        return _best_in_row(sims, left_ids, inside, best) if best else np.nonzero(inside)
+        kept = (sims >= low) & (sims <= high)
+        return _best_in_row(sims, left_ids, kept, best) if best else np.nonzero(kept)
 
-    index = pivots.build(_scoped(left), block)
-    found = pivots.multiply(pivots.visits(_scoped(right), index, choose, block=block), index, pick, EPSILON, block)
+    index = left if isinstance(left, Index) else pivots.build(_scoped(left), per_pivot=per_pivot)
+    visited = materialize(pivots.visits(_scoped(right), index, inside), "visits")
+    found = pivots.multiply(visited, index, pick, EPSILON, block)
     return found.select("scope", F.col("id").alias("left_id"), F.col("query_id").alias("right_id"), "sim")
 
 
-def close_to_any(left: DataFrame, right: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+def close_to_any(left: DataFrame, right: DataFrame | Index, threshold: float, block: int = BLOCK) -> DataFrame:
     """(scope, left_id) whose cosine to some right vector of the scope exceeds ``threshold``.
 
-    The nearest ring is looked at first; only vectors that are close to none there look at others.
+    The ring that is sure to be nearest is looked at first; only vectors that are close to none there look at others.
     """
-    def reached(least):
-        return np.cos(least) > threshold - SLACK
-
-    def first(least, most, n, _):
-        return pivots.nearest_rings(most, n, 1) & reached(least)
-
-    def others(least, most, n, _):
-        return ~pivots.nearest_rings(most, n, 1) & reached(least)
+    def reached(rings):
+        return F.filter(rings, lambda r: F.cos(r["least"]) > threshold - SLACK)
 
     def pick(sims, left_ids, right_ids):
         best = sims.argmax(axis=1)
@@ -99,15 +97,15 @@ def close_to_any(left: DataFrame, right: DataFrame, threshold: float, block: int
         return rows, best[rows]
 
     left = _scoped(left)
-    index = pivots.build(_scoped(right), block)
+    index = right if isinstance(right, Index) else pivots.build(_scoped(right))
 
     def hits(queries: DataFrame, choose) -> DataFrame:
-        found = pivots.multiply(pivots.visits(queries, index, choose, block=block), index, pick, EPSILON, block)
+        found = pivots.multiply(materialize(pivots.visits(queries, index, choose), "visits"), index, pick, EPSILON, block)
         return materialize(found.select("scope", F.col("query_id").alias("left_id")).distinct(), "close")
 
-    near = hits(left, first)
+    near = hits(left, lambda rings: reached(pivots.nearest(rings, 1)))
     rest = left.join(near.select("scope", F.col("left_id").alias("id")), ["scope", "id"], "left_anti")
-    return near.unionByName(hits(rest, others))
+    return near.unionByName(hits(rest, lambda rings: reached(pivots.beyond(rings, 1))))
 
 
 @dataclass
@@ -118,7 +116,9 @@ class DenseSearch:
     work: DataFrame
 
 
-def dense_search(left: DataFrame, right: DataFrame, k: int = 10, skip_self: bool = False, block: int = BLOCK) -> DenseSearch:
+def dense_search(
+    left: DataFrame, right: DataFrame, k: int = 10, skip_self: bool = False, block: int = BLOCK, per_pivot: int = pivots.PER_PIVOT
+) -> DenseSearch:
     """(scope, left_id, rank, right_id, sim): best ``k`` by dot product of unit vectors, ties by id.
 
     Vectors are scaled to unit length here; one of length 0 has similarity 0 to all. A query first visits
@@ -126,26 +126,23 @@ def dense_search(left: DataFrame, right: DataFrame, k: int = 10, skip_self: bool
     rings have to reach.
     """
     left = _scoped(left)
-    index = pivots.build(_scoped(right), block)
+    index = pivots.build(_scoped(right), per_pivot=per_pivot)
     enough = k + int(skip_self)
 
-    def first(least, most, n, _):
-        return pivots.nearest_rings(most, n, enough)
-
-    def others(least, most, n, floor):
-        return ~pivots.nearest_rings(most, n, enough) & (np.cos(least) >= floor.astype(float)[:, None] - SLACK)
+    def others(rings):
+        return F.filter(pivots.beyond(rings, enough), lambda r: F.cos(r["least"]) >= F.col("floor") - SLACK)
 
     def pick(sims, left_ids, right_ids):
         allowed = right_ids[None, :] != left_ids[:, None] if skip_self else np.ones(sims.shape, dtype=bool)
         return _best_in_row(sims, right_ids, allowed, k)
 
-    def found(queries: DataFrame, choose, extra=None) -> tuple[DataFrame, DataFrame]:
-        visited = materialize(pivots.visits(queries, index, choose, extra, block), "visits")
-        hits = pivots.multiply(visited.select("scope", "pivot", "block", "id", "vec"), index, pick, None, block)
+    def found(queries: DataFrame, choose, *more: str) -> tuple[DataFrame, DataFrame]:
+        visited = materialize(pivots.visits(queries, index, choose, *more), "visits")
+        hits = pivots.multiply(visited, index, pick, None, block)
         return visited, materialize(hits.select("scope", F.col("query_id").alias("left_id"), F.col("id").alias("right_id"), F.round("sim", 6).alias("sim")), "dense-hits")
 
     order = [F.col("sim").desc(), F.col("right_id")]
-    seen, near = found(left, first)
+    seen, near = found(left, lambda rings: pivots.nearest(rings, enough))
     kept = top_k(near, ["scope", "left_id"], order, k, F.col("right_id"))
     floors = kept.filter(F.col("rank") == k).select("scope", F.col("left_id").alias("id"), F.col("sim").alias("floor"))
     again = left.join(floors, ["scope", "id"], "left").withColumn("floor", F.coalesce("floor", F.lit(-2.0)))
@@ -159,17 +156,27 @@ def dense_top(left: DataFrame, right: DataFrame, k: int = 10, skip_self: bool =
     return dense_search(left, right, k, skip_self, block).hits
 
 
-def word_centroid_similarity(words: DataFrame, centers: DataFrame, low: float, high: float, best: int | None = None) -> DataFrame:
+def word_index(words: DataFrame) -> Index:
+    """Index of words (word, vec) without a scope, for several joins."""
+    return pivots.build(_scoped(words.select(F.col("word").alias("id"), "vec")))
+
+
+def name_index(names: DataFrame) -> Index:
+    """Index of schema names (db_id, word, vec) by database."""
+    return pivots.build(names.select(F.col("db_id").alias("scope"), F.col("word").alias("id"), "vec"))
+
+
+def word_centroid_similarity(words: DataFrame | Index, centers: DataFrame, low: float, high: float, best: int | None = None) -> DataFrame:
     """db_id, word, sim of words within the band around each schema centroid; ``best`` as in ``pairs_in_band``."""
-    left = words.select(F.col("word").alias("id"), "vec")
+    index = words if isinstance(words, Index) else word_index(words)
     right = centers.select(F.col("db_id").alias("id"), "vec")
-    return pairs_in_band(left, right, low, high, best).select(
+    return pairs_in_band(index, right, low, high, best).select(
         F.col("right_id").alias("db_id"), F.col("left_id").alias("word"), "sim"
     )
 
 
-def ambiguous_words(candidates: DataFrame, names: DataFrame, threshold: float) -> DataFrame:
+def ambiguous_words(candidates: DataFrame, names: DataFrame | Index, threshold: float) -> DataFrame:
     """(db_id, word) of candidates (db_id, word, vec) too close to a name of their schema."""
     left = candidates.select(F.col("db_id").alias("scope"), F.col("word").alias("id"), "vec")
-    right = names.select(F.col("db_id").alias("scope"), F.col("word").alias("id"), "vec")
-    return close_to_any(left, right, threshold).select(F.col("scope").alias("db_id"), F.col("left_id").alias("word"))
+    index = names if isinstance(names, Index) else name_index(names)
+    return close_to_any(left, index, threshold).select(F.col("scope").alias("db_id"), F.col("left_id").alias("word"))

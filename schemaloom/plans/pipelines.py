@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from schemaloom.functions.constants import SQL_KEYWORDS
 from schemaloom.functions.scalars import chat_messages
-from schemaloom.operators import catalog, retrieval, similarity
+from schemaloom.operators import catalog, pivots, retrieval, similarity
 from schemaloom.operators.ordering import top_k
 from schemaloom.session import materialize
 
@@ -67,10 +67,10 @@ def usable_words(vocabulary: DataFrame) -> DataFrame:
     return vocabulary.filter(~F.lower(F.col("word").cast("string")).isin(*SQL_KEYWORDS))
 
 
-def unambiguous(banded: DataFrame, vectors: DataFrame, vocabulary: DataFrame, ambiguity: float) -> DataFrame:
+def unambiguous(banded: DataFrame, vectors: DataFrame, names: pivots.Index, vocabulary: DataFrame, ambiguity: float) -> DataFrame:
     """db_id, word, sim of words that name nothing in their schema and are too close to none of its names."""
     unnamed = materialize(banded.join(vectors.select("db_id", "word"), ["db_id", "word"], "left_anti"), "banded")
-    ambiguous = similarity.ambiguous_words(unnamed.join(vocabulary, "word"), vectors, ambiguity)
+    ambiguous = similarity.ambiguous_words(unnamed.join(vocabulary, "word"), names, ambiguity)
     return unnamed.join(ambiguous, ["db_id", "word"], "left_anti")
 
 
@@ -78,37 +78,44 @@ def candidates_in_band(vectors: DataFrame, vocabulary: DataFrame, low: float, hi
     """db_id, word, sim of unambiguous vocabulary words in the band; keywords and schema names are left out first."""
     words = usable_words(vocabulary)
     banded = similarity.word_centroid_similarity(words, similarity.centroids(vectors), low, high)
-    return unambiguous(banded, vectors, words, ambiguity)
+    return unambiguous(banded, vectors, similarity.name_index(vectors), words, ambiguity)
 
 
 def candidate_pool(names: DataFrame, vectors: DataFrame, vocabulary: DataFrame, cfg: PoolConfig) -> DataFrame:
     """db_id, word, sim, step, rank.
 
-    A database stops at the first band with enough words, or at the last one. A further step looks
-    only at what its band adds, and only for the databases that go on.
+    A database stops at the first band with enough words, or at the last one. Most stop at once; for the
+    others all further steps are read off one pass over what the widest band adds.
     """
+    bands = cfg.bands()
     schema = materialize(expanded_vectors(names, vectors, vocabulary, cfg), "schema-vectors")
     words = materialize(usable_words(vocabulary), "usable-words")
+    word_index, name_index = similarity.word_index(words), similarity.name_index(schema)
     centers = materialize(similarity.centroids(schema), "centers")
-    going, kept, last = centers, None, len(cfg.bands()) - 1
-    out = []
-    for step, (low, high) in enumerate(cfg.bands()):
-        banded = similarity.word_centroid_similarity(words, going, low, high)
-        if step:  # words of the band before are judged already
-            banded = banded.filter(~F.col("sim").between(*cfg.bands()[step - 1]))
-            kept = kept.filter(F.col("sim").between(low, high))
-        own = schema.join(going.select("db_id"), "db_id", "left_semi") if step else schema
-        fresh = unambiguous(banded, own, words, cfg.sim_ambiguity)
-        found = materialize(fresh if kept is None else kept.unionByName(fresh), "candidates")
-        counts = found.groupBy("db_id").agg(F.count(F.lit(1)).alias("n"))
-        done = counts.filter(F.col("n") >= (cfg.min_candidates if step < last else 0)).select("db_id")
-        out.append(found.join(done, "db_id", "left_semi").withColumn("step", F.lit(step)))
-        if step < last:
-            going = materialize(going.join(done, "db_id", "left_anti"), "centers")
-            if going.isEmpty():
-                break
-            kept = found.join(done, "db_id", "left_anti")
-    pool = reduce(DataFrame.unionByName, out)
+
+    def inside(band: tuple[float, float]):
+        return F.col("sim").between(*band)
+
+    def found(around: DataFrame, low: float, high: float, but=None) -> DataFrame:
+        banded = similarity.word_centroid_similarity(word_index, around, low, high)
+        kept = banded if but is None else banded.filter(~but)
+        return materialize(unambiguous(kept, schema, name_index, words, cfg.sim_ambiguity), "candidates")
+
+    near = found(centers, *bands[0])
+    counts = near.groupBy("db_id").agg(F.count(F.lit(1)).alias("n"))
+    enough = materialize(counts.filter(F.col("n") >= cfg.min_candidates).select("db_id"), "enough")
+    pool = near.join(enough, "db_id", "left_semi").withColumn("step", F.lit(0))
+    going = materialize(centers.join(enough, "db_id", "left_anti"), "centers")
+    if len(bands) > 1 and not going.isEmpty():
+        further = found(going, min(b[0] for b in bands[1:]), max(b[1] for b in bands[1:]), inside(bands[0]))
+        rest = near.join(enough, "db_id", "left_anti").unionByName(further)
+        sizes = rest.groupBy("db_id").agg(*[F.count_if(inside(b)).alias(f"n{i}") for i, b in enumerate(bands)])
+        step = F.lit(len(bands) - 1)
+        for i in reversed(range(1, len(bands) - 1)):
+            step = F.when(F.col(f"n{i}") >= cfg.min_candidates, F.lit(i)).otherwise(step)
+        chosen = rest.join(sizes.select("db_id", step.alias("step")), "db_id")
+        keep = reduce(lambda a, b: a | b, [(F.col("step") == i) & inside(b) for i, b in enumerate(bands)])
+        pool = pool.unionByName(chosen.filter(keep))
     return top_k(pool, ["db_id"], _by_similarity(), cfg.max_candidates, F.col("word"))
 
 

@@ -333,24 +333,17 @@ def original_columns(spark, d):
     return src.catalog_columns(spark, d).select("db_id", "name").distinct()
 
 
-def words_of_dbs(spark, d) -> DataFrame:
-    """(db_id, word) of all words of each source."""
-    docs = src.table(spark, d, "documents")
-    return (
-        docs.select(F.col("source").alias("db_id"), F.explode_outer(scalars.raw_tokens(F.col("text"))).alias("word"))
-        .filter(F.col("word") != "").distinct()
-    )
-
-
 @query
 def candidate_exclude(spark, d):
-    """Words of each source that name none of its tables and columns, are no keyword and occur in a page."""
-    vectors = src.table(spark, d, "pages").select(
-        F.explode_outer(F.array_distinct(F.regexp_extract_all(F.lower("html"), F.lit(r"\p{L}+"), F.lit(0)))).alias("word")
-    ).filter("word is not null").distinct()
+    """Words of each source's pages that occur in a document, name none of the source's tables and columns and are no keyword."""
+    pages = src.table(spark, d, "pages")
+    found = F.array_distinct(F.regexp_extract_all(F.lower("html"), F.lit(r"\p{L}+"), F.lit(0)))
+    source = F.concat(F.lit("src"), (F.col("page_id") % 20).cast("string"))
+    words = pages.select(source.alias("db_id"), F.explode_outer(found).alias("word")).filter("word is not null").distinct()
+    known = src.table(spark, d, "documents").select(F.explode_outer(scalars.raw_tokens(F.col("text"))).alias("word")).filter("word <> ''").distinct()
     tables = src.catalog_tables(spark, d).select("db_id", F.col("table_name").alias("name"))
     names = src.catalog_columns(spark, d).select("db_id", "name").unionByName(tables)
-    return vocab.exclude_candidates(words_of_dbs(spark, d), names, vectors)
+    return vocab.exclude_candidates(words, names, known)
 
 
 def pools(spark, d) -> DataFrame:

@@ -268,9 +268,10 @@ def report_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
 
 
 def schema_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """db_id, word, vec of schema names: every vector names something in the database of its label."""
+    """db_id, word, vec of schema names: every vector names something in one of three databases of its label, a large, a small and a tiny one."""
+    part = F.when(F.col("vec_id") % 16 == 0, 2).when(F.col("vec_id") % 16 < 4, 1).otherwise(0)
     return table(spark, sf_dir, "embeddings").select(
-        F.col("label").alias("db_id"), F.col("vec_id").alias("word"), F.col("embedding").alias("vec")
+        (F.col("label") * 4 + part).alias("db_id"), F.col("vec_id").alias("word"), F.col("embedding").alias("vec")
     )
 
 
