@@ -19,12 +19,13 @@ letters are ``und`` with score 0; with no labelled text at all everything is
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
@@ -43,6 +44,7 @@ MOST_LABELS = 400
 SWEEPS = 4
 SMOOTHING = 0.02
 REMEMBERED = 400_000
+ROWS_AT_ONCE = 1_000
 LETTERS = re.compile(r"[^\W\d_]+")
 _B = np.uint64(1099511628211)
 
@@ -237,3 +239,19 @@ def predict(df: DataFrame, model: Model, text: str = "text", lang: str = "lang_p
         return work
 
     return add_columns(df, text, [(lang, StringType()), (score, DoubleType())], make)
+
+
+def prediction(spark: SparkSession, model: Model, text: Column) -> Column:
+    """Struct of the most probable label and its posterior, for use in a filter: only texts go to Python, and no text comes back."""
+    held = spark.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        scorer = Scorer(held.value)
+        for batch in batches:
+            found = [p for at in range(0, len(batch), ROWS_AT_ONCE) for p in scorer.posteriors(batch.iloc[at:at + ROWS_AT_ONCE].to_list())]
+            yield pd.DataFrame({
+                "lang": [UNKNOWN if p is None else scorer.model.labels[int(p.argmax())] for p in found],
+                "score": [0.0 if p is None else float(p.max()) for p in found],
+            })
+
+    return F.pandas_udf(run, "lang string, score double")(text.cast("string"))
