@@ -16,6 +16,12 @@ from schemaloom.session import materialize
 
 #: A text is rejected if no language is at least this probable. It is low on purpose: only texts without words fall below it in the data.
 LEAST_POSTERIOR = 0.3
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Stages hand whole texts to Python; small batches keep what a task holds of them low."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -24,12 +30,13 @@ def identify_language(spark: SparkSession, docs: DataFrame, folder: str) -> Data
     If no document has a label, nothing can be judged and all are kept.
     """
     ship(spark)
+    small_batches(spark)
     model = language.fit(docs.select("text", "lang"))
     if not model.labels:
         return docs
-    found = language.predict(docs, model, "text", "__lang", "__score")
-    kept = (F.col("__lang") != language.UNKNOWN) & (F.col("__score") >= LEAST_POSTERIOR)
-    return found.where(kept).select(*[f"`{c}`" for c in docs.columns])
+    judged = docs.withColumn("__judged", language.prediction(spark, model, F.col("text")))
+    kept = (F.col("__judged.lang") != language.UNKNOWN) & (F.col("__judged.score") >= LEAST_POSTERIOR)
+    return judged.where(kept).select(*[f"`{c}`" for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
