@@ -427,19 +427,21 @@ SELECT b.idx, b.db_id, b.table_name, f.local_col, f.ref_table, f.ref_col
 FROM best b JOIN cat_fks f USING (db_id, table_name) WHERE (b.idx, f.ref_table) IN (SELECT (idx, table_name) FROM best)""",
     CATALOG, DOCS, BM25, QUESTIONS, RANKED)
 _nl = "chr(10)"
-add("prompt_pipeline", f"""
+add("prompt_unfiltered", "SELECT q.idx, q.db_id, seq, piece FROM questions q JOIN sequenced s USING (db_id)", CATALOG, QUESTIONS, prompt(True))
+PROMPTS = f"""
 SELECT q.idx, q.db_id,
-  '## Database Name: ' || q.db_id || ' ' || {_nl} || {_nl} || '## Database Schema ' || {_nl} || {_nl} || b.body
+  '## Database Name: ' || q.db_id || ' ' || {_nl} || {_nl} || '## Database Schema ' || {_nl} || {_nl} || coalesce(b.body, '')
     || coalesce('## Foreign Keys ' || {_nl} || r.body, '') AS schema_text,
-  i.tables_included, 'system,system,user' AS roles, q.question AS last_message
+  coalesce(i.tables_included, '') AS tables_included, 'system,system,user' AS roles, q.question AS last_message
 FROM questions q
-JOIN (SELECT idx, string_agg('# Table: ' || table_name || {_nl} || '[' || {_nl} || body || ']' || {_nl} || {_nl}, '' ORDER BY {digest('prompt', 'db_id', 'table_name')}) AS body
+LEFT JOIN (SELECT idx, string_agg('# Table: ' || table_name || {_nl} || '[' || {_nl} || body || ']' || {_nl} || {_nl}, '' ORDER BY {digest('prompt', 'db_id', 'table_name')}) AS body
       FROM best JOIN bodies USING (db_id, table_name) GROUP BY idx) b USING (idx)
 LEFT JOIN (SELECT idx, string_agg(table_name || '.' || local_col || ' REFERENCES ' || ref_table || '.' || ref_col || {_nl}, '' ORDER BY {digest('prompt', 'db_id', 'table_name')}) AS body
       FROM best b JOIN cat_fks f USING (db_id, table_name) WHERE (b.idx, f.ref_table) IN (SELECT (idx, table_name) FROM best) GROUP BY idx) r USING (idx)
-JOIN (SELECT idx, string_agg(table_name, ',' ORDER BY rank) AS tables_included FROM best GROUP BY idx) i USING (idx)""",
-    CATALOG, TEXTS, TEXT_CORPUS, BM25, QUESTIONS, RANKED,
-    f"bodies AS (SELECT db_id, table_name, string_agg({line(True)}, '' ORDER BY col_ord) AS body FROM cat_columns GROUP BY db_id, table_name)")
+LEFT JOIN (SELECT idx, string_agg(table_name, ',' ORDER BY rank) AS tables_included FROM best GROUP BY idx) i USING (idx)"""
+BODIES = (f"bodies AS (SELECT db_id, table_name, string_agg({line(True)}, '' ORDER BY col_ord) AS body FROM cat_columns GROUP BY db_id, table_name)")
+add("prompt_pipeline", PROMPTS, CATALOG, TEXTS, TEXT_CORPUS, BM25, QUESTIONS, RANKED, BODIES)
+add("prompt_dense", PROMPTS, CATALOG, VEC, QUESTIONS, "best AS (" + ORACLES["dense_topk_tables"].split("\n", 2)[-1] + ")", BODIES)
 
 # --- metrics ----------------------------------------------------------------
 OVERALL = """count(*) AS n, round(100.0 * sum(acc) / count(*), 6) AS exa,
@@ -570,8 +572,8 @@ def grown(level):
   LEFT JOIN cat_tables b ON b.db_id = a.db_id AND b.table_ord = a.base_ord"""
     plain = "SELECT db_id, slot, word, NULL::VARCHAR AS base_table, word AS table_name FROM assigned WHERE kind = 'entity'"
     bridge_members = f"""
-  UNION ALL SELECT b.db_id, n_entity + row_number() OVER (PARTITION BY b.db_id ORDER BY {digest('bridge-order', 'b.db_id', 'bridge')}, bridge) - 1, bridge
-  FROM bridge_rows b JOIN counts USING (db_id)"""
+  UNION ALL SELECT b.db_id, (SELECT count(*) FROM entities x WHERE x.db_id = b.db_id) + row_number() OVER (PARTITION BY b.db_id ORDER BY {digest('bridge-order', 'b.db_id', 'bridge')}, bridge) - 1, bridge
+  FROM bridge_rows b"""
     two = level == 2
     names_used = "SELECT db_id, table_name FROM cat_tables UNION ALL SELECT db_id, table_name FROM entities"
     if two:
@@ -696,7 +698,7 @@ SELECT db_id, count(*) FILTER (WHERE s = 0) AS fks_original, count(*) AS fks_tot
 FROM (SELECT db_id, 0 AS s FROM cat_fks UNION ALL SELECT db_id, 1 FROM new_fks) GROUP BY db_id""", *GROUND, grown(2))
 _meta = " OR ".join(f"ends_with(table_name, '{s}')" for s in META_SUFFIXES)
 _class = f"CASE WHEN {_meta} THEN 'meta' WHEN contains(table_name, '_') THEN 'join' ELSE 'entity' END"
-add("scaling_metadata", f"""
+METADATA = f"""
 SELECT t.*, coalesce(fks_original, 0) AS fks_original, coalesce(fks_total, 0) AS fks_total, coalesce(fks_synthetic, 0) AS fks_synthetic FROM (
   SELECT db_id, count(*) FILTER (WHERE origin = 'original') AS tables_original, count(*) AS tables_total,
     count(*) FILTER (WHERE origin <> 'original') AS tables_synthetic,
@@ -704,4 +706,32 @@ SELECT t.*, coalesce(fks_original, 0) AS fks_original, coalesce(fks_total, 0) AS
     {", ".join(f"count(*) FILTER (WHERE origin = '{o}') AS n_{o}" for o in ('entity', 'family', 'bridge', 'join', 'meta'))}
   FROM (SELECT db_id, table_name, 'original' AS origin FROM cat_tables UNION ALL SELECT * FROM new_tables) GROUP BY db_id) t
 LEFT JOIN (SELECT db_id, count(*) FILTER (WHERE s = 0) AS fks_original, count(*) AS fks_total, count(*) FILTER (WHERE s = 1) AS fks_synthetic
-  FROM (SELECT db_id, 0 AS s FROM cat_fks UNION ALL SELECT db_id, 1 FROM new_fks) GROUP BY db_id) f USING (db_id)""", *GROUND, grown(2))
+  FROM (SELECT db_id, 0 AS s FROM cat_fks UNION ALL SELECT db_id, 1 FROM new_fks) GROUP BY db_id) f USING (db_id)"""
+add("scaling_metadata", METADATA, *GROUND, grown(2))
+
+
+# --- names to enlarged catalogs -------------------------------------------------
+def candidates():
+    """The candidate pool with CTE names of its own."""
+    statement = ORACLES["candidate_pool"].replace("found", "cand")
+    ctes, final = statement.removeprefix("WITH RECURSIVE ").rsplit("\n\nSELECT db_id, word, round", 1)
+    own = ctes.replace(VEC + ",\n", "").replace(NAMES_V + ",\n", "").replace(WORDS_V + ",\n", "")
+    return own, "SELECT db_id, word, round" + final
+
+
+_ctes, _pool = candidates()
+add("enlarge_chain", "SELECT m.*, greatest(0, n_entity_wanted + n_meta_wanted - coalesce(have, 0))::BIGINT AS n_missing FROM (" + METADATA + ") m "
+    "JOIN (SELECT db_id, n_entity AS n_entity_wanted, n_meta AS n_meta_wanted FROM counts) USING (db_id) LEFT JOIN (SELECT db_id, count(*) AS have FROM fresh GROUP BY db_id) USING (db_id)",
+    CATALOG, NAMES, LEXICON, VEC,
+    "vectored AS (SELECT word, v, norm FROM (SELECT word, row_number() OVER (ORDER BY n, md5(word)) - 1 AS vec_id FROM vocab JOIN word_counts USING (word)) JOIN e USING (vec_id))",
+    "names AS (SELECT n.db_id, w.word, v, norm FROM all_names n JOIN vectored w ON n.name = w.word)",
+    "words AS (SELECT word, v, norm FROM vectored)",
+    _ctes, f"pools AS ({_pool})",
+    "fresh AS (SELECT * FROM pools WHERE (db_id, lower(word)) NOT IN (SELECT (db_id, lower(name)) FROM all_names))",
+    f"""counts AS (
+  SELECT db_id, n_orig, n_new, round_even(n_new * 0.60, 0)::BIGINT AS n_entity, round_even(n_new * 0.25, 0)::BIGINT AS n_join,
+         n_new - round_even(n_new * 0.60, 0)::BIGINT - round_even(n_new * 0.25, 0)::BIGINT AS n_meta
+  FROM (SELECT db_id, n_orig, greatest(0, list_extract([50, 100, 250, 500, 800], floor({uniform('size', 'db_id')} * 5)::INT + 1) - n_orig) AS n_new
+        FROM (SELECT db_id, count(*) AS n_orig FROM cat_tables GROUP BY db_id))
+)""",
+    SLOTS[SLOTS.index("fresh_ranked AS"):], grown(2))

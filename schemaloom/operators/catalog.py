@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from schemaloom.functions import draws
@@ -24,7 +24,7 @@ DOCUMENT_SCHEMA = f"dataset string, db_id string, schema map<string, struct<{_TA
 TABLE_SCHEMA = "dataset string, db_id string, table_name string, table_ord bigint, " + _TABLE_BODY.replace(": array", " array")
 
 
-def _ordered(ordinal: str, value) -> F.Column:
+def _ordered(ordinal: str, value: Column) -> Column:
     """Values of a group in ordinal order."""
     pairs = F.array_sort(F.collect_list(F.struct(F.col(ordinal).alias("o"), value.alias("v"))))
     return F.transform(pairs, lambda p: p["v"])
@@ -151,6 +151,10 @@ def table_text(tables: DataFrame, columns: DataFrame, fks: DataFrame) -> DataFra
     ).drop("pieces")
 
 
+def prompt_heading() -> Column:
+    return F.concat(F.lit("## Database Name: "), F.col("db_id"), F.lit(" \n\n## Database Schema \n\n"))
+
+
 def schema_pieces(
     tables: DataFrame,
     columns: DataFrame,
@@ -188,8 +192,7 @@ def schema_pieces(
             F.lit("\n"),
         ).alias("piece"),
     )
-    heading = F.concat(F.lit("## Database Name: "), F.col("db_id"), F.lit(" \n\n## Database Schema \n\n"))
-    heads = n_tables.select(*group, F.lit(-1).cast("bigint").alias("seq"), heading.alias("piece"))
+    heads = n_tables.select(*group, F.lit(-1).cast("bigint").alias("seq"), prompt_heading().alias("piece"))
     return heads.unionByName(blocks).unionByName(refs)
 
 

@@ -119,13 +119,12 @@ def candidate_pool(names: DataFrame, vectors: DataFrame, vocabulary: DataFrame,
     return top_k(pool, ["db_id"], _by_similarity(), cfg.max_candidates, F.col("word"))
 
 
-def prompts(
-    original, questions: DataFrame, k: int = 10, fix_not_null: bool = True
-) -> DataFrame:
-    """idx, db_id, schema_text, messages, tables_included: the compressed prompt of every question."""
-    texts = catalog.table_text(original.tables, original.columns, original.fks)
-    texts = materialize(texts.select("db_id", "table_name", "text"), "table-texts")
-    best = materialize(retrieval.bm25_top_tables(texts, original.tables, questions, k), "best-tables")
+def prompts(original, questions: DataFrame, best: DataFrame, fix_not_null: bool = True) -> DataFrame:
+    """idx, db_id, schema_text, messages, tables_included: the prompt of every question over its ``best`` tables.
+
+    ``best`` (idx, db_id, rank, table_name) comes from any search and is bounded by its k. A question
+    without tables gets a prompt with an empty schema.
+    """
     keys = ["idx", "db_id"]
     selected = best.select(*keys, "table_name")
     columns = original.columns.join(selected, ["db_id", "table_name"])
@@ -133,8 +132,38 @@ def prompts(
     text = catalog.schema_prompt(selected, columns, fks, keys, fix_not_null)
     listed = F.array_sort(F.collect_list(F.struct("rank", "table_name")))["table_name"]  # k names
     included = best.groupBy(*keys).agg(listed.alias("tables_included"))
-    return (
-        text.join(included, keys)
-        .join(questions, keys)
-        .select(*keys, "schema_text", chat_messages(F.col("schema_text"), F.col("question")).alias("messages"), "tables_included")
-    )
+    whole = questions.join(text, keys, "left").join(included, keys, "left")
+    schema = F.coalesce("schema_text", catalog.prompt_heading())
+    return whole.select(
+        *keys, schema.alias("schema_text"), chat_messages(schema, F.col("question")).alias("messages"),
+        F.coalesce("tables_included", F.array().cast("array<string>")).alias("tables_included"))
+
+
+def rendered_tables(original) -> DataFrame:
+    """db_id, table_name, text of every table, written once: a search reads it twice."""
+    texts = catalog.table_text(original.tables, original.columns, original.fks)
+    return materialize(texts.select("db_id", "table_name", "text"), "table-texts")
+
+
+def lexical_prompts(original, questions: DataFrame, k: int = 10, fix_not_null: bool = True) -> DataFrame:
+    """Prompts over the best ``k`` tables by BM25."""
+    best = materialize(retrieval.bm25_top_tables(rendered_tables(original), original.tables, questions, k), "best-tables")
+    return prompts(original, questions, best, fix_not_null)
+
+
+def dense_prompts(original, questions: DataFrame, question_vectors: DataFrame, table_vectors: DataFrame, k: int = 10, fix_not_null: bool = True) -> DataFrame:
+    """Prompts over the best ``k`` tables by vectors (idx, db_id, vec) and (db_id, table_name, vec)."""
+    asked = question_vectors.select(F.col("db_id").alias("scope"), F.col("idx").alias("id"), "vec")
+    stored = table_vectors.select(F.col("db_id").alias("scope"), F.col("table_name").alias("id"), "vec")
+    found = similarity.dense_top(asked, stored, k)
+    best = found.select(F.col("left_id").alias("idx"), F.col("scope").alias("db_id"), "rank", F.col("right_id").alias("table_name"))
+    return prompts(original, questions, materialize(best, "best-tables"), fix_not_null)
+
+
+def unfiltered_pieces(original, questions: DataFrame, fix_not_null: bool = True) -> DataFrame:
+    """idx, db_id, seq, piece: the whole schema of its database for every question, as ordered pieces.
+
+    The pieces of a database are rendered once, however many questions it has.
+    """
+    pieces = materialize(catalog.schema_pieces(original.tables, original.columns, original.fks, fix_not_null=fix_not_null), "schema-pieces")
+    return questions.select("idx", "db_id").join(pieces, "db_id").select("idx", "db_id", "seq", "piece")

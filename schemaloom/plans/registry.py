@@ -135,8 +135,10 @@ def resume_pending(spark, d):
     models = F.explode(F.array(F.lit("m1"), F.lit("m2")))
     asked = src.table(spark, d, "documents").select(models.alias("model"), F.col("doc_id").alias("idx"), F.col("source").alias("db_id"))
     answered = F.when(F.col("doc_id") % 2 == 0, "m1").otherwise("m2")
-    done = src.table(spark, d, "labels").select(answered.alias("model"), F.col("doc_id").alias("idx"))
-    return evaluate.pending(asked, done, ["model", "idx"])
+    done = src.table(spark, d, "labels").select(answered.alias("model"), F.col("doc_id").alias("index"))
+    path = shared_dir(spark, "response-log")
+    files.append_responses(done, path)
+    return files.resume(asked, spark, path, ("model", "idx"))
 
 
 @query
@@ -356,7 +358,9 @@ def names_of(spark, d) -> DataFrame:
 
 @query
 def fresh_words(spark, d):
-    return vocab.fresh_words(materialize(pools(spark, d), "pools"), names_of(spark, d))
+    path = shared_dir(spark, "pools")
+    files.write_pools(pools(spark, d), path)
+    return vocab.fresh_words(spark.read.parquet(path), names_of(spark, d))
 
 
 # --- retrieval --------------------------------------------------------------
@@ -403,16 +407,34 @@ def compress_schema(spark, d):
     )
 
 
-@query
-def prompt_pipeline(spark, d):
-    out = pipelines.prompts(original(spark, d), src.questions(spark, d), TOP)
-    return out.select(
+def told(prompts: DataFrame) -> DataFrame:
+    return prompts.select(
         "idx", "db_id", "schema_text", lined("tables_included").alias("tables_included"),
         F.array_join(F.transform("messages", lambda m: m["role"]), ",").alias("roles"),
         F.element_at("messages", -1)["content"].alias("last_message"),
     )
 
 
+@query
+def prompt_pipeline(spark, d):
+    return told(pipelines.lexical_prompts(original(spark, d), src.questions(spark, d), TOP))
+
+
+@query
+def prompt_dense(spark, d):
+    """Prompts over the nearest tables; questions and documents have the vectors of their numbers."""
+    vectors = src.table(spark, d, "embeddings").select(F.col("vec_id"), F.col("embedding").alias("vec"))
+    asked = src.questions(spark, d).join(vectors, F.col("idx") == F.col("vec_id")).select("idx", "db_id", "vec")
+    stored = src.table(spark, d, "documents").join(vectors, F.col("doc_id") == F.col("vec_id")).select(
+        F.col("source").alias("db_id"), src.table_name(F.col("doc_id")).alias("table_name"), "vec")
+    return told(pipelines.dense_prompts(original(spark, d), src.questions(spark, d), asked, stored, TOP))
+
+
+@query
+def prompt_unfiltered(spark, d):
+    return pipelines.unfiltered_pieces(original(spark, d), src.questions(spark, d))
+
+
 # --- metrics ----------------------------------------------------------------
 @query
 def metrics_overall(spark, d):
@@ -576,6 +598,13 @@ def enlarged(spark, d, cfg) -> tuple[Catalog, Catalog]:
     return base, augment.enlarge(base, pools(spark, d), targets(spark, d), cfg)
 
 
+def through_files(spark, new: Catalog) -> Catalog:
+    """The catalog as its sink has it."""
+    path = shared_dir(spark, "catalog")
+    files.write_catalog(new, path)
+    return files.read_catalog(spark, path)
+
+
 def columns_of(spark, d, cfg, origin: str) -> DataFrame:
     _, new = enlarged(spark, d, cfg)
     names = new.tables.filter(F.col("origin") == origin).select("db_id", "table_name")
@@ -650,9 +679,28 @@ def enlarge_l2(spark, d):
     return enlarged_rows(enlarged(spark, d, LEVEL2)[1])
 
 
+@query
+def enlarge_chain(spark, d):
+    """From names to counts in one chain: vectors of a source's names, candidate pool, fresh words, enlargement to a published size.
+
+    Words run out where vectors are few; ``n_missing`` has how many.
+    """
+    base = original(spark, d)
+    words = src.word_vectors(spark, d, vocab_clean(spark, d))
+    names = vocab.schema_names(base.tables, base.columns)
+    known = materialize(names.select("db_id", F.col("name").alias("word")).join(words, "word").select("db_id", "word", "vec"), "name-vectors")
+    pool = pipelines.candidate_pool(known.select("db_id", "word"), known, words, POOL)
+    size = draws.choice("size", [str(s) for s in src.SIZES if s], F.col("db_id")).cast("bigint")
+    wanted = base.tables.select("db_id").distinct().withColumn("target", size)
+    new = augment.enlarge(base, pool.select("db_id", "word", "rank"), wanted, LEVEL2, allow_short=True)
+    counts = augment.scaling_metadata(base, new)
+    return counts.join(new.missing, "db_id", "left").withColumn("n_missing", F.coalesce("n_missing", F.lit(0)))
+
+
 @query
 def catalog_union(spark, d):
     base, new = enlarged(spark, d, LEVEL1)
+    new = through_files(spark, new)
     return catalog.union_catalogs(base.tables.select("db_id", "table_name", "origin"), new.tables)
 
 
@@ -678,4 +726,7 @@ def fk_counts(spark, d):
 
 @query
 def scaling_metadata(spark, d):
-    return augment.scaling_metadata(*enlarged(spark, d, LEVEL2))
+    base, new = enlarged(spark, d, LEVEL2)
+    path = shared_dir(spark, "metadata")
+    files.write_metadata(augment.scaling_metadata(base, through_files(spark, new)), path)
+    return spark.read.parquet(path)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from schemaloom.functions import draws
 from schemaloom.functions.scalars import affinity, raw_tokens, tokens
-from schemaloom.operators.ordering import number_by_id, top_k
+from schemaloom.operators.ordering import number_by_id, number_in_order, top_k
 from schemaloom.session import materialize
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -158,6 +158,13 @@ def candidate_pools(spark: SparkSession, sf_dir: str, vocab: DataFrame) -> DataF
     return top_k(placed, ["db_id"], [F.col("_digest"), F.col("word")], POOL_SIZE, F.col("word")).drop("_digest")
 
 
+def word_vectors(spark: SparkSession, sf_dir: str, vocab: DataFrame) -> DataFrame:
+    """word, vec: the rarest words of the vocabulary have the vectors, in order."""
+    counted = vocab.select("word").join(word_counts(spark, sf_dir), "word")
+    placed = number_in_order(counted, [], [F.col("n"), F.md5(F.col("word").cast("binary"))], "vec_id")
+    return placed.join(table(spark, sf_dir, "embeddings"), "vec_id").select("word", F.col("embedding").alias("vec"))
+
+
 def result_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_result_log(table(spark, sf_dir, "events"))
 
