@@ -26,9 +26,9 @@ import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql.types import BinaryType, LongType
+from pyspark.sql.types import BinaryType, BooleanType, LongType
 
-from schemaloom.llm.arrow import Memory, add_columns
+from schemaloom.llm.arrow import Memory, add_columns, as_text, pieces
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: Pieces in each half of a task's memory.
@@ -215,6 +215,34 @@ def encode(df: DataFrame, text: str = "text", path: str = VOCABULARY, pattern: s
     return add_columns(df, text, [(ids, BinaryType()), (count, LongType())], make)
 
 
+def decode_ids(packed: bytes | None, tokens: list[bytes]) -> bytes:
+    return b"".join([tokens[i] for i in np.frombuffer(packed or b"", dtype="<u4").tolist()])
+
+
+def encode_checked(df: DataFrame, text: str = "text", path: str = VOCABULARY, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+    """The ids (``ids``), their number (``n_tokens``) and whether they decode to the text (``round_trip``) in place of the text.
+
+    Texts are encoded and decoded in one pass, so a task has one Python worker and no text comes back from it.
+    """
+    df = as_text(df, text)
+    keep = [c for c in df.columns if c not in (text, "ids", "n_tokens", "round_trip")]
+    schema = df.select(*[f"`{c}`" for c in keep]).schema.add("ids", BinaryType()).add("n_tokens", LongType()).add("round_trip", BooleanType())
+
+    def run(batches):
+        encoder, tokens = Encoder(path, pattern), load_tokens(path)
+        for batch in batches:
+            for part in pieces(batch, text):
+                texts = part.column(part.schema.get_field_index(text)).to_pylist()
+                packed = encoder.encode(texts)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(part.schema.get_field_index(k)) for k in keep]
+                    + [pa.array(packed, pa.binary()), pa.array([len(p) // 4 for p in packed], pa.int64()),
+                       pa.array([decode_ids(p, tokens) == (t or "").encode() for p, t in zip(packed, texts)], pa.bool_())],
+                    names=[*keep, "ids", "n_tokens", "round_trip"])
+
+    return df.mapInArrow(run, schema)
+
+
 def decode(df: DataFrame, ids: str = "ids", path: str = VOCABULARY, decoded: str = "decoded") -> DataFrame:
     """Replace the ids column by the bytes they stand for; null ids decode to no bytes."""
     keep = [c for c in df.columns if c not in (ids, decoded)]
@@ -224,7 +252,7 @@ def decode(df: DataFrame, ids: str = "ids", path: str = VOCABULARY, decoded: str
         tokens = load_tokens(path)
         for batch in batches:
             packed = batch.column(batch.schema.get_field_index(ids)).to_pylist()
-            out = [b"".join([tokens[i] for i in np.frombuffer(p or b"", dtype="<u4").tolist()]) for p in packed]
+            out = [decode_ids(p, tokens) for p in packed]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(batch.schema.get_field_index(k)) for k in keep] + [pa.array(out, pa.binary())], names=[*keep, decoded]
             )
