@@ -64,10 +64,13 @@ def inclusion_check(child: DataFrame, child_name: str, child_col: str, parent: D
     )
 
 
+def _sketch(columns: tuple[str, ...]) -> Column:
+    return F.hll_sketch_estimate(F.hll_sketch_agg(F.xxhash64(*columns), F.lit(SKETCH_BITS)))
+
+
 def _estimates(df: DataFrame, sets: list[tuple[str, ...]]) -> list[int]:
     """Estimated distinct rows of every column set, all from one pass."""
-    sketches = [F.hll_sketch_estimate(F.hll_sketch_agg(F.xxhash64(*s), F.lit(SKETCH_BITS))).alias(f"s{i}") for i, s in enumerate(sets)]
-    return list(df.agg(*sketches).first()) if sets else []
+    return list(df.agg(*[_sketch(s).alias(f"s{i}") for i, s in enumerate(sets)]).first()) if sets else []
 
 
 def _unique(df: DataFrame, sets: list[tuple[str, ...]]) -> set[tuple[str, ...]]:
@@ -87,19 +90,17 @@ def discover_keys(df: DataFrame, table_name: str, most: int = 2) -> DataFrame:
     """
     spark = df.sparkSession
     columns = [f.name for f in df.schema.fields if not isinstance(f.dataType, MapType)]
-    counts = df.agg(F.count(F.lit(1)), *[F.count(c) for c in columns]).first()
-    n = counts[0]
-    columns = [c for c, full in zip(columns, counts[1:]) if full == n]
+    # The first level needs one pass: rows, values that are not null and a sketch of every column.
+    seen = df.agg(F.count(F.lit(1)), *[m for c in columns for m in (F.count(c), _sketch((c,)))]).first()
+    n = seen[0]
+    values = {c: e for c, full, e in zip(columns, seen[1::2], seen[2::2]) if full == n}
     keys: list[tuple[str, ...]] = []
-    values: dict[str, int] = {}
     for size in range(1, most + 1 if n else 1):
         level = [
-            s for s in combinations(columns, size)
-            if not any(set(k) <= set(s) for k in keys) and (size == 1 or prod(values[c] for c in s) >= LIKELY * n)
+            s for s in combinations(values, size)
+            if not any(set(k) <= set(s) for k in keys) and prod(values[c] / LIKELY for c in s) >= LIKELY * n
         ]
-        found = _estimates(df, level)
-        if size == 1:
-            values = {c: e / LIKELY for (c,), e in zip(level, found)}
+        found = [values[c] for (c,) in level] if size == 1 else _estimates(df, level)
         keys += sorted(_unique(df, [s for s, e in zip(level, found) if e >= LIKELY * n]))
     rows = [(table_name, ",".join(k), n) for k in keys]
     return spark.createDataFrame(rows, "table_name string, key_columns string, n_rows bigint")
