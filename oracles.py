@@ -379,8 +379,8 @@ thrown AS (
   FROM vocab, range(8) r
 ),
 pools AS (
-  SELECT * FROM (SELECT db_id, word, row_number() OVER (PARTITION BY db_id ORDER BY {digest('pool-order', 'db_id', 'word')}, word) AS rank
-    FROM thrown JOIN dbs USING (db_ord)) WHERE rank <= 1000
+  SELECT db_id, word, row_number() OVER (PARTITION BY db_id ORDER BY {digest('pool-order', 'db_id', 'word')}, word) AS rank
+  FROM thrown JOIN dbs USING (db_ord)
 ),
 fresh AS (SELECT * FROM pools WHERE (db_id, lower(word)) NOT IN (SELECT (db_id, lower(name)) FROM all_names))"""
 add("fresh_words", "SELECT * FROM fresh", CATALOG, NAMES, LEXICON, POOLS)
@@ -542,9 +542,9 @@ SELECT db_id, name || CASE WHEN n + skip > 1 THEN '_' || (n + skip) ELSE '' END
   FROM part)""")
 SLOTS = """
 counts AS (
-  SELECT db_id, n_orig, 40 AS n_new, round_even(40 * 0.60, 0)::BIGINT AS n_entity, round_even(40 * 0.25, 0)::BIGINT AS n_join,
-         40 - round_even(40 * 0.60, 0)::BIGINT - round_even(40 * 0.25, 0)::BIGINT AS n_meta
-  FROM (SELECT db_id, count(*) AS n_orig FROM cat_tables GROUP BY db_id)
+  SELECT db_id, n_orig, n_new, round_even(n_new * 0.60, 0)::BIGINT AS n_entity, round_even(n_new * 0.25, 0)::BIGINT AS n_join,
+         n_new - round_even(n_new * 0.60, 0)::BIGINT - round_even(n_new * 0.25, 0)::BIGINT AS n_meta
+  FROM (SELECT db_id, count(*) AS n_orig, 40 + count(*) // 10 AS n_new FROM cat_tables GROUP BY db_id)
 ),
 fresh_ranked AS (SELECT db_id, word, row_number() OVER (PARTITION BY db_id ORDER BY rank) - 1 AS slot FROM fresh),
 assigned AS (

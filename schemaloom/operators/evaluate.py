@@ -141,11 +141,6 @@ def accuracy(log: DataFrame, group: list[str]) -> DataFrame:
     return log.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(score), 6).alias("score"))
 
 
-def variant_report(log: DataFrame, group: list[str]) -> DataFrame:
-    """Overall metrics per variant."""
-    return overall_metrics(log, group)
-
-
 def attach_gold(responses: DataFrame, questions: DataFrame) -> DataFrame:
     """Responses of all variants with the gold statement of their question, which may be listed more than once."""
     return responses.join(questions.select("db_id", "idx", "sql_gold").distinct(), ["db_id", "idx"])

@@ -11,16 +11,16 @@ from pyspark.sql import functions as F
 
 from schemaloom.functions import draws
 from schemaloom.functions.scalars import affinity, raw_tokens, tokens
-from schemaloom.operators.ordering import number_by_id, number_in_order, top_k
+from schemaloom.operators.ordering import number_by_id, number_in_order
 from schemaloom.session import materialize
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 DECLARED_TYPES = ("INT", "VARCHAR(20)", "REAL", "DATETIME", "DECIMAL(8,2)", "", "TEXT")
 LEXNAMES = ("noun.person", "noun.location", "noun.group", "noun.artifact", "noun.act", "noun.state")
 SIZES = (0, 50, 100, 250, 500, 800)
-POOL_SIZE = 1000
 POOLS_PER_WORD = 8
-NEW_TABLES = 40
+#: New tables of a source: so many, and one for every so many that it has.
+NEW_TABLES, PER_TABLES = 40, 10
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -139,7 +139,7 @@ def whitelist(counts: DataFrame) -> DataFrame:
 
 
 def candidate_pools(spark: SparkSession, sf_dir: str, vocab: DataFrame) -> DataFrame:
-    """db_id, word, rank: each word enters a few pools, each pool keeps its first ``POOL_SIZE`` words."""
+    """db_id, word, rank: each word enters up to ``POOLS_PER_WORD`` pools; a pool has all its words in seeded order."""
     dbs = number_by_id(
         table(spark, sf_dir, "documents").groupBy(F.col("source").alias("db_id")).agg(F.min("doc_id").alias("first_doc"))
         .withColumn("_all", F.lit(0)),
@@ -155,7 +155,8 @@ def candidate_pools(spark: SparkSession, sf_dir: str, vocab: DataFrame) -> DataF
         .select("db_id", "word")
         .withColumn("_digest", draws.digest("pool-order", F.col("db_id"), F.col("word")))
     )
-    return top_k(placed, ["db_id"], [F.col("_digest"), F.col("word")], POOL_SIZE, F.col("word")).drop("_digest")
+    ranked = number_in_order(placed, ["db_id"], [F.col("_digest"), F.col("word")], "_place0")
+    return ranked.select("db_id", "word", (F.col("_place0") + 1).alias("rank"))
 
 
 def word_vectors(spark: SparkSession, sf_dir: str, vocab: DataFrame) -> DataFrame:
