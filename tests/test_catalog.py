@@ -77,6 +77,25 @@ def test_shape_does_not_depend_on_size(spark, n):
     assert text.startswith("## Database Name: d \n\n## Database Schema \n\n# Table: ")
 
 
+def test_whole_prompt_over_several_runs(spark, monkeypatch):
+    tables, columns, fks = fixture(spark)
+    want = {}
+    for r in catalog.schema_pieces(tables, columns, fks).orderBy("db_id", "seq").collect():
+        want[r.db_id] = want.get(r.db_id, "") + r.piece
+    monkeypatch.setattr(catalog, "PIECE_RUN", 2)
+    assert {r.db_id: r.schema_text for r in catalog.schema_prompt(tables, columns, fks).collect()} == want
+
+
+@pytest.mark.parametrize("name", ["schema_prompt", "schema_prompt_as_published"])
+def test_prompt_queries_return_whole_texts(spark, name):
+    """One row with the whole text per database, not its pieces."""
+    from schemaloom.plans.registry import QUERIES
+
+    rows = QUERIES[name](spark, "/root/testdata/sf0.001").collect()
+    assert len({r.db_id for r in rows}) == len(rows)
+    assert all(r.schema_text.startswith(f"## Database Name: {r.db_id} ") and "# Table: " in r.schema_text for r in rows)
+
+
 def test_table_text_names_the_referenced_column(spark):
     text = catalog.table_text(*fixture(spark)).filter("table_name = 'song'").first().text
     assert text == "table song column sid type INTEGER primary key column owner type INTEGER primary key foreign key id references singer"
