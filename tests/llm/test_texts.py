@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from schemaloom.llm import decontaminate, language, pages, pitman_yor, queries, secrets
@@ -259,6 +260,20 @@ def test_broadcast_and_join_agree(spark, frequent):
     assert pitman_yor.score(docs.limit(0), model).count() == 0
 
 
+def test_frequent_words_do_not_depend_on_tasks(spark):
+    """Words that are rare in every task but frequent in all count as such."""
+    own = lambda p: " ".join(f"{p}x{i} " * 40 for i in range(5000))
+    texts = [(p, f"{own(p)} {'everywhere ' * 45}") for p in range(4)]
+    docs = spark.createDataFrame(texts, "p int, text string").repartitionByRange(4, "p").select("text")
+    assert docs.rdd.getNumPartitions() == 4
+    counts = Counter(t for _, x in texts for t in x.encode().split())
+    hashes = lambda word: pitman_yor.hash_words(*next((d, o) for _, d, o in pitman_yor.text_slices(pa.array([word]))), lower=True).hashes[0]
+    assert counts.most_common(1)[0][0] == b"everywhere"
+    assert pitman_yor.frequent_words(docs, 1).tolist() == [hashes("everywhere")]
+    assert pitman_yor.frequent_words(docs, 15).tolist() == pitman_yor.frequent_words(docs.coalesce(1), 15).tolist()
+    assert len(pitman_yor.frequent_words(docs.limit(0), 15)) == 0
+
+
 def test_seating_matches_expected_tables():
     rng = np.random.default_rng(3)
     d, weight = 0.5, 2.0
