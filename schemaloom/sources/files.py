@@ -32,8 +32,8 @@ def write_schema_documents(documents: DataFrame, path: str) -> None:
 
 
 def write_table_defs(defs: DataFrame, path: str) -> None:
-    """Nested table rows as JSON lines, one table per line; a database of any size is as many lines as it has tables."""
-    defs.write.mode("overwrite").json(path, ignoreNullFields=False)
+    """Nested table rows as compressed JSON lines, one table per line; a database of any size is as many lines as it has tables."""
+    defs.write.mode("overwrite").json(path, ignoreNullFields=False, compression="gzip")
 
 
 def read_table_defs(spark: SparkSession, path: str) -> DataFrame:

@@ -96,6 +96,15 @@ def test_prompt_queries_return_whole_texts(spark, name):
     assert all(r.schema_text.startswith(f"## Database Name: {r.db_id} ") and "# Table: " in r.schema_text for r in rows)
 
 
+def test_table_defs_are_written_compressed(spark, tmp_path):
+    defs = catalog.table_defs(*fixture(spark))
+    files.write_table_defs(defs, str(tmp_path / "defs"))
+    written = [p.name for p in (tmp_path / "defs").glob("part-*")]
+    assert written and all(p.endswith(".json.gz") for p in written)
+    assert sorted(map(str, files.read_table_defs(spark, str(tmp_path / "defs")).select("table_name", "columns").collect())) == sorted(
+        map(str, defs.select("table_name", "columns").collect()))
+
+
 def test_table_text_names_the_referenced_column(spark):
     text = catalog.table_text(*fixture(spark)).filter("table_name = 'song'").first().text
     assert text == "table song column sid type INTEGER primary key column owner type INTEGER primary key foreign key id references singer"
