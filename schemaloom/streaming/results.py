@@ -134,8 +134,7 @@ def redelivered_metrics(spark, log: DataFrame, group: list[str], deliveries: int
     part = F.pmod(F.xxhash64(*KEY), F.lit(deliveries)).cast("int")
     times = F.when(part == 0, F.array(F.lit(0), F.lit(1), F.lit(deliveries))).otherwise(F.array(part, part + 1))
     sent = log.withColumn("delivery", F.explode(times))
-    for n in range(deliveries + 1):  # one after the other, as a log grows
-        sent.filter(F.col("delivery") == n).drop("delivery").coalesce(1).write.mode("append").parquet(path)
-    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    ingest(stream, work_dir, group)
+    for n in range(deliveries + 1):  # one after the other, as a log grows; the files of a delivery make one batch
+        sent.filter(F.col("delivery") == n).drop("delivery").write.mode("append").parquet(path)
+        ingest(spark.readStream.schema(log.schema).parquet(path), work_dir, group)
     return current_metrics(spark, work_dir, group)

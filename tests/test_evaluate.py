@@ -180,6 +180,16 @@ def test_redelivered_log(spark):
     assert got == {r.model: (r.n, r.exa, r.seconds) for r in evaluate.overall_metrics(many, ["model"]).collect()}
 
 
+def test_deliveries_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(results, "shared_dir", lambda _, purpose: str(tmp_path / purpose))
+    rows = log(spark).withColumn("level", F.lit(1)).withColumn("size", F.lit(0)).withColumn("filter", F.lit("none"))
+    many = rows.crossJoin(spark.range(0, 40, 1, 4).withColumnRenamed("id", "n")).withColumn("idx", F.col("idx") + 10 * F.col("n")).drop("n")
+    got = {r.model: (r.n, r.exa) for r in results.redelivered_metrics(spark, many, ["model"]).collect()}
+    assert got == {r.model: (r.n, r.exa) for r in evaluate.overall_metrics(many, ["model"]).collect()}
+    assert len(list((tmp_path / "deliveries").glob("part-*"))) > 5
+    assert len(list((tmp_path / "redelivered" / "sums").glob("batch=*"))) == 5
+
+
 def test_vocabulary(spark):
     lexicon = spark.createDataFrame([
         ("Bank", "noun.artifact", 5.0), ("bank", "noun.act", 5.0), ("river", "noun.location", 2.0), ("river", "noun.act", 2.0),
