@@ -52,14 +52,19 @@ def _scoped(df: DataFrame) -> DataFrame:
     return df if "scope" in df.columns else df.select(F.lit(0).alias("scope"), "*")
 
 
-def _best_in_row(sims: np.ndarray, ids: np.ndarray, allowed: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and columns of the k best allowed entries of each row by rounded value, ties by id."""
-    by_id = np.argsort(ids, kind="stable")
-    ranked = np.where(allowed, np.round(sims, 6), -np.inf)[:, by_id]
-    order = np.argsort(-ranked, axis=1, kind="stable")[:, :k]
-    rows, cols = np.repeat(np.arange(len(sims)), order.shape[1]), order.ravel()
-    keep = np.isfinite(ranked[rows, cols])
-    return rows[keep], by_id[cols[keep]]
+def _best_in_row(sims: np.ndarray, seen: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the k best seen entries of each row by rounded value, ties by id."""
+    ranked = np.where(seen, sims, -np.inf)
+    if sims.shape[1] > k:
+        # Only what rounding can bring among the k best is sorted.
+        seen = seen & (ranked >= np.partition(ranked, -k, axis=1)[:, -k, None] - 2e-6)
+    rows, cols = np.nonzero(seen)
+    places = np.empty(len(ids), dtype=np.int64)
+    places[np.argsort(ids, kind="stable")] = np.arange(len(ids))
+    order = np.lexsort((places[cols], -np.round(sims[rows, cols], 6), rows))
+    rows, cols = rows[order], cols[order]
+    keep = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+    return rows[keep], cols[keep]
 
 
 def pairs_in_band(
@@ -73,9 +78,9 @@ def pairs_in_band(
     def inside(rings):
         return F.filter(rings, lambda r: (F.cos(r["least"]) >= low - SLACK) & (F.cos(r["most"]) <= high + SLACK))
 
-    def pick(sims, right_ids, left_ids):
-        kept = (sims >= low) & (sims <= high)
-        return _best_in_row(sims, left_ids, kept, best) if best else np.nonzero(kept)
+    def pick(sims, seen, right_ids, left_ids):
+        kept = seen & (sims >= low) & (sims <= high)
+        return _best_in_row(sims, kept, left_ids, best) if best else np.nonzero(kept)
 
     index = left if isinstance(left, Index) else pivots.build(_scoped(left), per_pivot=per_pivot)
     visited = materialize(pivots.visits(_scoped(right), index, inside), "visits")
@@ -91,16 +96,16 @@ def close_to_any(left: DataFrame, right: DataFrame | Index, threshold: float, bl
     def reached(rings):
         return F.filter(rings, lambda r: F.cos(r["least"]) > threshold - SLACK)
 
-    def pick(sims, left_ids, right_ids):
-        best = sims.argmax(axis=1)
-        rows = np.nonzero(sims[np.arange(len(sims)), best] > threshold)[0]
-        return rows, best[rows]
+    def pick(sims, seen, left_ids, right_ids):
+        close = seen & (sims > threshold)
+        rows = np.nonzero(close.any(axis=1))[0]
+        return rows, close[rows].argmax(axis=1)
 
     left = _scoped(left)
     index = right if isinstance(right, Index) else pivots.build(_scoped(right))
 
     def hits(queries: DataFrame, choose) -> DataFrame:
-        found = pivots.multiply(materialize(pivots.visits(queries, index, choose), "visits"), index, pick, EPSILON, block)
+        found = pivots.multiply(materialize(pivots.visits(queries, index, choose), "visits"), index, pick, EPSILON, block, once=True)
         return materialize(found.select("scope", F.col("query_id").alias("left_id")).distinct(), "close")
 
     near = hits(left, lambda rings: reached(pivots.nearest(rings, 1)))
@@ -132,9 +137,8 @@ def dense_search(
     def others(rings):
         return F.filter(pivots.beyond(rings, enough), lambda r: F.cos(r["least"]) >= F.col("floor") - SLACK)
 
-    def pick(sims, left_ids, right_ids):
-        allowed = right_ids[None, :] != left_ids[:, None] if skip_self else np.ones(sims.shape, dtype=bool)
-        return _best_in_row(sims, right_ids, allowed, k)
+    def pick(sims, seen, left_ids, right_ids):
+        return _best_in_row(sims, seen & (right_ids[None, :] != left_ids[:, None]) if skip_self else seen, right_ids, k)
 
     def found(queries: DataFrame, choose, *more: str) -> tuple[DataFrame, DataFrame]:
         visited = materialize(pivots.visits(queries, index, choose, *more), "visits")
@@ -148,7 +152,7 @@ def dense_search(
     again = left.join(floors, ["scope", "id"], "left").withColumn("floor", F.coalesce("floor", F.lit(-2.0)))
     seen_later, far = found(again, others, "floor")
     hits = top_k(near.unionByName(far), ["scope", "left_id"], order, k, F.col("right_id"))
-    both = seen.select("scope").unionByName(seen_later.select("scope"))
+    both = seen.select("scope", "rings").unionByName(seen_later.select("scope", "rings"))
     return DenseSearch(hits, pivots.visited_share(both, left, index))
 
 
