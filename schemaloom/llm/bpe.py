@@ -3,7 +3,7 @@
 A run of texts is cut into pieces by the vocabulary's pattern. The distinct
 pieces that a task has not met before are laid out as one sequence of byte
 tokens, and an inverted index maps the rank of every adjacent pair that can merge
-to its positions. Merges are replayed in rank order over all pieces at once: the
+to its positions. Merges are replayed in rank order over a run of pieces at once: the
 lowest rank is taken from the index, each of its positions is merged, and only
 the two neighbours of a merged position are looked at again. Texts are then read
 off a piece -> ids table, so work is per distinct piece and not per occurrence.
@@ -18,7 +18,7 @@ from __future__ import annotations
 import base64
 import heapq
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -33,6 +33,8 @@ from schemaloom.llm.arrow import Memory, add_columns, as_text, pieces
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: Pieces in each half of a task's memory.
 REMEMBERED = 350_000
+#: Bytes of new pieces that are replayed at once; a longer piece is replayed on its own.
+REPLAYED = 1 << 18
 #: Longer pieces are not remembered.
 LONG_PIECE = 64
 
@@ -153,6 +155,18 @@ def replay_merges(words: list[bytes], path: str) -> list[bytes]:
     return [packed[i:j] for i, j in zip(cuts, cuts[1:])]
 
 
+def runs(rest: list[tuple[str, bytes]], limit: int) -> Iterator[list[tuple[str, bytes]]]:
+    """Consecutive pieces of about ``limit`` bytes: a replay holds some hundred bytes for each of them."""
+    at, held = 0, 0
+    for i, (_, raw) in enumerate(rest):
+        if held and held + len(raw) > limit:
+            yield rest[at:i]
+            at, held = i, 0
+        held += len(raw) + 1
+    if rest:
+        yield rest[at:]
+
+
 class Encoder:
     """Texts to ids with a bounded memory of pieces; one per task."""
 
@@ -181,8 +195,9 @@ class Encoder:
                 known[m] = rank.to_bytes(4, "little")
             else:
                 rest.append((m, raw))
-        for (m, _), ids in zip(rest, replay_merges([raw for _, raw in rest], self.path)):
-            known[m] = ids
+        for run in runs(rest, REPLAYED):
+            for (m, _), ids in zip(run, replay_merges([raw for _, raw in run], self.path)):
+                known[m] = ids
         for part, ms in matches.items():
             if len(ms) > 1:
                 known[part] = b"".join([known[m] for m in ms])

@@ -126,3 +126,16 @@ def test_encode_passes_columns_and_empty_tables(spark):
     assert sorted(out.columns) == ["decoded", "doc_id", "n_tokens", "other", "text"]
     assert {(r["text"], r["n_tokens"], bytes(r["decoded"])) for r in out.collect()} == {("a b", 2, b"a b"), (None, 0, b"")}
     assert bpe.decode(bpe.encode(docs.limit(0))).count() == 0
+
+
+def test_new_pieces_are_replayed_in_bounded_runs(monkeypatch):
+    """Memory of a replay goes by its bytes, so a run of many new pieces is cut; one long piece is whole."""
+    rng = random.Random(9)
+    words = ["".join(rng.choices("bcdfghjkqxz", k=rng.randint(5, 30))) for _ in range(400)] + ["q" * 900]
+    text = " ".join(words)
+    whole = bpe.Encoder(bpe.VOCABULARY, P.PATTERN).encode([text, None])
+    seen, replay = [], bpe.replay_merges
+    monkeypatch.setattr(bpe, "REPLAYED", 500)
+    monkeypatch.setattr(bpe, "replay_merges", lambda raws, path: (seen.append(raws), replay(raws, path))[1])
+    assert bpe.Encoder(bpe.VOCABULARY, P.PATTERN).encode([text, None]) == whole
+    assert len(seen) > 5 and all(sum(map(len, raws)) <= 500 or len(raws) == 1 for raws in seen)
