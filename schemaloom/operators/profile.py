@@ -19,6 +19,8 @@ from schemaloom.session import materialize
 #: Sketches of 2**14 registers are off by 0.8 %; a key's estimate falls under this share of the rows once in 10**9 times.
 SKETCH_BITS = 14
 LIKELY = 0.95
+#: Columns that one number has bits for.
+WORD = 62
 #: Longer texts meet as digests.
 PLAIN_TEXT = 32
 
@@ -130,8 +132,9 @@ def inclusions(tables: Mapping[str, DataFrame]) -> DataFrame:
     """child_table, child_col, parent_table, parent_col, n_values of every pair of columns where the child has no value of its own.
 
     All columns of all tables are read once as (class, value, column). The columns that a value occurs in are
-    collected, equal sets of columns are counted, and a pair holds if the sets with the child all have
-    the parent: no two columns are joined. Columns without values are in no pair.
+    bits of a few numbers, which partial aggregates put together without sorting rows; equal sets of columns are
+    counted, and a pair holds if the sets with the child all have the parent: no two columns are joined. Columns
+    without values are in no pair.
     """
     columns: list[tuple[str, str]] = []
     parts = []
@@ -140,14 +143,20 @@ def inclusions(tables: Mapping[str, DataFrame]) -> DataFrame:
         for f in df.schema.fields:
             kind = value_class(f.dataType)
             if kind:
-                cells.append(F.struct(F.lit(len(columns)).alias("col"), F.lit(kind).alias("kind"), _comparable(F.col(f"`{f.name}`"), kind).alias("v")))
+                word, bit = divmod(len(columns), WORD)
+                cells.append(F.struct(F.lit(word).alias("word"), F.lit(1 << bit).cast("bigint").alias("bit"), F.lit(kind).alias("kind"),
+                                      _comparable(F.col(f"`{f.name}`"), kind).alias("v")))
                 columns.append((name, f.name))
         if cells:
             parts.append(df.select(F.explode(F.array(*cells)).alias("c")).select("c.*").filter(F.col("v").isNotNull()))
     spark = next(iter(tables.values())).sparkSession
     named = spark.createDataFrame([(i, *c) for i, c in enumerate(columns)], "col int, t string, c string")
-    owners = reduce(DataFrame.unionByName, parts).groupBy("kind", "v").agg(F.array_sort(F.collect_set("col")).alias("cols"))  # at most all columns
-    patterns = materialize(owners.groupBy("cols").agg(F.count(F.lit(1)).alias("n")), "column-patterns")
+    words = [f"w{i}" for i in range(-(-len(columns) // WORD))]
+    owners = reduce(DataFrame.unionByName, parts).groupBy("kind", "v").agg(
+        *[F.coalesce(F.bit_or(F.when(F.col("word") == i, F.col("bit"))), F.lit(0).cast("bigint")).alias(w) for i, w in enumerate(words)])
+    has = lambda i: F.col(words[i // WORD]).bitwiseAND(F.lit(1 << i % WORD).cast("bigint")) != 0
+    cols = F.array_compact(F.array(*[F.when(has(i), F.lit(i)) for i in range(len(columns))]))
+    patterns = materialize(owners.groupBy(*words).agg(F.count(F.lit(1)).alias("n")).select(cols.alias("cols"), "n"), "column-patterns")
     of_child = patterns.select("cols", "n", F.explode("cols").alias("child"))
     sizes = of_child.groupBy("child").agg(F.sum("n").alias("n_values"))
     shared = of_child.select("child", "n", F.explode("cols").alias("parent")).groupBy("child", "parent").agg(F.sum("n").alias("n_shared"))
