@@ -13,12 +13,13 @@ sketches estimate, and differ in a random permutation of those alike. Then
 - a pair is a candidate if its prefixes meet under every order; the others are
   dropped before the sets are compared exactly.
 
-Sets that are equal are one class. Links are wanted as groups, so the documents of
-a posting list are compared with a few of them at a time: those found similar are in
-their groups and need no comparison among each other. Documents that all others of
-their list were compared with leave the list; lists within one group are done. The
-few are four times as many in each round, and when few pairs are left all are compared. No link that joins two
-groups is lost, and large groups of near copies cost a few comparisons each.
+Sets that are equal are one class. Links are wanted as groups, so in the first rounds
+every class is compared with one other: the one that leads most of its posting lists.
+Those found similar are in one group and need no comparison among each other. Then the pairs
+of different groups are compared that the place of a common shingle allows: sets share
+no more than either has from their first common shingle on. If such pairs are
+many, the classes of a list are compared with a few of them at a time, which then leave the
+list. No link that joins two groups is lost, and large groups of near copies cost a few comparisons each.
 
 Defined cases: null and blank texts have no shingles, size 0 and are alone; texts
 with fewer words than a shingle are one shingle; rows may repeat an id or have a
@@ -46,10 +47,13 @@ ORDERS = 3
 SKETCH_ROWS = 1
 #: Cells of the sketch; a merged sketch is one bit a cell (32 MB). It only has to tell sets of mostly unrepeated shingles.
 LOG2_CELLS = 28
-#: Pairs of different groups that are compared without another round, per row that the posting lists have at first.
-PAIRS_PER_POSTING = 8
+#: Pairs of postings of different groups that meet without another round (most are no candidates by their numbers), per row that the posting lists have at first.
+PAIRS_PER_POSTING = 64
 #: Documents of a list that the others are compared with in the first round.
 PIVOTS = 8
+#: Rounds that compare each class with one leader, and the least share of links in a round that is followed by another.
+LEADERS = 3
+LEAST_FOUND = 0.1
 #: Cells and cap of the second sketch, of the sets that are left (a byte a cell).
 LOG2_COUNTS = 24
 MOST_COUNTED = 255
@@ -123,7 +127,10 @@ def _rows(docs: DataFrame, bits, width: int, log2_cells: int) -> DataFrame:
 
 
 def _with_prefixes(classes: DataFrame, orders: int, log2_counts: int) -> DataFrame:
-    """Classes that can have a link, with the repeated shingles of their prefix under the first and the other orders."""
+    """Classes that can have a link, with a number, the shingles that other classes have too, and those of them in their prefix under each order.
+
+    Of the prefixes under the other orders only half of each hash is kept: they are a test that may let more through.
+    """
 
     def keys(batch):
         yield batch.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
@@ -133,24 +140,26 @@ def _with_prefixes(classes: DataFrame, orders: int, log2_counts: int) -> DataFra
 
     def run(batches):
         for batch in batches:
-            first, others = [], []
+            shared, first, others = [], [], []
             for row in zip(batch.column(2).to_pylist(), batch.column(3)):
                 quota, tokens = row[0], row[1].values.to_numpy(zero_copy_only=False).view(np.uint64)
                 seen = sketch.estimates(counts.value, tokens, log2_counts)
                 often = tokens[seen > 1]
                 quota = min(quota - (len(tokens) - len(often)), len(often))
                 if quota <= 0:
-                    first.append([]), others.append([])
+                    shared.append([]), first.append([]), others.append([])
                     continue
                 level = np.log2(seen[seen > 1]).astype(np.int64)
-                prefixes = [often[np.lexsort((mix(often, 100 + k), level))[:quota]].view(np.int64).tolist() for k in range(orders)]
-                first.append(prefixes[0]), others.append(prefixes[1:])
+                prefixes = [often[np.lexsort((mix(often, 100 + k), level))[:quota]] for k in range(orders)]
+                shared.append(often.view(np.int64).tolist()), first.append(prefixes[0].view(np.int64).tolist())
+                others.append([(p >> np.uint64(32)).astype(np.uint32).view(np.int32).tolist() for p in prefixes[1:]])
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), batch.column(1), batch.column(3), pa.array(first, pa.list_(pa.int64())), pa.array(others, pa.list_(pa.list_(pa.int64()))),
+                batch.column(0), batch.column(1), pa.array(shared, pa.list_(pa.int64())), pa.array(first, pa.list_(pa.int64())), pa.array(others, pa.list_(pa.list_(pa.int32()))),
             ], names=["class", "n", "tokens", "first", "others"])
 
-    schema = "class binary, n long, tokens array<long>, first array<long>, others array<array<long>>"
-    found = materialize(classes.select("class", "n", "quota", "tokens").mapInArrow(run, schema).where(F.size("first") > 0), "prefixes")
+    schema = "class binary, n long, tokens array<long>, first array<long>, others array<array<int>>"
+    found = classes.select("class", "n", "quota", "tokens").mapInArrow(run, schema).where(F.size("first") > 0)
+    found = materialize(found.withColumn("id", F.monotonically_increasing_id()), "prefixes")
     counts.destroy()
     return found
 
@@ -176,46 +185,86 @@ def connected(edges: DataFrame) -> DataFrame:
 
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) of classes whose prefixes meet under all orders and that are similar."""
-    a = sets.select(F.col("class").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"), F.col("others").alias("oa"))
-    b = sets.select(F.col("class").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"), F.col("others").alias("ob"))
+    used = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "pair-classes")
+    sets = sets.join(used, "id", "left_semi")
+    a = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"), F.col("others").alias("oa"))
+    b = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"), F.col("others").alias("ob"))
     meet = F.forall(F.zip_with("oa", "ob", lambda x, y: F.arrays_overlap(x, y)), lambda x: x)
     shared = F.size(F.array_intersect("ta", "tb"))
     return pairs.join(a, "a").join(b, "b").where(meet).where(100 * shared >= PERCENT * (F.col("na") + F.col("nb") - shared)).select("a", "b")
 
 
+def _rooted(lists: DataFrame, roots: DataFrame | None) -> DataFrame:
+    if roots is None:
+        return lists.withColumn("root", F.col("id"))
+    return lists.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+
+
+#: Postings of a token that can be the first one shared by two similar classes of different groups. A pair
+#: shares no more than what either has from that token on; ``most`` is the size of the other that this allows.
+CAN_LINK = "root <> root2 and n2 <= most and n <= most2"
+#: One posting of such a pair allows an equal size, as it is that of the larger class.
+WIDE = "most >= n"
+
+
+def _ordered(a: str, b: str) -> list:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def _leader_pairs(rooted: DataFrame, turn: int) -> DataFrame:
+    """Each class with the one that leads most of its lists; a leader is the same for all lists that it could lead."""
+    head = F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "n", "most", "root"))
+    heads = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max(F.expr(WIDE)).alias("wide"), head.alias("head"))
+    heads = heads.where("low <> high and wide").select("token", *[F.col(f"head.{c}").alias(f"{c}2") for c in ("id", "n", "most", "root")])
+    met = rooted.join(heads, "token").where(CAN_LINK).groupBy("id", "id2").agg(F.count(F.lit(1)).alias("c"))
+    return met.groupBy("id").agg(F.max(F.struct("c", "id2"))["id2"].alias("id2")).select(*_ordered("id", "id2")).distinct()
+
+
 def _groups(sets: DataFrame) -> DataFrame:
     """(class, root) of the classes that are linked with another one."""
-    postings = materialize(sets.select("class", "n", F.explode("first").alias("token")), "postings")
+    rest = F.size("tokens") - F.col("at")
+    most = F.floor((100 + PERCENT) * rest / F.lit(PERCENT)).cast("long") - F.col("n")
+    postings = materialize(sets.select("id", "n", "tokens", F.posexplode("first").alias("at", "token")).select("id", "n", "token", most.alias("most")), "postings")
     repeated = postings.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("token")
     lists = materialize(postings.join(repeated, "token", "left_semi"), "lists")
     roots, pivots, postings_at_first = None, PIVOTS, lists.count()
-    fits = "least(n, n2) * 100 >= greatest(n, n2) * %d" % PERCENT
+
+    def joined(pairs: DataFrame) -> tuple[DataFrame | None, int]:
+        links = materialize(_similar(pairs, sets), "links")
+        found = links.count()
+        return (connected(links if roots is None else links.union(roots.where("node <> root").select("node", "root"))) if found else roots), found
+
+    for turn in range(LEADERS):
+        pairs = materialize(_leader_pairs(_rooted(lists, roots), turn), "leader-pairs")
+        met = pairs.count()
+        if met:
+            roots, found = joined(pairs)
+        if not met or found < LEAST_FOUND * met:
+            break
     while True:
-        rooted = lists if roots is None else lists.join(roots.withColumnRenamed("node", "class"), "class", "left")
-        rooted = rooted.withColumn("root", F.col("class") if roots is None else F.coalesce("root", "class"))
-        per_root = rooted.groupBy("token", "root").agg(F.count(F.lit(1)).alias("c"))
-        spread = per_root.groupBy("token").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("same"), F.count(F.lit(1)).alias("groups"))
-        live = spread.where("groups > 1")
-        open_ = materialize(rooted.join(live.select("token"), "token", "left_semi"), "open-lists")
-        size = live.agg(F.sum("m").alias("m"), F.sum((F.col("m") * F.col("m") - F.col("same")) / 2).alias("pairs")).first()
+        rooted = _rooted(lists, roots).withColumn("wide", F.expr(WIDE))
+        per_root = rooted.groupBy("token", "root").agg(F.count(F.lit(1)).alias("c"), F.count_if("wide").alias("w"))
+        spread = per_root.groupBy("token").agg(F.sum("c").alias("m"), F.sum("w").alias("w"), F.sum(F.col("c") * F.col("w")).alias("same"), F.count(F.lit(1)).alias("groups"))
+        live = spread.where("groups > 1 and w > 0")
+        open_ = materialize(rooted.join(live.select("token", (F.col("m") * F.col("w") - F.col("same")).alias("pairs"), "m"), "token"), "open-lists")
+        size = open_.agg(F.count(F.lit(1)).alias("m"), F.sum(F.col("pairs") / F.col("m")).alias("pairs")).first()
         if not size["m"]:
-            return roots if roots is not None else lists.select(F.col("class").alias("node"), F.col("class").alias("root")).limit(0)
+            break
         final = size["pairs"] <= PAIRS_PER_POSTING * postings_at_first
-        other = open_.select("token", F.col("class").alias("class2"), F.col("n").alias("n2"), F.col("root").alias("root2"))
-        if final:
-            pairs = open_.join(other, "token").where("class < class2 and root <> root2")
-        else:
-            turn = F.row_number().over(Window.partitionBy("token").orderBy(F.xxhash64("class2"), "class2"))
-            chosen = materialize(other.withColumn("turn", turn).where(F.col("turn") <= pivots).drop("turn"), "pivots")
-            pairs = open_.join(chosen, "token").where("root <> root2")
-            lists = materialize(open_.select("token", "class", "n").join(chosen.select("token", F.col("class2").alias("class")), ["token", "class"], "left_anti"), "lists")
+        other = open_.where("wide").select("token", *[F.col(c).alias(f"{c}2") for c in ("id", "n", "most", "root")])
+        if not final:
+            turn = F.row_number().over(Window.partitionBy("token").orderBy(F.xxhash64("id2"), "id2"))
+            other = materialize(other.withColumn("turn", turn).where(F.col("turn") <= pivots).drop("turn"), "pivots")
+            lists = materialize(open_.select("token", "id", "n", "most").join(other.select("token", F.col("id2").alias("id")), ["token", "id"], "left_anti"), "lists")
             pivots *= 4
-        pairs = pairs.where(fits).select(F.least("class", "class2").alias("a"), F.greatest("class", "class2").alias("b")).distinct()
-        links = materialize(_similar(pairs, sets), "links")
-        known = links if roots is None else links.union(roots.where("node <> root").select("node", "root"))
-        roots = connected(known)
+        pairs = open_.join(other, "token").where(CAN_LINK).select(*_ordered("id", "id2")).distinct()
+        roots, _ = joined(materialize(pairs, "pairs"))
         if final:
-            return roots
+            break
+    if roots is None:
+        return sets.select("class", F.col("class").alias("root")).limit(0)
+    name = lambda c: sets.select(F.col("id").alias(c), F.col("class").alias(f"{c}_class"))
+    return roots.join(name("node"), "node").join(name("root"), "root").select(F.col("node_class").alias("class"), F.col("root_class").alias("root"))
 
 
 def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = SHINGLE, orders: int = ORDERS,
@@ -234,7 +283,7 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int
     bits.destroy()
     classes = materialize(rows.where("tokens is not null").groupBy("class").agg(
         F.first("n").alias("n"), F.first("quota").alias("quota"), F.first("tokens").alias("tokens")), "classes")
-    groups = _groups(_with_prefixes(classes, orders, log2_counts)).withColumnRenamed("node", "class")
+    groups = _groups(_with_prefixes(classes, orders, log2_counts))
     least = materialize(rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least")), "class-ids")
     rooted = least.join(groups, "class", "left").select("class", "least", F.coalesce("root", "class").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))

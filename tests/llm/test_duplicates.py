@@ -98,6 +98,18 @@ def test_full_sketch_changes_nothing(spark):
     assert sorted(tuple(r) for r in jaccard.components(docs, log2_cells=10, log2_counts=10).collect()) == sorted(groups(rows))
 
 
+def test_common_passage_makes_no_pairs(spark, monkeypatch):
+    """Texts that share a passage which is too short to link them are not compared pair by pair."""
+    compared, similar = [], jaccard._similar
+    monkeypatch.setattr(jaccard, "_similar", lambda pairs, sets: (compared.append(pairs.count()), similar(pairs, sets))[1])
+    passage = " ".join(f"p{i}" for i in range(50))
+    rows = [(n, f"{passage} " + " ".join(f"own{n}x{i}" for i in range(12))) for n in range(60)]
+    rows += [(100 + n, rows[n][1] + " more") for n in range(10)]
+    got = sorted(tuple(r) for r in jaccard.components(spark.createDataFrame(rows, "doc_id long, text string"), **BOTH).collect())
+    assert got == sorted(groups(rows))
+    assert sum(compared) <= 2 * len(rows)
+
+
 def test_groups_of_odd_rows(spark):
     rows = [(7, "a b c d e f"), (7, "a b c d e f"), (3, "A B c d e f"), (None, "a b c d e f"), (None, None), (None, "lonely text"), (1, "")]
     docs = spark.createDataFrame([(i, t, "z") for i, t in rows], "doc_id long, text string, class string")
