@@ -65,18 +65,21 @@ def load_tokens(path: str) -> list[bytes]:
 
 
 @lru_cache(maxsize=4)
-def load_pairs(path: str) -> tuple[dict[int, int], np.ndarray, np.ndarray]:
-    """Rank of every pair of ids that merges (key: left << 32 | right), the id of each byte, and the ranks of pairs of bytes."""
+def load_pairs(path: str) -> tuple[dict[int, dict[int, int]], dict[int, dict[int, int]], np.ndarray, np.ndarray]:
+    """Ranks of the pairs of ids that merge, by right and left id and by left and right id, the id of each byte, and the ranks of pairs of bytes.
+
+    While one rank is replayed all pairs looked up have its id on one side, so that one small table is used at a time.
+    """
     ranks = load_ranks(path)
-    pairs = {}
+    before, after = {}, {}
     for token, rank in ranks.items():
         for cut in range(1, len(token)):
             left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
             if left is not None and right is not None:
-                pairs[left << 32 | right] = rank
+                before.setdefault(right, {})[left] = after.setdefault(left, {})[right] = rank
     single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
-    of_bytes = np.array([[pairs.get(int(x) << 32 | int(y), -1) for y in single] for x in single], np.int64)
-    return pairs, single, of_bytes
+    of_bytes = np.array([[after.get(int(x), {}).get(int(y), -1) for y in single] for x in single], np.int64)
+    return before, after, single, of_bytes
 
 
 def replay_merges(words: list[bytes], path: str) -> list[bytes]:
@@ -87,7 +90,7 @@ def replay_merges(words: list[bytes], path: str) -> list[bytes]:
     """
     if not words:
         return []
-    pairs, single, of_bytes = load_pairs(path)
+    ranks_before, ranks_after, single, of_bytes = load_pairs(path)
     # One sequence of tokens; a position of its own (token -1) stands between words.
     sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
     raw = np.frombuffer(b"\0".join(words) + b"\0", np.uint8)
@@ -106,11 +109,12 @@ def replay_merges(words: list[bytes], path: str) -> list[bytes]:
     queue = sorted(index)
     tok, rank_at = start.tolist(), now.tolist()
     after, before = list(range(1, len(raw) + 1)), list(range(-1, len(raw) - 1))
-    look, push = pairs.get, heapq.heappush
+    push, none = heapq.heappush, {}
     while queue:
         rank = heapq.heappop(queue)
         waiting: set[int] = set()
         spots = index.pop(rank)
+        look_before, look_after = ranks_before.get(rank, none).get, ranks_after.get(rank, none).get
         if len(spots) > 1:
             spots.sort()
         for p in spots:
@@ -128,8 +132,8 @@ def replay_merges(words: list[bytes], path: str) -> list[bytes]:
             tok[gone] = -2
             after[p], before[then] = then, p
             back = before[p]
-            # the two neighbours: a separator (-1) makes a key that is in no pair
-            r = rank_at[back] = look(tok[back] << 32 | rank, -1)
+            # the two neighbours: a separator (-1) is in no pair
+            r = rank_at[back] = look_before(tok[back], -1)
             if r >= 0:
                 if r in index:
                     index[r].append(back)
@@ -138,7 +142,7 @@ def replay_merges(words: list[bytes], path: str) -> list[bytes]:
                     push(queue, r)
                 if r < rank:
                     waiting.add(int(np.searchsorted(ends, p)))
-            r = rank_at[p] = look(rank << 32 | tok[then], -1)
+            r = rank_at[p] = look_after(tok[then], -1)
             if r >= 0:
                 if r in index:
                     index[r].append(p)
