@@ -70,6 +70,15 @@ def test_lower_rank_made_by_a_merge_goes_first():
         bpe.load_pairs.cache_clear()
 
 
+def test_pair_tables_of_a_rank_hold_all_its_pairs():
+    before, after, _, _ = bpe.load_pairs(bpe.VOCABULARY)
+    ranks = bpe.load_ranks(bpe.VOCABULARY)
+    found = {(x, y): r for y, own in before.items() for x, r in own.items()}
+    assert found == {(x, y): r for x, own in after.items() for y, r in own.items()}
+    tokens = bpe.load_tokens(bpe.VOCABULARY)
+    assert all(ranks[tokens[x] + tokens[y]] == r for (x, y), r in found.items())
+
+
 def test_parts_equal_whole_texts(library):
     encoder = token_files.Encoder(token_files.VOCABULARY, remembered=300)
     rows = texts(seed=2)

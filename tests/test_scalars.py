@@ -80,3 +80,10 @@ def test_draws_are_uniform_and_repeatable(spark):
 
 def test_ratios_of_nothing_are_null(spark):
     assert spark.range(1).select(scalars.percent(F.lit(0), F.lit(0))).first()[0] is None
+
+
+def test_first_token_is_the_first_of_tokens(spark):
+    texts = [None, "", " ", "_  ", "one", " Two three", "__A_b", "x y z", "tail ", "ΑΣ b", "a,b c_d e"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    rows = df.select(scalars.first_token(F.col("text")).alias("one"), F.get(scalars.tokens(F.col("text")), F.lit(0)).alias("of_all")).collect()
+    assert [r.one for r in rows] == [r.of_all for r in rows] and rows[5].one == "two"
