@@ -19,7 +19,7 @@ Those found similar are in one group and need no comparison among each other. Th
 of different groups are compared that the place of a common shingle allows: sets share
 no more than either has from their first common shingle on. If such pairs are
 many, the classes of a list are compared with a few of them at a time, which then leave the
-list. No link that joins two groups is lost, and large groups of near copies cost a few comparisons each.
+list, as do those that no other size in it allows a link. No link that joins two groups is lost, and large groups of near copies cost a few comparisons each.
 
 Defined cases: null and blank texts have no shingles, size 0 and are alone; texts
 with fewer words than a shingle are one shingle; rows may repeat an id or have a
@@ -47,8 +47,8 @@ ORDERS = 3
 SKETCH_ROWS = 1
 #: Cells of the sketch; a merged sketch is one bit a cell (32 MB). It only has to tell sets of mostly unrepeated shingles.
 LOG2_CELLS = 28
-#: Pairs of postings of different groups that meet without another round (most are no candidates by their numbers), per row that the posting lists have at first.
-PAIRS_PER_POSTING = 64
+#: Pairs of postings of different groups that meet without another round, per row that the posting lists have at first.
+PAIRS_PER_POSTING = 4
 #: Documents of a list that the others are compared with in the first round.
 PIVOTS = 8
 #: Rounds that compare each class with one leader, and the least share of links in a round that is followed by another.
@@ -207,6 +207,12 @@ CAN_LINK = "root <> root2 and n2 <= most and n <= most2"
 WIDE = "most >= n"
 
 
+def _live(lists: DataFrame) -> DataFrame:
+    """Postings that CAN_LINK may hold for with any other of their list, by the least size and the largest bound in it."""
+    ends = lists.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("low"), F.max("most").alias("high"))
+    return lists.join(ends.where("m > 1"), "token").where("most >= low and n <= high").drop("m", "low", "high")
+
+
 def _ordered(a: str, b: str) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
@@ -225,8 +231,7 @@ def _groups(sets: DataFrame) -> DataFrame:
     rest = F.size("tokens") - F.col("at")
     most = F.floor((100 + PERCENT) * rest / F.lit(PERCENT)).cast("long") - F.col("n")
     postings = materialize(sets.select("id", "n", "tokens", F.posexplode("first").alias("at", "token")).select("id", "n", "token", most.alias("most")), "postings")
-    repeated = postings.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("token")
-    lists = materialize(postings.join(repeated, "token", "left_semi"), "lists")
+    lists = materialize(_live(postings), "lists")
     roots, pivots, postings_at_first = None, PIVOTS, lists.count()
 
     def joined(pairs: DataFrame) -> tuple[DataFrame | None, int]:
@@ -255,7 +260,8 @@ def _groups(sets: DataFrame) -> DataFrame:
         if not final:
             turn = F.row_number().over(Window.partitionBy("token").orderBy(F.xxhash64("id2"), "id2"))
             other = materialize(other.withColumn("turn", turn).where(F.col("turn") <= pivots).drop("turn"), "pivots")
-            lists = materialize(open_.select("token", "id", "n", "most").join(other.select("token", F.col("id2").alias("id")), ["token", "id"], "left_anti"), "lists")
+            left = open_.select("token", "id", "n", "most").join(other.select("token", F.col("id2").alias("id")), ["token", "id"], "left_anti")
+            lists = materialize(_live(left), "lists")
             pivots *= 4
         pairs = open_.join(other, "token").where(CAN_LINK).select(*_ordered("id", "id2")).distinct()
         roots, _ = joined(materialize(pairs, "pairs"))

@@ -110,6 +110,20 @@ def test_common_passage_makes_no_pairs(spark, monkeypatch):
     assert sum(compared) <= 2 * len(rows)
 
 
+def test_large_group_is_not_compared_pair_by_pair(spark, monkeypatch):
+    """Many edits of one text lie in lists with each other and with texts that only hold a passage of it."""
+    rng = random.Random(11)
+    base = [f"b{i}" for i in range(150)]
+    edited = lambda: [w if rng.random() > 0.017 else f"e{rng.randint(0, 400)}" for w in base]
+    rows = [(n, " ".join(edited())) for n in range(260)]
+    rows += [(1000 + n, " ".join(edited()[:110] + [f"own{n % 30}x{i}" for i in range(40)])) for n in range(60)]
+    met, similar = [], jaccard._similar
+    monkeypatch.setattr(jaccard, "_similar", lambda pairs, sets: (met.append(pairs.count()), similar(pairs, sets))[1])
+    got = sorted(tuple(r) for r in jaccard.components(spark.createDataFrame(rows, "doc_id long, text string"), **BOTH).collect())
+    assert got == sorted(groups(rows))
+    assert sum(met) <= 14 * len(rows)
+
+
 def test_groups_of_odd_rows(spark):
     rows = [(7, "a b c d e f"), (7, "a b c d e f"), (3, "A B c d e f"), (None, "a b c d e f"), (None, None), (None, "lonely text"), (1, "")]
     docs = spark.createDataFrame([(i, t, "z") for i, t in rows], "doc_id long, text string, class string")
