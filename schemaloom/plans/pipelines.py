@@ -163,7 +163,8 @@ def dense_prompts(original, questions: DataFrame, question_vectors: DataFrame, t
 def unfiltered_pieces(original, questions: DataFrame, fix_not_null: bool = True) -> DataFrame:
     """idx, db_id, seq, piece: the whole schema of its database for every question, as ordered pieces.
 
-    The pieces of a database are rendered once, however many questions it has.
+    The pieces of a database are rendered once, however many questions it has; they repeat types and keywords and are written with zstd.
     """
-    pieces = materialize(catalog.schema_pieces(original.tables, original.columns, original.fks, fix_not_null=fix_not_null), "schema-pieces")
+    rendered = catalog.schema_pieces(original.tables, original.columns, original.fks, fix_not_null=fix_not_null)
+    pieces = materialize(rendered, "schema-pieces", compression="zstd")
     return questions.select("idx", "db_id").join(pieces, "db_id").select("idx", "db_id", "seq", "piece")

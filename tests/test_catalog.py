@@ -86,6 +86,20 @@ def test_whole_prompt_over_several_runs(spark, monkeypatch):
     assert {r.db_id: r.schema_text for r in catalog.schema_prompt(tables, columns, fks).collect()} == want
 
 
+def test_pieces_of_all_questions_are_read_from_zstd_files(spark):
+    from schemaloom.operators.augment import Catalog
+    from schemaloom.plans import pipelines
+
+    tables, columns, fks = fixture(spark)
+    questions = spark.createDataFrame([(1, "m", "q"), (2, "m", "q"), (3, "e", "q"), (4, "x", "q")], "idx long, db_id string, question string")
+    found = pipelines.unfiltered_pieces(Catalog(tables, columns, fks), questions)
+    pieces = sorted(tuple(r) for r in catalog.schema_pieces(tables, columns, fks).collect())
+    assert sorted(tuple(r)[1:] for r in found.where("idx <> 2").collect()) == pieces
+    assert found.where("idx = 2").count() == found.where("idx = 1").count()
+    written = [f for f in found.inputFiles() if "schema-pieces" in f]
+    assert written and all(f.endswith(".zstd.parquet") for f in written)
+
+
 @pytest.mark.parametrize("name", ["schema_prompt", "schema_prompt_as_published"])
 def test_prompt_queries_return_whole_texts(spark, name):
     """One row with the whole text per database, not its pieces."""
