@@ -274,6 +274,85 @@ def test_frequent_words_do_not_depend_on_tasks(spark):
     assert len(pitman_yor.frequent_words(docs.limit(0), 15)) == 0
 
 
+def reference(train, docs):
+    """Scores by dictionaries, seated with the draws of the module."""
+    hashed = {}
+
+    def pairs(text):
+        found = list(pitman_yor._documents(pa.array([text])))[0]
+        hashed.update(zip(tokens(text), found[2].tolist()))
+        return list(zip(["^", *tokens(text)], tokens(text)))
+
+    uses = Counter(p for t in train for p in pairs(t))
+    words = sorted({w for _, w in uses})
+    contexts = sorted({c for c, _ in uses}, key=str)
+    hashed["^"] = int(pitman_yor.START_HASH)
+    of = lambda w: np.array([hashed[w]], np.uint64)
+    (d, s), (d0, s0) = pitman_yor.CONTEXT, pitman_yor.PARENT
+    tables = dict.fromkeys(uses, 1)
+    parent = dict.fromkeys(words, 1)
+    seen = []
+    sweeps = pitman_yor.BURN_IN + pitman_yor.SAMPLES
+    for sweep in range(sweeps):
+        seated = Counter()
+        for (_, w), t in tables.items():
+            seated[w] += t
+        if sweep:
+            parent = {w: int(pitman_yor.seat(np.array([seated[w]]), np.array([rest]), d0, of(w), 899 + sweep)[0]) for w in words}
+        rest = (s0 + d0 * sum(parent.values())) / (len(words) + 1)
+        above = {w: (seated[w] - d0 * parent[w] + rest) / (s0 + sum(seated.values())) for w in words}
+        held = Counter()
+        for (c, _), t in tables.items():
+            held[c] += t
+        seen.append((tables, held, above, rest / (s0 + sum(seated.values()))))
+        tables = {(c, w): int(pitman_yor.seat(np.array([n]), np.array([(s + d * held[c]) * np.float32(above[w])]), d, pitman_yor._pair(of(c), of(w)), sweep)[0]) for (c, w), n in uses.items()}
+    seen = seen[pitman_yor.BURN_IN:]
+    customers = Counter()
+    for (c, _), n in uses.items():
+        customers[c] += n
+    mean = lambda get: np.mean([get(x) for x in seen])
+
+    def p(c, w):
+        p0 = mean(lambda x: x[2].get(w, x[3]))
+        own = (uses[c, w] - d * mean(lambda x: x[0][c, w])) if (c, w) in uses else 0
+        return own / (s + customers[c]) + (s + d * mean(lambda x: x[1][c])) / (s + customers[c]) * p0
+
+    unseen = b"nowhere"
+    for c in [*contexts, unseen]:
+        assert sum(p(c, w) for w in words) + p(c, unseen) == pytest.approx(1)
+    return [sum(math.log10(p(c, w)) for c, w in pairs(t)) for t in docs]
+
+
+@pytest.mark.parametrize("frequent", [0, 30, 300_000])
+def test_every_word_is_a_context(spark, frequent):
+    """Sixty words each have a follower of their own: scores are those of a restaurant for every one of them, on any partitions."""
+    rng = np.random.default_rng(7)
+    chain = lambda n: " ".join(f"a{i} b{i}" for i in rng.integers(0, 60, n))
+    train = [chain(40) for _ in range(30)] + ["", "a1 a1 a1", None, "b2"]
+    docs = [chain(20), "a1 b1", "a1 b2", "b1 b2", "new a1 b1 new words", "", None, "a1 b1"]
+    want = reference(train, docs)
+    assert want[1] > want[2] + 1
+    frame = lambda texts, n: spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(n, "doc_id")
+    for n in (1, 5):
+        model = pitman_yor.fit(frame(train, n))
+        found = pitman_yor.score(frame(docs, n), model, frequent=frequent).orderBy("doc_id").collect()
+        assert [r["score"] for r in found] == pytest.approx(want, rel=1e-5)
+
+
+def test_codes_and_places():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 2, 5, 1000):
+        keys = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        asked = np.concatenate([keys, rng.integers(0, 2**64, 50, dtype=np.uint64), np.array([0, 2**64 - 1], np.uint64)])
+        at, found = pitman_yor.Index(keys).find(asked)
+        assert found.tolist() == np.isin(asked, keys).tolist() and (at[:n] == np.arange(n)).all()
+        coder = pitman_yor.Coder(rng.permutation(keys))
+        coded = pitman_yor.Coded.of(coder.codes(asked), asked)
+        assert (coded.hashes(coder) == asked).all() and (coded.at(found).hashes(coder) == asked[found]).all()
+        own, where = coded.distinct(coder)
+        assert (own[where] == asked).all() and len(own) == len(np.unique(asked))
+
+
 def test_seating_matches_expected_tables():
     rng = np.random.default_rng(3)
     d, weight = 0.5, 2.0
